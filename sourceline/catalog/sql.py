@@ -114,6 +114,113 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+def _deck_views() -> None:
+    cw = in_list(sorted({*LATIN.fillers, *LATIN.meta_expand, *LATIN.talk_words}))
+    VIEWS.update({
+        # lexical search inside decks
+        "dpost": (f"""select deck_id, id, dl, term, count(*) as tf from (select deck_id, id, len(tk) as dl, unnest(tk) as term
+            from (select deck_id, id, {tokens('text')} as tk from docs)) group by all""", ("docs",)),
+        "dsize": (f"select deck_id, count(*) as n, sum(len({tokens('text')})) / count(*) as avgdl from docs group by 1", ("docs",)),
+        "dstats": ("""select p.deck_id, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf,
+            any_value(avgdl) as avgdl from dpost p join dsize using (deck_id) group by p.deck_id, term""", ("dpost", "dsize")),
+        # vocabulary and question guards
+        "vocab": (f"""select deck_id, word, count(*) as df, ln(1 + n / count(*)) as idf from (
+            select d.deck_id, unnest({lower_words('d.text')}) as word, n from docs d join (
+            select deck_id, count(*) as n from docs group by 1) s using (deck_id)) group by deck_id, word, n""", ("docs",)),
+        "asked": ("select qid, deck_id, question from conv_q", ("conv_q",)),
+        "aw": (f"select qid, deck_id, question, unnest({words('question')}) as w from asked", ("asked",)),
+        "acw": (f"select * from aw where w not in {cw} and length(w) >= 2", ("aw",)),
+        "ratios": ("""select a.qid, a.deck_id, a.question, coalesce(r.n, 0) as n_content, coalesce(r.ratio, 0.0) as ratio
+            from asked a left join (select acw.qid, count(*) as n, avg(case when v.word is not null then 1.0 else 0 end) as ratio
+            from acw left join vocab v on v.deck_id = acw.deck_id and v.word = lower(acw.w) group by 1) r using (qid)""",
+                   ("asked", "acw", "vocab")),
+        "meta_words": ("select * from (values " + ", ".join(
+            f"({quote(w)}, {quote(t)})" for w, ts in LATIN.meta_expand.items() for t in ts) + ") m(word, term)", ()),
+        "meta_cues": ("select * from (values " + ", ".join(
+            f"({quote(p)}, {quote(t)})" for p, ts in LATIN.meta_triggers for t in ts) + ") m(cue, term)", ()),
+        "meta_terms": ("""select distinct qid, deck_id, term from (
+            select aw.qid, aw.deck_id, m.term from aw join meta_words m on m.word = aw.w
+            union all select a.qid, a.deck_id, m.term from asked a join meta_cues m on regexp_matches(a.question, m.cue)) t
+            where exists (select 1 from vocab v where v.deck_id = t.deck_id and v.word = lower(t.term))""",
+                       ("aw", "asked", "meta_words", "meta_cues", "vocab")),
+        "guarded": (f"""select r.*, case
+              when length({strip('question')}) < 6 or case when len({words('question')}) = 0
+                   then not regexp_matches(question, {quote(LATIN.question_cue)})
+                   else len(list_filter({words('question')}, lambda w: w not in {in_list(LATIN.fillers)})) = 0 end then 'ignored'
+              when n_content > 0 and ratio < 0.26 then 'no_evidence'
+              when n_content = 0 and m.extra is null then 'no_evidence' end as status,
+              case when n_content = 0 then m.extra end as extra,
+              case when n_content = 0 and m.extra is not null then question || ' ' || array_to_string(m.extra, ' ') else question end as query
+            from ratios r left join (select qid, list_sort(list(term)) as extra from meta_terms group by 1) m using (qid)""",
+                    ("ratios", "meta_terms")),
+        "dqterms": (f"select qid, deck_id, unnest({tokens('query')}) as term from guarded where status is null", ("guarded",)),
+        "dhits": ("""select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from (
+            select q.qid, p.deck_id, p.id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+            from dqterms q join dstats using (deck_id, term) join dpost p using (deck_id, term) group by all)) where rank <= 3""",
+                  ("dqterms", "dstats", "dpost")),
+        # evidence lines
+        "lines": (f"""select deck_id, id, page, line, cast(row_number() over (partition by id order by i, part) - 1 as integer) as idx
+            from (select deck_id, id, page, i, part, case when part = 0 then case when length(l) > 6 then l end
+                  when length(l) <= 25 and not regexp_matches(l, {quote(FREE_DIGIT)}) and length(b) <= 20
+                       and regexp_matches(b, {quote(FREE_DIGIT)}) then l || ' ' || b end as line
+                  from (select deck_id, doc_id as id, page, i, ls[i] as l, ls[i + 1] as b from (
+                        select deck_id, doc_id, page, ls, unnest(range(1, len(ls) + 1)) as i from (
+                        select *, {lines('text')} as ls from chunks))) cross join (values (0), (1)) p(part))
+            where line is not null""", ("chunks",)),
+        "asked_words": (f"""select a.qid, a.deck_id, a.word, v.idf from (select distinct qid, deck_id, lower(w) as word from (
+            select qid, deck_id, unnest(list_concat({words('question')}, coalesce(extra, []))) as w from guarded)) a
+            left join vocab v on v.deck_id = a.deck_id and v.word = a.word""", ("guarded", "vocab")),
+        "hit_lines": (f"""select h.qid, h.deck_id, h.id, h.rank, l.page, l.idx, l.line, {lower_words('l.line')} as keys
+            from dhits h join lines l using (id)""", ("dhits", "lines")),
+        "line_words": ("""select h.qid, h.id, h.idx, h.word, v.idf from (select qid, deck_id, id, idx, unnest(keys) as word from hit_lines) h
+            left join vocab v on v.deck_id = h.deck_id and v.word = h.word""", ("hit_lines", "vocab")),
+        "overlaps": (f"""select qid, id, idx, sum(case when exact then coalesce(q_idf, 0) else 0.7 * near end) as score, count(*) as n from (
+            select l.qid, l.id, l.idx, a.word, any_value(a.idf) as q_idf, bool_or(l.word = a.word) as exact,
+              max(case when length(a.word) >= 2 and length(l.word) >= 2 and not {is_number('l.word')}
+                        and (contains(l.word, a.word) or contains(a.word, l.word)) then l.idf end) as near
+            from line_words l join asked_words a on a.qid = l.qid and (l.word = a.word or contains(l.word, a.word) or contains(a.word, l.word))
+            group by 1, 2, 3, 4) where exact or near is not null group by 1, 2, 3""", ("line_words", "asked_words")),
+        "raw_keys": (f"""select distinct qid, substr(regexp_extract(t, '^(\\p{{L}}{{3,}})', 1), 1, length(word)) as key from (
+            select a.qid, a.word, unnest(regexp_split_to_array(g.question, '[\\s\\p{{Z}}]+')) as t
+            from asked_words a join guarded g using (qid)
+            where a.idf is null and length(a.word) >= 2 and regexp_matches(a.word, '^\\p{{L}}'))
+            where starts_with(t, substr(word, 1, 2)) and regexp_matches(t, '^\\p{{L}}{{3,}}')""", ("asked_words", "guarded")),
+        "raw_hits": ("""select h.qid, h.id, h.idx, count(*) as n from hit_lines h join raw_keys r on r.qid = h.qid and contains(h.line, r.key)
+            group by 1, 2, 3""", ("hit_lines", "raw_keys")),
+        "line_scores": (f"""select *, round(base + 0.4 * n + case when n > 0 and ({{pref}}) then 2.0 else 0 end
+              - case when regexp_matches(line, {quote(LATIN.heading)}) then 2.5 else 0 end
+              - case when idx = 0 and length(line) < 30 and not regexp_matches(line, '[0-9]') then 3.0 else 0 end
+              - case when length(line) < 14 then 1.5 else 0 end
+              + case when regexp_matches(line, {quote(LATIN.counted)}) then 1.2 else 0 end
+              - 0.004 * greatest(0, length(line) - 90), 9) as score from (
+            select h.*, {{qtype}} as qtype, coalesce(o.score, 0) + 1.2 * coalesce(r.n, 0) * p.peak as base,
+                   coalesce(o.n, 0) + coalesce(r.n, 0) as n
+            from hit_lines h join guarded g using (qid) join (select deck_id, max(idf) as peak from vocab group by 1) p
+              on p.deck_id = h.deck_id
+            left join overlaps o on o.qid = h.qid and o.id = h.id and o.idx = h.idx
+            left join raw_hits r on r.qid = h.qid and r.id = h.id and r.idx = h.idx)""".format(
+                pref=" or ".join(f"(qtype = {quote(k)} and regexp_matches(line, {quote(p)}))" for k, p in LATIN.line_pref.items()),
+                qtype=qtype("g.question")), ("hit_lines", "guarded", "vocab", "overlaps", "raw_hits")),
+        "best_lines": ("""select * exclude (r) from (select *, row_number() over (partition by qid, id order by score desc, idx) as r
+            from line_scores) where r = 1""", ("line_scores",)),
+        "picked": ("""select *, cast(row_number() over (partition by qid order by total desc, rank) as integer) as place from (
+            select *, round(score + case rank when 1 then 3.0 when 2 then 1.5 else 0 end, 9) as total from best_lines)""", ("best_lines",)),
+        "keyword_lists": (f"""select qid, place, list_transform(list_sort(list({{'s': -s, 'p': p, 'w': w}})), lambda x: x.w)[1:5] as kws from (
+            select qid, place, w, p, round(coalesce(v.idf, 1.0) + case when {is_number('w')} then 2.5 else 0 end, 9) as s from (
+              select qid, deck_id, place, w, min(p) as p from (
+                select *, row_number() over (partition by qid, place, lower(w) order by p) as nth from (
+                  select k.qid, k.deck_id, k.place, k.ws[k.p] as w, k.p from (
+                    select qid, deck_id, place, {words('line')} as ws, unnest(range(1, len({words('line')}) + 1)) as p from picked) k)
+                where w not in {in_list(LATIN.stopwords)} and (not {is_number('w')} or {useful_number('w')})
+                  and not exists (select 1 from asked_words a where a.qid = k.qid and a.word = lower(w)))
+              where nth = 1 group by all) u left join vocab v on v.deck_id = u.deck_id and v.word = lower(u.w)) group by qid, place""",
+                          ("picked", "asked_words", "vocab")),
+    })
+
+
+_deck_views()
+
+
 def with_views(sql: str, *names: str) -> str:
     """``WITH`` clause of the named views and whatever they build on, in front of ``sql``."""
     order: list[str] = []

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens, passages
 from ..functions.vectors import as_double, dot
+from ..plans.materialize import stored
 from ..plans.ranking import ranks_of, top_n
 from .index import DOC, Index, build_index
 
@@ -150,6 +151,8 @@ def fuse_full(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF,
     therefore among the top D of either list. Those candidates get their exact rank in both
     lists by counting, and only they are fused.
     """
+    # each side is read several times below: keep the scored pairs instead of scoring again
+    first, second = stored(first, "first_scores"), stored(second, "second_scores")
     depth = k_rrf + 2 * k
     candidates = _ranked(first, depth).select("qid", "id").unionByName(
         _ranked(second, depth).select("qid", "id")).distinct()

@@ -107,8 +107,8 @@ def gold_pairs(docs: DataFrame, queries: DataFrame, prefix: int = 60) -> DataFra
     found = F.regexp_extract_all(needle, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     inner = F.slice(found, 2, F.size(found) - 2)
     by_length = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    keyed = (queries.select("qid", needle.alias("needle"), found.alias("found")).where(F.size("found") >= 3)
-             .select("qid", "needle", F.get(by_length, F.lit(0))["w"].alias("word")))
+    keyed = queries.where(F.size(found) >= 3).select(
+        "qid", needle.alias("needle"), F.get(by_length, F.lit(0))["w"].alias("word"))
     words = docs.select("id", F.explode_outer(F.array_distinct(
         F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
     candidates = words.join(keyed, "word").select("id", "qid", "needle")
