@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +18,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     def register(build: Build) -> Build:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = build
+        QUERIES[name] = functools.wraps(build)(lambda spark, sf_dir: build(prepare(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return build
