@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-FAMILIES = ("retrieval", "evaluation", "text", "quality", "guards", "evidence")
+FAMILIES = ("retrieval", "evaluation", "text", "quality", "guards", "evidence", "logs", "practice")
 
 
 def load() -> ModuleType:

@@ -13,42 +13,37 @@ from ..operators import knowledge as kb
 from ..operators import notes as nt
 from ..operators import search as se
 from ..plans.cue import choose_answer, cue
+from ..plans.materialize import stored
 from ..sources import tables as t
 from . import sql as q
+from .decks import deck_tables
 from .registry import query
 
 
-def _deck(spark, sf_dir):
-    """Documents as one-deck-per-source pages, their vocabulary and their index."""
-    chunks = t.chunks(spark, sf_dir).withColumn("id", F.col("doc_id"))
-    docs = t.documents(spark, sf_dir)
-    return chunks, ix.vocabulary(docs, scope=["deck_id"]), ix.build_index(docs, scope=["deck_id"])
-
-
 def _path(spark, sf_dir):
     """Hits, question context and page context of the questions that pass the guard."""
-    chunks, vocab, index = _deck(spark, sf_dir)
-    live = gd.guard_questions(t.live_questions(spark, sf_dir), vocab, LATIN).where(F.col("status").isNull())
-    hits = se.bm25_search(index, live.select("qid", "deck_id", F.col("query").alias("question")), 3)
+    chunks, vocab, index = deck_tables(spark, sf_dir)
+    guarded = gd.guard_questions(t.live_questions(spark, sf_dir), vocab, LATIN)
+    live = stored(guarded.where(F.col("status").isNull()), "live")
+    hits = stored(se.bm25_search(index, live.select("qid", "deck_id", F.col("query").alias("question")), 3), "hits")
     return hits, ev.question_context(live, vocab, LATIN), ev.page_context(chunks, vocab, only=hits)
 
 
 def _pairs(spark, sf_dir):
     hits, asked, pages = _path(spark, sf_dir)
-    return hits.select("qid", "id", "rank").join(asked, "qid").join(pages.drop("deck_id"), "id")
+    return ev.question_pages(hits, asked, pages)
 
 
-@query("e1_word_overlap", q.with_views("select qid, id, idx, round(score, 6) as score, n from overlaps", "overlaps"))
+@query("e1_word_overlap", q.with_views("select qid, id, idx, round(score, 6) as score, n from line_overlaps", "line_overlaps"))
 def word_overlap(spark, sf_dir):
-    near = _pairs(spark, sf_dir).withColumn("near", ev.partial_matches(F.col("asked"), F.col("weights")))
-    lines = near.select("qid", "id", "near", F.explode("lines").alias("l"))
-    scored = lines.select("qid", "id", "l.idx", ev.overlap(F.col("near"), F.col("l.keys")).alias("o"))
-    return scored.where(F.col("o.n") > 0).select("qid", "id", "idx", F.round("o.score", 6).alias("score"), "o.n")
+    hits = F.transform("lines", lambda line: F.struct(line["idx"].alias("idx"), ev.overlap(F.col("asked"), line["keys"]).alias("o")))
+    found = _pairs(spark, sf_dir).select("qid", "id", F.explode(hits).alias("l"))
+    return found.where(F.col("l.o.n") > 0).select("qid", "id", "l.idx", F.round("l.o.score", 6).alias("score"), "l.o.n")
 
 
 @query("e2_raw_keys", q.with_views("select qid, key from raw_keys", "raw_keys"))
 def raw_keys(spark, sf_dir):
-    _, vocab, _ = _deck(spark, sf_dir)
+    _, vocab, _ = deck_tables(spark, sf_dir)
     guarded = gd.guard_questions(t.live_questions(spark, sf_dir), vocab, LATIN)
     return ev.question_context(guarded, vocab, LATIN).select("qid", F.explode("raw").alias("key"))
 
@@ -113,7 +108,7 @@ KEY_FACTS = f"""
                                     "best_lines", "vocab"))
 def key_facts(spark, sf_dir):
     best = ev.best_lines(_pairs(spark, sf_dir), LATIN)
-    facts = ev.key_facts(F.col("best.line"), F.col("best.words"), F.col("weights"), LATIN)
+    facts = ev.key_facts(F.col("best.line"), F.col("best.words"), F.col("best.keys"), LATIN)
     return best.where(F.col("best").isNotNull()).select("qid", "id", F.array_join(facts, " ").alias("facts")).where(F.col("facts") != "")
 
 
@@ -125,7 +120,7 @@ def key_facts(spark, sf_dir):
     from guarded g left join (select qid, count(*) as n, min_by(page, place) as first_page from picked group by 1) s using (qid)""",
     "guarded", "picked"))
 def cues(spark, sf_dir):
-    chunks, vocab, index = _deck(spark, sf_dir)
+    chunks, vocab, index = deck_tables(spark, sf_dir)
     out = cue(t.live_questions(spark, sf_dir), chunks, index, vocab, LATIN)
     return out.select("qid", "status", "question_type", F.size("sources").alias("n_sources"),
                       F.get("sources", F.lit(0))["slide"].alias("first_page"),
@@ -143,7 +138,7 @@ def _cards(spark, sf_dir):
 
 @query("e9_core_card_cue")
 def core_card_cue(spark, sf_dir):
-    chunks, vocab, index = _deck(spark, sf_dir)
+    chunks, vocab, index = deck_tables(spark, sf_dir)
     short = t.live_questions(spark, sf_dir).withColumn("question", F.concat(F.lit("why "), F.regexp_extract("question", r"^(\S+) ", 1), F.lit("?")))
     out = cue(short, chunks, index, vocab, LATIN, cards=_cards(spark, sf_dir))
     return out.select("qid", "status", "core", "core_pending", "stage", F.array_join(F.col("sources.slide").cast("array<string>"), ",").alias("slides"))

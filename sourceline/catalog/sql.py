@@ -174,7 +174,7 @@ def _deck_views() -> None:
             from dhits h join lines l using (id)""", ("dhits", "lines")),
         "line_words": ("""select h.qid, h.id, h.idx, h.word, v.idf from (select qid, deck_id, id, idx, unnest(keys) as word from hit_lines) h
             left join vocab v on v.deck_id = h.deck_id and v.word = h.word""", ("hit_lines", "vocab")),
-        "overlaps": (f"""select qid, id, idx, sum(case when exact then coalesce(q_idf, 0) else 0.7 * near end) as score, count(*) as n from (
+        "line_overlaps": (f"""select qid, id, idx, sum(case when exact then coalesce(q_idf, 0) else 0.7 * near end) as score, count(*) as n from (
             select l.qid, l.id, l.idx, a.word, any_value(a.idf) as q_idf, bool_or(l.word = a.word) as exact,
               max(case when length(a.word) >= 2 and length(l.word) >= 2 and not {is_number('l.word')}
                         and (contains(l.word, a.word) or contains(a.word, l.word)) then l.idf end) as near
@@ -197,10 +197,10 @@ def _deck_views() -> None:
                    coalesce(o.n, 0) + coalesce(r.n, 0) as n
             from hit_lines h join guarded g using (qid) join (select deck_id, max(idf) as peak from vocab group by 1) p
               on p.deck_id = h.deck_id
-            left join overlaps o on o.qid = h.qid and o.id = h.id and o.idx = h.idx
+            left join line_overlaps o on o.qid = h.qid and o.id = h.id and o.idx = h.idx
             left join raw_hits r on r.qid = h.qid and r.id = h.id and r.idx = h.idx)""".format(
                 pref=" or ".join(f"(qtype = {quote(k)} and regexp_matches(line, {quote(p)}))" for k, p in LATIN.line_pref.items()),
-                qtype=qtype("g.question")), ("hit_lines", "guarded", "vocab", "overlaps", "raw_hits")),
+                qtype=qtype("g.question")), ("hit_lines", "guarded", "vocab", "line_overlaps", "raw_hits")),
         "best_lines": ("""select * exclude (r) from (select *, row_number() over (partition by qid, id order by score desc, idx) as r
             from line_scores) where r = 1""", ("line_scores",)),
         "picked": ("""select *, cast(row_number() over (partition by qid order by total desc, rank) as integer) as place from (
@@ -209,8 +209,8 @@ def _deck_views() -> None:
             select qid, place, w, p, round(coalesce(v.idf, 1.0) + case when {is_number('w')} then 2.5 else 0 end, 9) as s from (
               select qid, deck_id, place, w, min(p) as p from (
                 select *, row_number() over (partition by qid, place, lower(w) order by p) as nth from (
-                  select k.qid, k.deck_id, k.place, k.ws[k.p] as w, k.p from (
-                    select qid, deck_id, place, {words('line')} as ws, unnest(range(1, len({words('line')}) + 1)) as p from picked) k)
+                  select qid, deck_id, place, ws[p] as w, p from (
+                    select qid, deck_id, place, {words('line')} as ws, unnest(range(1, len({words('line')}) + 1)) as p from picked)) k
                 where w not in {in_list(LATIN.stopwords)} and (not {is_number('w')} or {useful_number('w')})
                   and not exists (select 1 from asked_words a where a.qid = k.qid and a.word = lower(w)))
               where nth = 1 group by all) u left join vocab v on v.deck_id = u.deck_id and v.word = lower(u.w)) group by qid, place""",

@@ -36,6 +36,9 @@ GENERAL_NOTES, FALLBACK_NOTES = 3, 10
 # -------------------------------------------------------------------------------------
 
 
+WORD_WEIGHTS = "array<struct<word:string,idf:double>>"
+
+
 def _get(array: Column, i: int = 0) -> Column:
     return F.get(array, F.lit(i))
 
@@ -72,8 +75,15 @@ def page_context(chunks: DataFrame, vocab: DataFrame, refined: DataFrame | None
     weights = (used.where(F.col("word").isNotNull())
                .join(vocab.select("deck_id", "word", "idf"), ["deck_id", "word"])
                .groupBy("id").agg(F.collect_list(F.struct("word", "idf")).alias("weights")))
-    empty = F.array().cast("array<struct<word:string,idf:double>>")
-    return pages.join(weights, "id", "left").withColumn("weights", F.coalesce("weights", empty))
+    return pages.join(weights, "id", "left").withColumn("weights", F.coalesce("weights", F.array().cast(WORD_WEIGHTS)))
+
+
+def weigh_lines(pairs: DataFrame) -> DataFrame:
+    """Gives every line's keys their idf (``array<struct<word, idf>>``) and drops ``weights``."""
+    weighed = F.transform("lines", lambda l: F.struct(
+        l["idx"].alias("idx"), l["line"].alias("line"), l["words"].alias("words"),
+        F.filter("weights", lambda w: F.array_contains(l["keys"], w["word"])).alias("keys")))
+    return pairs.withColumn("lines", weighed).drop("weights")
 
 
 def question_context(questions: DataFrame, vocab: DataFrame, profile: Profile = LATIN,
@@ -90,7 +100,7 @@ def question_context(questions: DataFrame, vocab: DataFrame, profile: Profile =
              .join(vocab.select("deck_id", "word", "idf"), ["deck_id", "word"], "left")
              .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("asked")))
     peak = vocab.groupBy("deck_id").agg(F.max("idf").alias("top_idf"))
-    empty = F.array().cast("array<struct<word:string,idf:double>>")
+    empty = F.array().cast(WORD_WEIGHTS)
     return (base.join(known, "qid", "left").join(peak, "deck_id", "left")
             .withColumn("asked", F.coalesce("asked", empty))
             .withColumn("top_idf", F.coalesce("top_idf", F.lit(1.0)))
@@ -115,28 +125,32 @@ def _overlaps(a: Column, b: Column) -> Column:
     return F.contains(a, b) | F.contains(b, a)
 
 
-def partial_matches(asked: Column, weights: Column) -> Column:
-    """``array<struct<word, idf, near>>``: each question word with the page words that contain it
-    or are contained in it (both two characters or more, numbers aside)."""
-    return F.transform(asked, lambda a: F.struct(
-        a["word"].alias("word"), a["idf"].alias("idf"),
-        F.when(F.length(a["word"]) >= 2, F.filter(weights, lambda w: (F.length(w["word"]) >= 2)
-               & ~is_number(w["word"]) & _overlaps(w["word"], a["word"])))
-         .otherwise(F.array().cast("array<struct<word:string,idf:double>>")).alias("near")))
+def overlap(asked: Column, keys: Column) -> Column:
+    """``struct<score, n>``: how much of the question a line carries.
+
+    A question word that stands in the line counts its idf. Otherwise the rarest word of the
+    line that contains it or is contained in it counts 0.7 of its own idf (both two characters
+    or more, numbers aside). One look into the joined words of either side tells whether any
+    pair can match, so most pairs are never compared.
+    """
+    joined = F.array_join(F.transform(asked, lambda a: a["word"]), "\n")
 
+    def with_line(names: Column, long_keys: Column, inside: Column, line: Column) -> Column:
+        def gain(acc: Column, a: Column) -> Column:
+            holds = F.contains(line, a["word"])
+            near = F.array_max(F.transform(F.filter(F.when(holds, long_keys).otherwise(inside), lambda w: _overlaps(
+                w["word"], a["word"])), lambda w: w["idf"]))
+            value = F.when(F.array_contains(names, a["word"]), F.coalesce(a["idf"], F.lit(0.0))).when(
+                F.length(a["word"]) >= 2, near * PARTIAL)
+            return let(value, lambda v: F.struct((acc["score"] + F.coalesce(v, F.lit(0.0))).alias("score"),
+                                                 (acc["n"] + v.isNotNull().cast("int")).alias("n")))
 
-def overlap(asked: Column, keys: Column) -> Column:
-    """``struct<score, n>`` of a line's word keys against partially matched question words."""
-    def gain(acc: Column, a: Column) -> Column:
-        near = F.array_max(F.transform(F.filter(a["near"], lambda w: F.array_contains(keys, w["word"])),
-                                       lambda w: w["idf"]))
-        exact = F.array_contains(keys, a["word"])
-        return F.struct(
-            (acc["score"] + F.when(exact, F.coalesce(a["idf"], F.lit(0.0)))
-             .otherwise(F.coalesce(near * PARTIAL, F.lit(0.0)))).alias("score"),
-            (acc["n"] + F.when(exact | near.isNotNull(), 1).otherwise(0)).alias("n"))
+        return F.aggregate(asked, F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n")), gain)
 
-    return F.aggregate(asked, F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("n")), gain)
+    long = F.filter(keys, lambda w: (F.length(w["word"]) >= 2) & ~is_number(w["word"]))
+    return let(F.transform(keys, lambda w: w["word"]), lambda names: let(long, lambda long_keys: let(
+        F.filter(long_keys, lambda w: F.contains(joined, w["word"])), lambda inside: let(
+            F.array_join(names, "\n"), lambda line: with_line(names, long_keys, inside, line)))))
 
 
 def _line_score(item: Column, asked: Column, raw: Column, top_idf: Column, qtype: Column, profile: Profile) -> Column:
@@ -163,19 +177,20 @@ def _line_score(item: Column, asked: Column, raw: Column, top_idf: Column, qtype
 
 def score_lines(pairs: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """Adds ``scored`` (``array<struct<score, n, idx, line, words>>``) to (question, page) rows."""
-    near = partial_matches(F.col("asked"), F.col("weights"))
-    return pairs.withColumn("scored", let(near, lambda asked: F.transform(F.col("lines"), lambda item: let(
-        _line_score(item, asked, F.col("raw"), F.col("top_idf"), F.col("qtype"), profile),
+    return pairs.withColumn("scored", F.transform("lines", lambda item: let(
+        _line_score(item, F.col("asked"), F.col("raw"), F.col("top_idf"), F.col("qtype"), profile),
         lambda s: F.struct(s["score"].alias("score"), s["n"].alias("n"), item["idx"].alias("idx"),
-                           item["line"].alias("line"), item["words"].alias("words"))))))
+                           item["line"].alias("line"), item["words"].alias("words"), item["keys"].alias("keys")))))
 
 
 def best_lines(pairs: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """Adds ``best``: the first line with the highest score, null on a page without lines."""
     scored = score_lines(pairs, profile)
-    first_best = F.aggregate(F.col("scored"), _get(F.col("scored")), lambda acc, s: F.when(
-        s["score"] > acc["score"], s).otherwise(acc))
-    return scored.withColumn("best", first_best).drop("scored")
+    # exploding once keeps the scores from being worked out again by every later expression
+    flat = scored.select(*pairs.drop("lines").columns, F.explode_outer(F.array(F.aggregate(
+        F.col("scored"), F.lit(None).cast(scored.schema["scored"].dataType.elementType),
+        lambda acc, s: F.when(acc.isNull() | (s["score"] > acc["score"]), s).otherwise(acc)))).alias("best"))
+    return flat
 
 
 def rerank_pages(picked: DataFrame) -> DataFrame:
@@ -239,6 +254,14 @@ def shown(line: Column) -> Column:
     return F.substring(F.regexp_replace(line, SHOWN_BULLET, ""), 1, SNIPPET)
 
 
+def question_pages(hits: DataFrame, questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row per question and hit page with both contexts. A row is few bytes but much
+    work, so rows are spread evenly over all tasks; that also splits pages many questions hit."""
+    tasks = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return weigh_lines(hits.select("qid", "id", "rank").join(questions, "qid")
+                       .join(pages.drop("deck_id"), "id").repartition(tasks))
+
+
 def evidence(hits: DataFrame, questions: DataFrame, pages: DataFrame, weak: DataFrame | None = None,
              profile: Profile = LATIN) -> DataFrame:
     """One row per question and hit page, in display order:
@@ -247,7 +270,7 @@ def evidence(hits: DataFrame, questions: DataFrame, pages: DataFrame, weak: Data
     ``questions`` is a :func:`question_context`, ``pages`` a :func:`page_context`, ``weak``
     ``deck_id, page, fact, boost`` from practice.
     """
-    pairs = hits.select("qid", "id", "rank").join(questions, "qid").join(pages.drop("deck_id"), "id")
+    pairs = question_pages(hits, questions, pages)
     if weak is None:
         pairs = pairs.withColumn("_weak", F.array().cast("array<struct<fact:string,boost:double>>"))
     else:
@@ -255,7 +278,7 @@ def evidence(hits: DataFrame, questions: DataFrame, pages: DataFrame, weak: Data
         pairs = pairs.join(boosts, ["deck_id", "page"], "left").withColumn(
             "_weak", F.coalesce("_weak", F.array().cast("array<struct<fact:string,boost:double>>")))
     picked = rerank_pages(best_lines(pairs, profile).where(F.col("best").isNotNull()))
-    keywords = line_keywords(F.col("best.words"), F.col("asked"), F.col("weights"), F.col("_weak"), profile)
+    keywords = line_keywords(F.col("best.words"), F.col("asked"), F.col("best.keys"), F.col("_weak"), profile)
     return picked.select("qid", "place", "id", "deck_id", "page", shown(F.col("best.line")).alias("snippet"),
                          F.col("from_refined").alias("refined"), F.col("total").alias("score"),
                          keywords.alias("keywords"))

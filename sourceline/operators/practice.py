@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.profiles import LATIN, Profile
 from ..functions.text import content_words, fold, is_number, let, useful_number
 from ..plans.ranking import top_n
-from .evidence import SNIPPET, Words, best_lines, key_facts, page_context, question_context
+from .evidence import SNIPPET, WORD_WEIGHTS, Words, best_lines, key_facts, page_context, question_context, question_pages
 
 # ---- fixed values -------------------------------------------------------------------
 BOOST = 2.0
@@ -35,15 +35,16 @@ def with_facts(questions: DataFrame, chunks: DataFrame, vocab: DataFrame, profil
     """
     target = chunks.select("deck_id", "page", "id", "text")
     gold = questions.select("qid", "deck_id", "page").join(target, ["deck_id", "page"])
-    pages = page_context(chunks, vocab, only=gold, words=words).drop("deck_id", "page")
+    pages = page_context(chunks, vocab, only=gold, words=words).drop("page")
     asked = question_context(questions.select("qid", "deck_id", "question"), vocab, profile, words).withColumn(
         "qtype", F.lit(qtype or profile.qtype_default))
-    pairs = gold.select("qid", "id", F.col("text").alias("page_text")).join(pages, "id").join(asked, "qid")
+    texts = gold.select("qid", F.col("text").alias("page_text"))
+    pairs = question_pages(gold.select("qid", "id", F.lit(1).alias("rank")), asked, pages).join(texts, "qid")
     best = best_lines(pairs, profile)
     line = F.coalesce(F.col("best.line"), F.substring("page_text", 1, SNIPPET))
     line_words = F.coalesce(F.col("best.words"), words(line))
     found = best.select("qid", "page_text", line.alias("snippet"),
-                        key_facts(line, line_words, F.col("weights"), profile).alias("facts"))
+                        key_facts(line, line_words, F.coalesce("best.keys", F.array().cast(WORD_WEIGHTS)), profile).alias("facts"))
     return questions.join(found, "qid", "left").withColumn(
         "facts", F.coalesce("facts", F.array().cast("array<string>"))).fillna("", ["snippet", "page_text"])
 

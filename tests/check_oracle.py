@@ -47,11 +47,13 @@ def duck(sf_dir):
 
 
 def compare(spark, con, sf_dir, name, build, sql):
+    t0 = time.time()
     frame = build(spark, sf_dir)
     got = frame.collect()
+    took = time.time() - t0
     cols, mine = rows_of(frame.columns, [tuple(r) for r in got])
     if sql is None:
-        return "rows", len(mine), ""
+        return "rows", len(mine), f"spark {took:.1f}s"
     cur = con.execute(sql)
     ocols, theirs = rows_of([d[0] for d in cur.description], cur.fetchall())
     if cols != ocols:
@@ -60,7 +62,7 @@ def compare(spark, con, sf_dir, name, build, sql):
         only = [r for r in mine if r not in set(theirs)][:3]
         other = [r for r in theirs if r not in set(mine)][:3]
         return "FAIL", len(mine), f"rows {len(mine)} vs {len(theirs)}\n   mine   {str(only)[:1500]}\n   oracle {str(other)[:1500]}"
-    return ("ok" if mine else "EMPTY"), len(mine), ""
+    return ("ok" if mine else "EMPTY"), len(mine), f"spark {took:.1f}s"
 
 
 def main() -> int:
