@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-FAMILIES = ("retrieval", "evaluation", "text", "quality", "guards", "evidence", "logs", "practice")
+FAMILIES = ("retrieval", "evaluation", "text", "quality", "guards", "evidence", "logs", "practice", "knowledge", "graphs",
+            "generated", "sources")
 
 
 def load() -> ModuleType:

@@ -91,7 +91,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         from (select conv_id, turn as para, role, unnest(ls) as text,
                      generate_subscripts(ls, 1) - 1 as line_no
               from (select *, {lines('text')} as ls from conversations))""", ()),
-    "qlog": ("""select event_id, ts as at, cast(user_id as varchar) as session, 'question ' || event_id as question,
+    "qlog": ("""select event_id, ts as "at", cast(user_id as varchar) as session, 'question ' || event_id as question,
         q_chars, case when event_type <> 'signup' then event_type end as qtype,
         case event_type when 'error' then 'no_evidence' when 'signup' then 'ignored' else 'ok' end as status,
         value as latency_ms, case when q_chars % 3 <> 0 then q_chars % 2 = 0 end as matched
@@ -234,6 +234,8 @@ def with_views(sql: str, *names: str) -> str:
 
     for name in names:
         visit(name)
+    if not order:
+        return sql.strip()
     body = ",\n".join(f"{n} as materialized ({VIEWS[n][0]})" for n in order)
     sql = sql.strip()
     if sql.lower().startswith("with "):

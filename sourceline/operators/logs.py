@@ -66,10 +66,10 @@ def global_stats(log: DataFrame) -> DataFrame:
     cells = log.groupBy("status", "qtype", "matched").agg(F.count("*").alias("n"))
     metrics = F.array(
         F.struct(F.lit("total").alias("metric"), F.lit("").alias("label")),
-        F.struct(F.lit("status"), F.coalesce("status", F.lit("?"))),
-        F.struct(F.lit("qtype"), F.col("qtype")),
-        F.struct(F.lit("judged"), F.when(F.col("matched").isNotNull(), F.lit(""))),
-        F.struct(F.lit("hits"), F.when(F.col("matched"), F.lit(""))))
+        F.struct(F.lit("status").alias("metric"), F.coalesce("status", F.lit("?")).alias("label")),
+        F.struct(F.lit("qtype").alias("metric"), F.col("qtype").alias("label")),
+        F.struct(F.lit("judged").alias("metric"), F.when(F.col("matched").isNotNull(), F.lit("")).alias("label")),
+        F.struct(F.lit("hits").alias("metric"), F.when(F.col("matched"), F.lit("")).alias("label")))
     return (cells.select("n", F.explode(metrics).alias("m")).where(F.col("m.label").isNotNull())
             .where(~((F.col("m.metric") == "qtype") & (F.col("m.label") == "")))
             .groupBy("m.metric", "m.label").agg(F.sum("n").alias("n")))
@@ -137,7 +137,7 @@ def mix(log: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.when(_status("ok"), F.col("latency_ms"))).alias("ms"),
         F.count(F.when(_status("ok"), F.col("latency_ms"))).alias("n_ms"))
     facets = F.array(F.struct(F.lit("status").alias("facet"), F.col("status").alias("label")),
-                     F.struct(F.lit("type"), F.col("qtype")))
+                     F.struct(F.lit("type").alias("facet"), F.col("qtype").alias("label")))
     rows = cells.select("session", "n", F.explode(facets).alias("f")).groupBy("session", "f.facet", "f.label").agg(
         F.sum("n").alias("n"))
     totals = cells.groupBy("session").agg(F.sum("n").alias("_all"), F.round(F.sum("ms") / F.sum("n_ms")).alias("avg_latency_ms"))
