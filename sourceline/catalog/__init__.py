@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 FAMILIES = ("retrieval", "evaluation", "text", "quality", "guards", "evidence", "logs", "practice", "knowledge", "graphs",
-            "generated", "sources")
+            "generated", "sources", "streams")
 
 
 def load() -> ModuleType:

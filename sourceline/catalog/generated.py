@@ -21,9 +21,15 @@ def _responses(spark, sf_dir, line):
     return _pages(spark, sf_dir).select("deck_id", "page", "doc_id", "text", line.alias("response"))
 
 
-HEAD = F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z]+", " ")
+def head():
+    return F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z]+", " ")
+
+
+def num():
+    return F.col("page").cast("string")
+
+
 HEAD_SQL = "regexp_replace(substr(text, 1, 30), '[^A-Za-z]+', ' ', 'g')"
-NUM = F.col("page").cast("string")
 
 
 @query("m1_generated_questions", q.with_views(f"""
@@ -31,7 +37,7 @@ NUM = F.col("page").cast("string")
     select deck_id, page, h as question from r where length(h) >= 8 and page in (select page from chunks c where c.deck_id = r.deck_id and c.n_chars >= 150)
     union all select deck_id, page, 'why is this so' from r where page in (select page from chunks c where c.deck_id = r.deck_id and c.n_chars >= 150)""", "chunks"))
 def generated_questions(spark, sf_dir):
-    line = F.concat(NUM, F.lit("\t"), HEAD, F.lit("\n"), F.lit("p."), NUM, F.lit(" | why is this so\n999 | unknown page here\n"), NUM, F.lit("\tshort"))
+    line = F.concat(num(), F.lit("\t"), head(), F.lit("\n"), F.lit("p."), num(), F.lit(" | why is this so\n999 | unknown page here\n"), num(), F.lit("\tshort"))
     return gen.parse_questions(_responses(spark, sf_dir, line), gen.target_pages(_pages(spark, sf_dir), 150)).select("deck_id", "page", "question")
 
 
@@ -39,7 +45,7 @@ def generated_questions(spark, sf_dir):
     when page % 3 = 1 then 'it is 48151623' else 'plain words' end as answer, page % 3 = 1 and not {q.numbers_ok("'it is 48151623'", 'text')} as dropped from chunks""", "chunks"))
 def attached_answers(spark, sf_dir):
     said = F.when(F.col("page") % 3 == 0, "none").when(F.col("page") % 3 == 1, "it is 48151623").otherwise("plain words")
-    responses = _responses(spark, sf_dir, F.concat(NUM, F.lit(": first try\n"), NUM, F.lit(": "), said))
+    responses = _responses(spark, sf_dir, F.concat(num(), F.lit(": first try\n"), num(), F.lit(": "), said))
     questions = _pages(spark, sf_dir).select("deck_id", "page", F.col("page").alias("number"))
     return gen.attach_answers(questions.where(F.col("page") < 1000), responses.where(F.col("page") < 1000), _pages(spark, sf_dir), LATIN).select(
         "deck_id", "page", "answer", "dropped")
@@ -50,7 +56,7 @@ KINDS = ["why", "limit", "plan"]
 
 @query("m3_core_suggestions")
 def core_suggestions(spark, sf_dir):
-    line = F.concat(F.lit("## why\n"), NUM, F.lit(" | "), HEAD, F.lit(" [3]\n"), NUM, F.lit(" | made up 77123\n## limit\n999 | no such page"))
+    line = F.concat(F.lit("## why\n"), num(), F.lit(" | "), head(), F.lit(" [3]\n"), num(), F.lit(" | made up 77123\n## limit\n999 | no such page"))
     return gen.core_suggestions(_responses(spark, sf_dir, line).where(F.col("page") == 1), _pages(spark, sf_dir), KINDS).select(
         "deck_id", "kind", "status", "place", "slide", "text")
 
@@ -72,7 +78,7 @@ def steps_from_answer(spark, sf_dir):
 def answer_warnings(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     answers = pages.select(F.col("doc_id").alias("qid"), "deck_id", F.concat(F.substring("text", 1, 400), F.lit(" 48151623")).alias("answer"),
-                           F.concat(NUM, F.lit(" | says otherwise\n9999 | nowhere")).alias("response"))
+                           F.concat(num(), F.lit(" | says otherwise\n9999 | nowhere")).alias("response"))
     return gen.answer_warnings(answers, pages, gen.number_runs(pages))
 
 
@@ -80,8 +86,8 @@ def answer_warnings(spark, sf_dir):
 def flow_steps(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     slides = F.array(F.struct(F.col("page").alias("slide"), F.col("text").alias("text")))
-    line = F.concat(NUM, F.lit(" | "), HEAD, F.lit(" | detail words | "), HEAD, F.lit(" | so | same thing\n777 | moved step | - | - | odd link | -\n"),
-                    NUM, F.lit(" | bad 48151623 | x\n3 | never reached"))
+    line = F.concat(num(), F.lit(" | "), head(), F.lit(" | detail words | "), head(), F.lit(" | so | same thing\n777 | moved step | - | - | odd link | -\n"),
+                    num(), F.lit(" | bad 48151623 | x\n3 | never reached"))
     flow = gen.flow_steps(pages.select("doc_id", F.lit("q").alias("question"), F.lit("fact").alias("qtype"), slides.alias("slides"), line.alias("response")), LATIN)
     return flow.select("doc_id", "status", F.size("steps").alias("n_steps"), F.array_join(F.col("steps.link"), ",").alias("links"))
 
@@ -97,7 +103,7 @@ def cut_at_unsupported(spark, sf_dir):
     || case when page % 4 = 0 then ' 48151623' else '' end as b from chunks) where b <> '' and {q.numbers_ok('b', 'text')}""", "chunks"))
 def refined_blocks(spark, sf_dir):
     body = F.concat(F.regexp_replace(F.substring("text", 1, 200), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.when(F.col("page") % 4 == 0, " 48151623").otherwise(""))
-    return gen.refined_blocks(_responses(spark, sf_dir, F.concat(F.lit("=== "), NUM, F.lit("\n"), body, F.lit("\n"))), _pages(spark, sf_dir)).select(
+    return gen.refined_blocks(_responses(spark, sf_dir, F.concat(F.lit("=== "), num(), F.lit("\n"), body, F.lit("\n"))), _pages(spark, sf_dir)).select(
         "deck_id", "page", F.length("text").alias("n_chars"))
 
 
@@ -147,7 +153,7 @@ def knowledge_graph_edges(spark, sf_dir):
 @query("m11_note_lines")
 def note_lines(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    line = F.concat(NUM, F.lit(" | explain | "), HEAD, F.lit("\n0 | odd | has 48151623 inside\n"), NUM, F.lit(" | known | \"said before\"\nbroken line"))
+    line = F.concat(num(), F.lit(" | explain | "), head(), F.lit("\n0 | odd | has 48151623 inside\n"), num(), F.lit(" | known | \"said before\"\nbroken line"))
     parsed = gen.parse_note_lines(_responses(spark, sf_dir, line).where(F.col("page") == 1))
     return gen.classify_notes(parsed, pages, gen.number_runs(pages)).select("deck_id", "pos", "page", "kind", "said_known", F.array_join("new_numbers", ",").alias("new_numbers"))
 

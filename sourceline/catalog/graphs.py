@@ -23,7 +23,7 @@ SEEDS = """seeds as (select * from (select o_custkey % 50 as qid, o_orderkey as
 
 
 @query("x1_page_neighbours", q.with_views(f"""with {SEEDS},
-    f as (select s.qid, b.other, min(s.rank * 1000000000000 + b.ord) as pos from seeds s join bw b using (node)
+    f as (select s.qid, b.other, min(s.rank * 100000000000000000 + b.ord) as pos from seeds s join bw b using (node)
         where not exists (select 1 from seeds x where x.qid = s.qid and x.node = b.other) group by 1, 2)
     select qid, other, place from (select *, cast(row_number() over (partition by qid order by pos) as integer) as place from f) where place <= 10""", "edges"))
 def page_neighbours(spark, sf_dir):
@@ -55,7 +55,7 @@ def graph_coverage(spark, sf_dir):
 
 
 @query("x6_page_expansion", q.with_views(f"""with {SEEDS},
-    near as (select qid, other as node, row_number() over (partition by qid order by pos) as o from (select s.qid, b.other, min(s.rank * 1000000000000 + b.ord) as pos
+    near as (select qid, other as node, row_number() over (partition by qid order by pos) as o from (select s.qid, b.other, min(s.rank * 100000000000000000 + b.ord) as pos
         from seeds s join bw b using (node) where not exists (select 1 from seeds x where x.qid = s.qid and x.node = b.other) group by 1, 2)),
     told as (select q.qid, p_partkey + 1000000000 as node, min(10 + p_partkey % 7) as o from part join (select distinct qid from seeds) q on p_partkey % 50 = q.qid group by 1, 2),
     pool as (select qid, node, min(o) as o from (select qid, node, o from near where o <= 10 union all select * from told) group by 1, 2),

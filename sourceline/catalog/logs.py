@@ -20,7 +20,7 @@ def session_summary(spark, sf_dir):
     return lg.newest_first(lg.session_summary(t.question_log(spark, sf_dir)))
 
 
-@query("l2_session_log", q.with_views("select event_id, "at", question, status, qtype from qlog where session = '7'", "qlog"))
+@query("l2_session_log", q.with_views("""select event_id, "at", question, status, qtype from qlog where session = '7'""", "qlog"))
 def session_log(spark, sf_dir):
     return lg.session_log(t.question_log(spark, sf_dir), "7").select("event_id", "at", "question", "status", "qtype")
 
@@ -63,7 +63,7 @@ def report(spark, sf_dir):
     return lg.report(t.question_log(spark, sf_dir))
 
 
-@query("l5_first_missed", q.with_views("select event_id, question from qlog where not matched order by "at", question limit 5", "qlog"))
+@query("l5_first_missed", q.with_views("""select event_id, question from qlog where not matched order by "at", question limit 5""", "qlog"))
 def first_missed(spark, sf_dir):
     return lg.first_missed(t.question_log(spark, sf_dir)).select("event_id", "question")
 

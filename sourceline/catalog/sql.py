@@ -98,7 +98,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         from (select *, cast(json_extract_string(props, '$.k') as integer) as q_chars from events)""", ()),
     "vec": ("select vec_id as id, cast(embedding as double[]) as vector, label from embeddings", ()),
     "edges": ("""select l_orderkey as src, l_partkey + 1000000000 as dst, l_returnflag as relation,
-        l_linestatus as why, l_orderkey * 10 + l_linenumber as ord from lineitem""", ()),
+        l_linestatus as why, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as ord from lineitem""", ()),
     # lexical search over all documents
     "post": (f"""select id, dl, term, count(*) as tf from (
         select id, len(t) as dl, unnest(t) as term from (select id, {tokens('text')} as t from docs)) group by all""",

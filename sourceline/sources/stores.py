@@ -146,7 +146,7 @@ def deck_catalogue(files: DataFrame, titles: DataFrame, ready: DataFrame, defaul
             .orderBy(F.col("uploaded_at").desc()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """UTF-8 (with or without mark), else CP949, else null."""
     def one(raw: bytes | None) -> str | None:

@@ -94,7 +94,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("src"), (F.col("l_partkey") + 1_000_000_000).alias("dst"),
         F.col("l_returnflag").alias("relation"), F.col("l_linestatus").alias("why"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ord"))
 
 
 def gold_pairs(docs: DataFrame, queries: DataFrame, prefix: int = 60) -> DataFrame:
