@@ -47,7 +47,7 @@ def attached_answers(spark, sf_dir):
     said = F.when(F.col("page") % 3 == 0, "none").when(F.col("page") % 3 == 1, "it is 48151623").otherwise("plain words")
     responses = _responses(spark, sf_dir, F.concat(num(), F.lit(": first try\n"), num(), F.lit(": "), said))
     questions = _pages(spark, sf_dir).select("deck_id", "page", F.col("page").alias("number"))
-    return gen.attach_answers(questions.where(F.col("page") < 1000), responses.where(F.col("page") < 1000), _pages(spark, sf_dir), LATIN).select(
+    return gen.attach_answers(questions, responses, _pages(spark, sf_dir), LATIN).select(
         "deck_id", "page", "answer", "dropped")
 
 
@@ -69,7 +69,7 @@ def steps_from_answer(spark, sf_dir):
 
 
 @query("m5_answer_warnings", q.with_views(f"""
-    with a as (select doc_id as qid, deck_id, page, substr(text, 1, 400) || ' 48151623' as answer from chunks),
+    with a as (select doc_id as qid, deck_id, page, text || ' 48151623' as answer from chunks),
     runs as (select deck_id, unnest(regexp_extract_all({q.squeeze('text')}, '[0-9][0-9.]*')) as run from chunks),
     n as (select distinct qid, deck_id, unnest({q.numbers('answer')}) as message from a)
     select qid, cast(null as integer) as slide, 'number' as kind, message from n where length(message) >= 2 and not exists (
@@ -77,7 +77,7 @@ def steps_from_answer(spark, sf_dir):
     union all select qid, page, 'contradiction', 'says otherwise' from a""", "chunks"))
 def answer_warnings(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    answers = pages.select(F.col("doc_id").alias("qid"), "deck_id", F.concat(F.substring("text", 1, 400), F.lit(" 48151623")).alias("answer"),
+    answers = pages.select(F.col("doc_id").alias("qid"), "deck_id", F.concat("text", F.lit(" 48151623")).alias("answer"),
                            F.concat(num(), F.lit(" | says otherwise\n9999 | nowhere")).alias("response"))
     return gen.answer_warnings(answers, pages, gen.number_runs(pages))
 
@@ -94,7 +94,7 @@ def flow_steps(spark, sf_dir):
 
 @query("m7_cut_at_unsupported")
 def cut_at_unsupported(spark, sf_dir):
-    answers = t.documents(spark, sf_dir).select("id", F.substring("text", 1, 1500).alias("response"), F.substring("text", 1, 700).alias("source"),
+    answers = t.documents(spark, sf_dir).select("id", F.col("text").alias("response"), F.substring("text", 1, 700).alias("source"),
                                                 F.lit("").alias("question"))
     return gen.cut_at_unsupported(answers).select("id", "status", F.length("shown").alias("n_shown"))
 
@@ -108,14 +108,14 @@ def refined_blocks(spark, sf_dir):
 
 
 def _page_graph(spark, sf_dir):
-    pages = _pages(spark, sf_dir).where(F.col("page") <= 9)
+    pages = _pages(spark, sf_dir)
     line = F.lit("## 슬라이드\n1 | 문제 | first\n2 | odd | second\n999 | 문제 | gone\n## 연결\n1 | 2 | 근거 | because\n2 | 2 | 근거 | self\n"
                  "3 | 1 | other | 48151623 times\n## 줄거리\n1. it starts | 1, 2, 99\nnumber 48151623 | 1")
     responses = pages.where(F.col("page") == 1).select("deck_id", line.alias("response"))
     return gen.page_graph(responses, pages, gen.number_runs(pages), KOREAN.roles, KOREAN.page_relations, "소개", "이어짐")
 
 
-@query("m9_page_graph_nodes", q.with_views("""select deck_id, page, case page when 1 then '문제' else '소개' end as role from chunks where page <= 9""", "chunks"))
+@query("m9_page_graph_nodes", q.with_views("""select deck_id, page, case page when 1 then '문제' else '소개' end as role from chunks""", "chunks"))
 def page_graph_nodes(spark, sf_dir):
     return _page_graph(spark, sf_dir)[0].select("deck_id", "page", "role")
 
@@ -158,10 +158,9 @@ def note_lines(spark, sf_dir):
     return gen.classify_notes(parsed, pages, gen.number_runs(pages)).select("deck_id", "pos", "page", "kind", "said_known", F.array_join("new_numbers", ",").alias("new_numbers"))
 
 
-@query("m12_approved_cards", q.with_views("""select deck_id, 'why' as core_id, 'edited' as source, 2 as n_steps from chunks where page % 2 = 0 and page <= 1
-    union all select deck_id, 'why', 'edited', 2 from chunks where page = 2""", "chunks"))
+@query("m12_approved_cards", q.with_views("""select deck_id, 'why' as core_id, 'edited' as source, 2 as n_steps from chunks group by 1""", "chunks"))
 def approved_cards(spark, sf_dir):
-    pages = _pages(spark, sf_dir).where(F.col("page") <= 3)
+    pages = _pages(spark, sf_dir)
     step = lambda text: F.struct(F.lit(text).alias("text"), F.col("page").alias("slide"))
     requests = pages.select("deck_id", "page", F.when(F.col("page") == 3, "unknown").otherwise("why").alias("core_id"),
                             F.when(F.col("page") == 1, F.array(step("  "))).otherwise(F.array(step(" one "), step(""), step("two"))).alias("steps"),

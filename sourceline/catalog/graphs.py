@@ -67,9 +67,10 @@ def page_expansion(spark, sf_dir):
     story = part.select((F.col("p_partkey") % 7).alias("line_id"), (F.col("p_partkey") + 1_000_000_000).alias("page"),
                         (F.col("p_partkey") % 50).cast("string").alias("word"))
     asked = seeds.select("qid", F.col("qid").cast("string").alias("word")).distinct()
-    nodes = part.select((F.col("p_partkey") + 1_000_000_000).alias("node"))
-    scored = nodes.select("node", F.round((F.col("node") % 13) / 3.0, 6).alias("score"), (F.col("node") % 13).alias("n"))
-    scored = asked.select("qid").withColumn("_k", F.lit(1)).join(scored.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    near = seeds.join(gr.both_ways(edges), "node").select("qid", F.col("other").alias("node"))
+    told = story.join(asked, "word").select("qid", F.col("page").alias("node"))
+    scored = near.unionByName(told).distinct().select(
+        "qid", "node", F.round((F.col("node") % 13) / 3.0, 6).alias("score"), (F.col("node") % 13).alias("n"))
     return gr.expand_pages(edges, story, seeds, asked, scored)
 
 

@@ -10,15 +10,15 @@ from ..functions.text import content_words
 from ..operators import classify as cl
 from ..operators import generated as gen
 from ..operators import guards as gd
-from ..operators import index as ix
 from ..operators import search as se
 from ..sources import tables as t
 from . import sql as q
+from .decks import deck_tables
 from .registry import query
 
 
 def _vocab(spark, sf_dir):
-    return ix.vocabulary(t.documents(spark, sf_dir), scope=["deck_id"])
+    return deck_tables(spark, sf_dir)[1]
 
 
 def _short_said(spark, sf_dir):

@@ -16,7 +16,7 @@ from .registry import query
 
 
 def _queries_as_vectors(spark, sf_dir):
-    return t.vectors(spark, sf_dir).where(F.col("id") % 10 == 0).select(F.col("id").alias("qid"), "vector")
+    return t.vectors(spark, sf_dir).select(F.col("id").alias("qid"), "vector")
 
 
 VEC_HITS = """select a.id as qid, b.id, round(list_sum(list_transform(range(1, 65),
@@ -74,7 +74,7 @@ def bm25_within_deck(spark, sf_dir):
 @query("r3_dense_search", q.with_views(f"""
     select qid, id, cast(rank as integer) as rank, round(score, 6) as score from (
         select *, row_number() over (partition by qid order by score desc, id) as rank
-        from ({VEC_HITS} where a.id % 10 = 0)) where rank <= 5""", "vec"))
+        from ({VEC_HITS})) where rank <= 5""", "vec"))
 def dense_top5(spark, sf_dir):
     hits = se.dense_search(t.vectors(spark, sf_dir), _queries_as_vectors(spark, sf_dir), 5)
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
@@ -92,7 +92,7 @@ def normalised(spark, sf_dir):
 
 @query("r5_fusion_of_hits", q.with_views(f"""
     with raw as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank
-                 from ({VEC_HITS} where a.id % 10 = 0)),
+                 from ({VEC_HITS})),
     d as (select * from raw where rank <= 20),
     rev as (select qid, (id * 7 + 3) % (select count(*) from vec) as id, rank from d),
     s as (select qid, id, round(sum(1 / (60.0 + rank)), 12) as score, min(case when l = 0 then rank end) as lead from (
@@ -175,6 +175,26 @@ def preset_search(spark, sf_dir):
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r8_hybrid_retriever", q.with_views(f"""
+    with v as (select {VEC_HITS.strip()[7:]} where a.id in (select qid from bq)),
+    rb as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from v where id in (select id from docs)),
+    ra as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from bm25
+           where id in (select id from vec)),
+    s as (select qid, id, round(sum(1 / (60.0 + rank)), 12) as score, min(case when li = 0 then rank end) as lead from (
+        select *, 0 as li from ra union all select *, 1 as li from rb) group by qid, id)
+    select qid, id, cast(rank as integer) as rank, round(score, 8) as score from (select *, row_number() over (
+        partition by qid order by score desc, lead nulls last, id) as rank from s) where rank <= 3""", "bm25", "vec", "docs", "bq"))
+def hybrid(spark, sf_dir):
+    """Lexical scores fused with vectors: documents and vectors share their ids, items too."""
+    docs, vec = t.documents(spark, sf_dir), t.vectors(spark, sf_dir).select("id", "vector")
+    both = vec.join(docs.select("id"), "id", "left_semi")
+    asked = t.questions(spark, sf_dir)
+    lexical = se.bm25_scores(ix.build_index(docs), asked).join(both.select("id"), "id", "left_semi")
+    queries = asked.join(vec.withColumnRenamed("id", "qid"), "qid")
+    hits = se.fuse_with_dense(lexical, both, queries, 3)
+    return hits.select("qid", "id", "rank", F.round("score", 8).alias("score"))
+
+
 @query("r9_word_idf", q.with_views(f"""
     select deck_id, word, count(*) as df, round(ln(1 + n / count(*)), 6) as idf
     from (select d.deck_id, unnest({q.lower_words('d.text')}) as word, n

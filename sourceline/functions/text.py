@@ -252,15 +252,9 @@ def letter_count(text: Column, letter: str = LETTER) -> Column:
 
 
 def top_char_count(chars: Column) -> Column:
-    """Occurrences of the most frequent character: sort, then count the longest run."""
-    run = F.aggregate(
-        F.array_sort(chars),
-        F.struct(F.lit("").alias("ch"), F.lit(0).alias("n"), F.lit(0).alias("best")),
-        lambda acc, ch: F.struct(
-            ch.alias("ch"),
-            F.when(ch == acc["ch"], acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            F.greatest(acc["best"], F.when(ch == acc["ch"], acc["n"] + 1).otherwise(F.lit(1))).alias("best")))
-    return run["best"]
+    """Occurrences of the most frequent character: what the joined text loses without it."""
+    return let(F.array_join(chars, ""), lambda whole: F.coalesce(F.array_max(F.transform(
+        F.array_distinct(chars), lambda c: F.length(whole) - F.length(F.replace(whole, c, F.lit(""))))), F.lit(0)))
 
 
 def line_garbled(line: Column, alphabet: str = "[가-힣]") -> Column:

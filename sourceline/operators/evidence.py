@@ -149,7 +149,7 @@ def overlap(asked: Column, keys: Column) -> Column:
 
     long = F.filter(keys, lambda w: (F.length(w["word"]) >= 2) & ~is_number(w["word"]))
     return let(F.transform(keys, lambda w: w["word"]), lambda names: let(long, lambda long_keys: let(
-        F.filter(long_keys, lambda w: F.contains(joined, w["word"])), lambda inside: let(
+        let(joined, lambda said: F.filter(long_keys, lambda w: F.contains(said, w["word"]))), lambda inside: let(
             F.array_join(names, "\n"), lambda line: with_line(names, long_keys, inside, line)))))
 
 

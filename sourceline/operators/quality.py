@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.profiles import KOREAN, Profile
-from ..functions.text import body_part, find_all, letter_count, notes_part, top_char_count, with_notes
+from ..functions.text import body_part, find_all, let, letter_count, notes_part, top_char_count, with_notes
 from ..plans.ranking import exact_index, median_high, number_rows
 
 # ---- fixed values -------------------------------------------------------------------
@@ -23,9 +23,8 @@ REASONS = ("daily_quota", "call_limit", "render_failed", "caption_error")
 
 def garbled(text: Column, profile: Profile = KOREAN) -> Column:
     """Fifteen characters or more, over a quarter of them the same one."""
-    chars = find_all(text, profile.alphabet)
-    n = F.size(chars)
-    return (n >= MIN_SYLLABLES) & (top_char_count(chars) / n > MAX_TOP_SHARE)
+    return let(find_all(text, profile.alphabet), lambda chars: (F.size(chars) >= MIN_SYLLABLES) & (
+        top_char_count(chars) / F.size(chars) > MAX_TOP_SHARE))
 
 
 def grade_pages(pages: DataFrame, profile: Profile = KOREAN) -> DataFrame:

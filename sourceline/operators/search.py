@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens, passages
-from ..functions.vectors import as_double, dot
+from ..functions.vectors import dot
 from ..plans.materialize import stored
 from ..plans.ranking import ranks_of, top_n
 from .index import DOC, Index, build_index
@@ -121,11 +121,45 @@ def dense_search(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool =
     return _ranked(best, k)
 
 
-def dense_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``qid, id, score`` of every pair: needed only where full rankings are asked for."""
-    pairs = docs.select("id", as_double(F.col("vector")).alias("_d")).join(
-        queries.select("qid", as_double(F.col("vector")).alias("_q")))
-    return pairs.select("qid", "id", F.round(dot(F.col("_q"), F.col("_d")), SCORE_DIGITS).alias("score"))
+def dense_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, block: int = 2_000) -> DataFrame:
+    """Exact rank (score descending, id ascending) of a few documents per query among all:
+    ``wanted(qid, id)`` → ``qid, id, score, rank``.
+
+    The documents are scanned once per ``block`` queries. A task compares its documents with the
+    wanted scores and emits counts, so neither pairs nor full rankings are ever rows.
+    """
+    score = F.round(dot(F.col("_q"), F.col("vector")), SCORE_DIGITS).alias("score")
+    pairs = stored(wanted.select("qid", "id").join(docs.select("id", "vector"), "id")
+                   .join(queries.select("qid", F.col("vector").alias("_q")), "qid").select("qid", "id", score), "wanted")
+    n_blocks = queries.select(F.count("*")).first()[0] // block + 1
+    kinds = dict(pairs.dtypes)
+    schema = f"qid {kinds['qid']}, id {kinds['id']}, better long"
+    out = None
+    for n in range(n_blocks):
+        mine = F.pmod(F.hash("qid"), F.lit(n_blocks)) == n
+        vectors = queries.where(mine).select("qid", "vector").toPandas()
+        lists = pairs.where(mine).toPandas().groupby("qid")
+        if vectors.empty:
+            continue
+        held = queries.sparkSession.sparkContext.broadcast([
+            (row.qid, np.asarray(row.vector, dtype=np.float64), lists.get_group(row.qid)["id"].to_numpy(),
+             lists.get_group(row.qid)["score"].to_numpy()) for row in vectors.itertuples() if row.qid in lists.groups])
+
+        def count(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame):
+                    continue
+                ids, body = frame["id"].to_numpy(), _unit_rows(frame["vector"])
+                for qid, vector, cand, scores in held.value:
+                    sims = np.round(body @ vector, SCORE_DIGITS)
+                    ahead = (sims[None, :] > scores[:, None]) | ((sims[None, :] == scores[:, None]) & (ids[None, :] < cand[:, None]))
+                    ahead &= ids[None, :] != cand[:, None]
+                    yield pd.DataFrame({"qid": qid, "id": cand, "better": ahead.sum(axis=1)})
+
+        part = docs.select("id", "vector").mapInPandas(count, schema)
+        out = part if out is None else out.unionByName(part)
+    counts = out.groupBy("qid", "id").agg((F.sum("better") + 1).cast("int").alias("rank"))
+    return pairs.join(counts, ["qid", "id"])
 
 
 def rrf_score(rank: Column, k_rrf: int = K_RRF) -> Column:
@@ -142,6 +176,11 @@ def fuse_hits(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF) -
     return top_n(summed, ["qid"], [F.col("score").desc(), F.col("_lead").asc_nulls_last(), F.col("id")], k).drop("_lead")
 
 
+def winning_depth(k: int, k_rrf: int = K_RRF) -> int:
+    """Depth of either list beyond which no document can be among the k fused winners."""
+    return k_rrf + 2 * k
+
+
 def fuse_full(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF,
               buckets: tuple[float, float] = (64.0, 1024.0)) -> DataFrame:
     """Fusion of two full rankings given as scored pairs, without ranking them in full.
@@ -153,7 +192,7 @@ def fuse_full(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF,
     """
     # each side is read several times below: keep the scored pairs instead of scoring again
     first, second = stored(first, "first_scores"), stored(second, "second_scores")
-    depth = k_rrf + 2 * k
+    depth = winning_depth(k, k_rrf)
     candidates = _ranked(first, depth).select("qid", "id").unionByName(
         _ranked(second, depth).select("qid", "id")).distinct()
     ranked = [ranks_of(side, candidates, "qid", "id", "score", lambda s, w=width: F.floor(s * w))
@@ -161,6 +200,16 @@ def fuse_full(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF,
     return fuse_hits(ranked[0], ranked[1], k, k_rrf)
 
 
+def fuse_with_dense(lexical: DataFrame, docs: DataFrame, queries: DataFrame, k: int, k_rrf: int = K_RRF) -> DataFrame:
+    """As :func:`fuse_full` for scored lexical pairs and vectors: the dense side is scanned, its
+    pairs are never materialised."""
+    lexical, depth = stored(lexical, "lexical_scores"), winning_depth(k, k_rrf)
+    candidates = stored(_ranked(lexical, depth).select("qid", "id").unionByName(
+        dense_search(docs, queries, depth).select("qid", "id")).distinct(), "candidates")
+    return fuse_hits(ranks_of(lexical, candidates, "qid", "id", "score", lambda s: F.floor(s * 64)),
+                     dense_ranks(docs, queries, candidates), k, k_rrf)
+
+
 def fold_passages(passage_hits: DataFrame, owner: DataFrame, k: int) -> DataFrame:
     """Best passage score per page. ``owner(passage_id, id)``."""
     pages = (passage_hits.withColumnRenamed("id", "passage_id").join(owner, "passage_id")
@@ -201,7 +250,7 @@ def dense_retriever(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_retriever(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return fuse_full(bm25_scores(build_index(docs), queries), dense_scores(docs, queries), k)
+    return fuse_with_dense(bm25_scores(build_index(docs), queries), docs, queries, k)
 
 
 RETRIEVERS: dict[str, Retriever] = {
