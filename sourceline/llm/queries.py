@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import mixing, packing, sharding
+from . import decontamination, mixing, packing, quality, secret_scan, sharding
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -31,12 +31,31 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
+@query("op3_quality_trees")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op5_shard_bytes")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 contiguous shards of near equal bytes."""
     return sharding.shard_bytes(table(spark, sf_dir, "documents"))
 
 
+@query("op8_winnowing", decontamination.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_token_efficiency")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    import public_tokenizers
+    return secret_scan.secret_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query("op10_packed_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written in packed files and read back."""
