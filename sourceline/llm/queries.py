@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontamination, mixing, packing, quality, secret_scan, sharding
+from . import decontamination, mixing, packing, quality, secret_scan, sharding, simhash
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
+@query("op2_simhash_trie")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash component of every document."""
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 @query("op3_quality_trees")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
