@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontamination, mixing, packing, quality, secret_scan, sharding, simhash
+from . import decontamination, lm, mixing, packing, quality, secret_scan, sharding, simhash
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(table(spark, sf_dir, "documents"))
 
 
+@query("op6_log_bilinear")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document."""
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op8_winnowing", decontamination.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
