@@ -39,8 +39,8 @@ FOLDS, HELD_OUT = 7, 2
 WORDS, RARE, HEAD = 2048, 510, 100_000
 CLASSES = 1 + WORDS + RARE + 1
 START = CLASSES - 1
-SIZE, NOISE, MINIBATCH, RATE, ROUNDS = 16, 32, 8192, 0.1, 2
-FLUSH = 300_000
+SIZE, NOISE, MINIBATCH, RATE, G0, ROUNDS = 16, 128, 2048, 0.1, 10.0, 2
+FLUSH, HELD = 300_000, 1 << 18
 CHUNKS, FAN = 16, 64
 _TABLES: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -213,7 +213,7 @@ def train_on(model: Model, texts: Iterable[np.ndarray], class_n: np.ndarray, see
     rng = np.random.default_rng(seed)
     flat = model.flat.copy()
     a, b, q, bias = Model(flat, "").parts()
-    square = [np.full(p.shape, 1e-2, np.float32) for p in (a, b, q, bias)]
+    square = [np.full(p.shape, G0, np.float32) for p in (a, b, q, bias)]
     shares = noise_shares(class_n)
     cumulative, offset, seen = np.cumsum(shares), np.log(NOISE * shares).astype(np.float32), 0
 
@@ -245,7 +245,7 @@ def train_on(model: Model, texts: Iterable[np.ndarray], class_n: np.ndarray, see
     for ids in texts:
         held.append(ids)
         size += len(ids)
-        if size >= 32 * MINIBATCH:
+        if size >= HELD:
             seen += learn(held)
             held, size = [], 0
     if held:
