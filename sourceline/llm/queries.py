@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontamination, lm, mixing, packing, quality, secret_scan, sharding, simhash
+from . import decontamination, embedding_dedup, lm, mixing, packing, quality, secret_scan, sharding, simhash
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op4_sorted_projections")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of each label."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_shard_bytes")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 contiguous shards of near equal bytes."""
