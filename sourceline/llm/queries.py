@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontamination, embedding_dedup, lm, mixing, packing, quality, secret_scan, sharding, simhash
+from . import decontamination, embedding_dedup, lm, mixing, packing, quality, secret_scan, sharding, simhash, warc
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+@query("op7_revisits", warc.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Not-modified revisits of a crawl of all pages."""
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op8_winnowing", decontamination.ORACLE)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
