@@ -24,6 +24,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row``, a number for each row, and ``doc``, its columns: no column of ``docs`` can meet a name of ours."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character as it is.
 

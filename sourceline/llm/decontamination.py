@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import stored
-from .common import ascii_lower
+from .common import ascii_lower, numbered
 
 WINDOW = 13
 K = 5
@@ -145,10 +145,9 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, with their own columns."""
-    columns = docs.columns
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-documents")
-    bad = contamination(keyed, items, ["_row"]).where("contaminated").select("_row")
-    return keyed.join(bad, "_row", "left_anti").select(*columns)
+    rows = stored(numbered(docs), "decontamination-documents")
+    bad = contamination(rows.select("row", "doc.text"), items, ["row"]).where("contaminated").select("row")
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 ORACLE = r"""

@@ -18,11 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import stored
-from .common import WORD
+from .common import WORD, numbered
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -32,10 +32,14 @@ LATTICE, GOLDEN = 1 << 31, 1327217885
 BUCKETS, CHUNK, CELLS = 4096, 4096, 4096
 
 
+def word_count(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """``row_id, doc_id, source, size`` as a written table: the texts are read once and row ids stay."""
     return stored(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source",
-                              F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+                              word_count("text").alias("size")), "mix-sizes")
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -135,11 +139,8 @@ def mixed_words(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: i
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``docs`` repeated as the mix begins them: 0 to ``max_repeat`` times each, with the same columns."""
-    columns = docs.columns
-    keyed = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    rows = keyed.select(F.col("_mix_row").alias("row_id"), "doc_id", "source",
-                        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = stored(rows, "mix-sizes")
+    numbers = stored(numbered(docs), "mix-documents")
+    rows = stored(numbers.select(F.col("row").alias("row_id"), "doc.doc_id", "doc.source", word_count("doc.text").alias("size")), "mix-sizes")
     sources = stored(targets(rows, weights, max_repeat), "mix-sources")
-    starts = mixture(rows, sources).where("first_word = 0").select(F.col("row_id").alias("_mix_row"))
-    return keyed.join(starts, "_mix_row").select(*columns)
+    starts = mixture(rows, sources).where("first_word = 0").select(F.col("row_id").alias("row"))
+    return numbers.join(starts, "row").select("doc.*")

@@ -19,11 +19,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, fold_column
+from .common import crc_of_id, fold_column, numbered
 
 MAX_ROWS = 20_000
 TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.15
@@ -149,16 +150,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
     return fit(x, rows["quality"].to_numpy(float))
 
 
-def scored(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, held_out, score, predicted``; with ``keep``, those columns of ``docs`` and ``score`` instead."""
+def scored(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, held_out, score, predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    if keep is not None:
-        @F.pandas_udf("double")
-        def score(text):
-            return _scores(text, shared.value)
-        return docs.select(*keep, score("text").alias("_score"))
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = shared.value.score(statistics(batch.column("text").cast(pa.binary()).to_pylist()))
@@ -170,16 +165,16 @@ def scored(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, keep: li
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def _scores(text, trees: Trees):
-    import pandas as pd
-    return pd.Series(trees.score(statistics([None if t is None else t.encode() for t in text])))
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, train(docs, labels))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    columns = docs.columns
-    return scored(docs, train(docs, labels), threshold, columns).where(F.col("_score") >= threshold).select(*columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(statistics([None if t is None else t.encode() for t in text])))
+
+    return numbered(docs).where(score("doc.text") >= threshold).select("doc.*")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import stored
+from .common import numbered
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -89,10 +90,10 @@ def shard_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``.
+    """``docs`` with ``shard`` and ``slot``, which replace columns of these names.
 
     Rows meet their place by a row number that a written table keeps, so repeated ids stay apart.
     """
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-documents")
-    places = shard_bytes(keyed.select(F.col("_row").alias("doc_id"), "text"), shards)
-    return keyed.join(places.select(F.col("doc_id").alias("_row"), "shard", "slot"), "_row").drop("_row")
+    rows = stored(numbered(docs.drop("shard", "slot")), "shard-documents")
+    places = shard_bytes(rows.select(F.col("row").alias("doc_id"), "doc.text"), shards)
+    return rows.join(places.select(F.col("doc_id").alias("row"), "shard", "slot"), "row").select("doc.*", "shard", "slot")

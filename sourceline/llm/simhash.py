@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.materialize import stored
+from .common import numbered
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -257,7 +258,6 @@ def components(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of every component, with the columns of ``docs``."""
-    columns = docs.columns
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-documents")
-    keep = near_duplicates(keyed, "doc_id", ("_row",)).where(F.col("first._row") == F.col("_row")).select("_row")
-    return keyed.join(keep, "_row", "left_semi").select(*columns)
+    rows = stored(numbered(docs), "simhash-documents")
+    keep = near_duplicates(rows.select("doc.doc_id", "row", "doc.text"), "doc_id", ("row",)).where(F.col("first.row") == F.col("row"))
+    return rows.join(keep.select("row"), "row", "left_semi").select("doc.*")
