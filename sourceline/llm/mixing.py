@@ -3,7 +3,7 @@
 Sources share the words of all documents by weight, none above ``max_repeat`` times its own. Slots
 of the mix are dealt to sources by golden-ratio points mapped through the cumulative targets, so any
 stretch of the mix holds each source in proportion. A source's documents stand in a shuffled order,
-their words cut into blocks of equal length; its k-th slot takes its k-th block, starting over when
+their words cut into blocks of equal length, to a word; its k-th slot takes its k-th block, starting over when
 the source is used up.
 
 Everything is DataFrame operations. A source is never in one task: running sums go over hash
@@ -118,11 +118,19 @@ def mixture(rows: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFram
     slots = schedule(sources, block)
     counts = slots.groupBy("src").agg(F.count("*").alias("slots"))
     turns = _epochs(placed(rows, sources).join(counts, "src")).where("low < high")
-    width = F.ceil(F.col("length") / F.col("slots"))
-    pieces = (turns.withColumn("width", width)
-              .withColumn("k", F.explode(F.sequence(F.floor(F.col("low") / F.col("width")), F.floor((F.col("high") - 1) / F.col("width")))))
-              .withColumn("from", F.greatest("low", F.col("k") * F.col("width")))
-              .withColumn("to", F.least("high", (F.col("k") + 1) * F.col("width"))))
+    n, length = F.col("slots"), F.col("length")
+
+    def begin(k: Column) -> Column:
+        return F.when(k >= n, length).otherwise(F.floor(k * length.cast("double") / n))
+
+    def near(word: Column) -> Column:
+        return F.floor(word.cast("double") * n / length)
+
+    # a slot more on either side, for words at a border; empty pieces fall away
+    reach = F.sequence(F.greatest(near(F.col("low")) - 1, F.lit(0)), F.least(near(F.col("high")) + 1, n - 1))
+    pieces = (turns.withColumn("k", F.explode(reach))
+              .withColumn("from", F.greatest("low", begin(F.col("k"))))
+              .withColumn("to", F.least("high", begin(F.col("k") + 1))).where("from < to"))
     return (pieces.join(slots, ["src", "k"])
             .select("slot", "src", "row_id", "doc_id", "epoch", F.col("from").alias("low"), F.col("to").alias("high"),
                     (F.col("from") - F.col("low")).alias("first_word")))
