@@ -82,9 +82,18 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame) -> Vocabulary:
-        """At most ``HEAD`` words and one total per class reach the driver."""
+        """At most ``HEAD`` words, one total per class and one count per step of frequency reach the driver.
+
+        The head is all words above a frequency, the lowest of steps of 1/64 octave that leaves at most ``HEAD``.
+        """
         totals = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.length("word") == 0, F.col("n")))).first()
-        top = counts.where(F.length("word") > 0).orderBy(F.col("n").desc(), "word").limit(HEAD).collect()
+        step, known = F.floor(F.log2("n") * 64).cast("int"), counts.where(F.length("word") > 0)
+        lowest, room = None, HEAD
+        for at, words in sorted(map(tuple, known.groupBy(step.alias("step")).count().collect()), reverse=True):
+            if words > room:
+                break
+            lowest, room = at, room - words
+        top = sorted(known.where(step >= lowest).collect(), key=lambda r: (-r["n"], bytes(r["word"]))) if lowest is not None else []
         head, n = [bytes(r[0]) for r in top], np.array([r[1] for r in top], dtype=np.int64)
         by_class = (counts.where(F.length("word") > 0)
                     .groupBy((F.crc32(F.substring("word", -3, 3)) % RARE).cast("int").alias("c")).agg(F.sum("n"), F.count("*")).collect())
