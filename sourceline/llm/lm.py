@@ -59,9 +59,9 @@ def word_counts(train: DataFrame) -> DataFrame:
             held.clear()
             return out
         for batch in batches:
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if text:
-                    held.update(text.lower().split())
+            for text in batch.column("text").cast(pa.binary()):
+                if text.is_valid:
+                    held.update(text.as_py().lower().split())
                 held[b""] += 1
                 if len(held) > FLUSH:
                     yield flush()
@@ -129,10 +129,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         log_total = np.log10(v.rare_total)
         inside = np.append(np.where(np.arange(len(v.n)) < WORDS, 0.0, log_n[:-1] - log_total[np.maximum(classes[:-1] - 1 - WORDS, 0) % RARE]), 0.0)
         for batch in batches:
-            split = [t.lower().split() if t else [] for t in batch.column("text").cast(pa.binary()).to_pylist()]
             columns: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "known_log", "inside_log", "classes")}
             words, times, offsets = [], [], [0]
-            for tokens in split:
+            for text in batch.column("text").cast(pa.binary()):
+                tokens = text.as_py().lower().split() if text.is_valid else []
                 at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
                 ids = classes[at]
                 unknown = np.flatnonzero(at < 0).tolist()
@@ -193,7 +193,10 @@ class Model:
             first, second = a @ q.T, b @ q.T + bias
             second[:, START] = -1e4
             top1, top2 = first.max(1, keepdims=True), second.max(1, keepdims=True)
-            norm = np.log(np.exp(first - top1) @ np.exp(second - top2).T) + top1 + top2.T
+            further = np.exp(second - top2).T
+            norm = np.empty_like(first)
+            for at in range(0, CLASSES, 256):
+                norm[at:at + 256] = np.log(np.exp(first[at:at + 256] - top1[at:at + 256]) @ further) + top1[at:at + 256] + top2.T
             _TABLES[self.key] = first, second, norm
         return _TABLES[self.key]
 
@@ -310,10 +313,14 @@ def text_scores(coded: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [np.frombuffer(x, "<i2") for x in batch.column("classes").to_pylist()]
-            if texts:
-                first = np.cumsum([0, *map(len, texts[:-1])])
-                values = token_log_probabilities(shared.value, np.concatenate(texts).astype(np.int64), first)
-                yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(np.add.reduceat(values, first) / np.log(10))], ["row_id", "class_log"])
+            total = []
+            for at in range(0, len(texts), 128):
+                some = texts[at:at + 128]
+                first = np.cumsum([0, *map(len, some[:-1])])
+                values = token_log_probabilities(shared.value, np.concatenate(some).astype(np.int64), first)
+                total.append(np.add.reduceat(values, first) / np.log(10))
+            if total:
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(np.concatenate(total))], ["row_id", "class_log"])
 
     return coded.select("row_id", "classes").mapInArrow(run, "row_id long, class_log double")
 
