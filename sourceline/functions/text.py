@@ -309,8 +309,8 @@ def content_id(kind: Column, page: Column, text: Column) -> Column:
 
 
 def drop_page_refs(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[0-9]{1,3}\s*번\s*(?:슬라이드|장)", "")
-    return F.regexp_replace(text, r"(?:p\.?\s*|슬라이드\s*)[0-9]{1,3}", "")
+    text = F.regexp_replace(text, r"[0-9]+\s*번\s*(?:슬라이드|장)", "")
+    return F.regexp_replace(text, r"(?:p\.?\s*|슬라이드\s*)[0-9]+", "")
 
 
 def name_page_zero(text: Column, label: str = "보강 자료") -> Column:

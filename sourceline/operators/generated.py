@@ -18,13 +18,13 @@ from ..plans.ranking import first_per_group, number_rows, top_n
 from .guards import HIGHLIGHT_MAX, NUMBER_AND_UNIT
 
 # ---- fixed values -------------------------------------------------------------------
-QUESTION_LINE = r"^[^0-9]{0,3}([0-9]{1,3})\s*(?:\t|\||:|\.|\)|\s{2,})\s*(.+)$"
-LOOSE_QUESTION_LINE = r"^[^0-9]{0,6}([0-9]{1,3})\s*(?:\t|\||:|\.|\)|\s{2,})\s*(.+)$"
-NUMBERED_LINE = r"^[^0-9]{0,6}([0-9]{1,3})\s*(?:\t|\||:|\.|\))\s*(.+)$"
-STEP_LINE = r"^[^0-9]{0,6}?([0-9]{1,3})\s*[|\t:]\s*(.+)$"
-WARNING_LINE = r"^[^0-9]{0,6}?([0-9]{1,3})\s*(?:번)?\s*(?:슬라이드)?\s*[|\t:]\s*(.+)$"
-FLOW_LINE = r"^[^0-9]{0,8}?([0-9]{1,3})\s*(?:\t|\||:|\)|번|\.)\s*(.+)$"
-TRAILING_REF = r"\s*[\[(]\s*(?:p\.?\s*)?[0-9]{1,3}\s*[\])]\s*$"
+QUESTION_LINE = r"^[^0-9]{0,3}([0-9]+)\s*(?:\t|\||:|\.|\)|\s{2,})\s*(.+)$"
+LOOSE_QUESTION_LINE = r"^[^0-9]{0,6}([0-9]+)\s*(?:\t|\||:|\.|\)|\s{2,})\s*(.+)$"
+NUMBERED_LINE = r"^[^0-9]{0,6}([0-9]+)\s*(?:\t|\||:|\.|\))\s*(.+)$"
+STEP_LINE = r"^[^0-9]{0,6}?([0-9]+)\s*[|\t:]\s*(.+)$"
+WARNING_LINE = r"^[^0-9]{0,6}?([0-9]+)\s*(?:번)?\s*(?:슬라이드)?\s*[|\t:]\s*(.+)$"
+FLOW_LINE = r"^[^0-9]{0,8}?([0-9]+)\s*(?:\t|\||:|\)|번|\.)\s*(.+)$"
+TRAILING_REF = r"\s*[\[(]\s*(?:p\.?\s*)?[0-9]+\s*[\])]\s*$"
 MIN_QUESTION, STEP_CHARS, MAX_STEPS = 8, 30, 3
 FLOW_STEPS, FLOW_TEXT, DETAIL_CHARS, WHY_CHARS, GUIDE_CHARS = 3, 30, 80, 24, 100
 NODE_TITLE, EDGE_WHY, STORY_CHARS, MAX_EDGES = 24, 30, 60, 20
@@ -49,7 +49,7 @@ def target_pages(chunks: DataFrame, min_chars: int) -> DataFrame:
 
 def _numbered(lines: DataFrame, pattern: str, number: str = "page", text: str = "text") -> DataFrame:
     return (lines.where(F.col("line").rlike(pattern))
-            .withColumn(number, F.regexp_extract("line", pattern, 1).cast("int"))
+            .withColumn(number, F.regexp_extract("line", pattern, 1).try_cast("int"))
             .withColumn(text, strip(F.regexp_extract("line", pattern, 2))))
 
 

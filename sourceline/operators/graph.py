@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.profiles import LATIN, Profile
-from ..plans.ranking import number_rows, top_n
+from ..plans.ranking import number_ordered, top_n
 from ..session import work_dir
 
 # ---- fixed values -------------------------------------------------------------------
@@ -31,17 +31,17 @@ def both_ways(edges: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     return forth.unionByName(back)
 
 
-def page_neighbours(edges: DataFrame, seeds: DataFrame, limit: int, key: Sequence[str] = (),
-                    max_seeds: int = 5) -> DataFrame:
+def page_neighbours(edges: DataFrame, seeds: DataFrame, limit: int, key: Sequence[str] = ()) -> DataFrame:
     """``qid, other, place``: pages linked to a question's pages, seeds' order first, then edge
     order; no seed itself, every page once.
 
-    ``seeds(qid, key..., node, rank)`` with at most ``max_seeds`` per question. A hub can give a
-    question no more than its first ``limit + max_seeds`` distinct neighbours, so adjacency is
-    cut to that before the join and a hub never meets the questions with all its edges.
+    ``seeds(qid, key..., node, rank)``. A hub can give a question no more than its first ``limit``
+    distinct neighbours besides the question's own seeds, so adjacency is cut to ``limit`` and the most
+    seeds that any question has before the join, and a hub never meets the questions with all its edges.
     """
+    most = seeds.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
     adjacency = both_ways(edges, key).groupBy(*key, "node", "other").agg(F.min("ord").alias("ord"))
-    near = top_n(adjacency, [*key, "node"], ["ord"], limit + max_seeds, "_nth").drop("_nth")
+    near = top_n(adjacency, [*key, "node"], ["ord"], limit + most, "_nth").drop("_nth")
     found = (seeds.join(near, [*key, "node"])
              .join(seeds.select("qid", F.col("node").alias("other")), ["qid", "other"], "left_anti")
              .groupBy("qid", *key, "other").agg(F.min(F.struct("rank", "ord")).alias("at")))
@@ -64,39 +64,39 @@ def same_pairs(edges: DataFrame, key: Sequence[str] = (), profile: Profile = LAT
     return both_ways(same, key).select(*key, F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def cap_degrees(edges: DataFrame, max_links: int = MAX_LINKS, max_rounds: int = 200) -> DataFrame:
+def cap_degrees(edges: DataFrame, max_links: int = MAX_LINKS, key: Sequence[str] = ()) -> DataFrame:
     """Edges kept in order while the source has fewer than four kept edges and the target fewer
-    than eight; a kept edge counts for both of its ends.
+    than eight; a kept edge counts for both of its ends. ``key`` columns separate graphs.
 
     The rule reads as sequential, but an edge is settled as soon as its place among its ends'
     edges is certain: kept when fewer than the cap of earlier edges could still be kept, dropped
     when the cap is already kept before it. Only the first eight edges per node matter for
     either test, so a round sends eight rows per node and task however large a hub is. Each
-    round settles at least the first open edge of every component; usually most of them.
+    round settles at least the first open edge of every component; usually most of them, so the
+    rounds go on until no edge is open.
     """
     work_dir(edges.sparkSession)
-    deep = 2 * max_links
+    deep, keys = 2 * max_links, list(key)
 
     def cut_points(state: DataFrame, wanted: Column, name: str) -> DataFrame:
         """Per node, ``ord`` of its 4th and 8th wanted edge (null: fewer)."""
-        ends = state.where(wanted).select(F.explode(F.array("src", "dst")).alias("node"), "ord")
-        first = top_n(ends, ["node"], ["ord"], deep, "_n")
+        ends = state.where(wanted).select(*keys, F.explode(F.array("src", "dst")).alias("node"), "ord")
+        first = top_n(ends, [*keys, "node"], ["ord"], deep, "_n")
         at = lambda n: F.max(F.when(F.col("_n") == n, F.col("ord")))
-        return first.groupBy("node").agg(at(max_links).alias(f"{name}_src"), at(deep).alias(f"{name}_dst"))
+        return first.groupBy(*keys, "node").agg(at(max_links).alias(f"{name}_src"), at(deep).alias(f"{name}_dst"))
 
-    settled = None
     open_edges = edges.withColumn("kept", F.lit(None).cast("boolean"))
     kept_edges = open_edges.limit(0)
-    for _ in range(max_rounds):
+    while True:
         state = open_edges.unionByName(kept_edges)
         sure = cut_points(state, F.col("kept") == True, "sure")                    # noqa: E712
         maybe = cut_points(state, F.lit(True), "maybe")
-        nodes = maybe.join(sure, "node", "left")
-        src = nodes.select(F.col("node").alias("src"), F.col("sure_src").alias("s1"), F.col("maybe_src").alias("m1"))
-        dst = nodes.select(F.col("node").alias("dst"), F.col("sure_dst").alias("s2"), F.col("maybe_dst").alias("m2"))
+        nodes = maybe.join(sure, [*keys, "node"], "left")
+        src = nodes.select(*keys, F.col("node").alias("src"), F.col("sure_src").alias("s1"), F.col("maybe_src").alias("m1"))
+        dst = nodes.select(*keys, F.col("node").alias("dst"), F.col("sure_dst").alias("s2"), F.col("maybe_dst").alias("m2"))
         before = lambda cut: F.col(cut).isNull() | (F.col("ord") <= F.col(cut))
         after = lambda cut: F.col(cut).isNotNull() & (F.col("ord") > F.col(cut))
-        judged = (open_edges.drop("kept").join(src, "src").join(dst, "dst")
+        judged = (open_edges.drop("kept").join(src, [*keys, "src"]).join(dst, [*keys, "dst"])
                   .withColumn("kept", F.when(before("m1") & before("m2"), True)
                               .when(after("s1") | after("s2"), False))
                   .drop("s1", "m1", "s2", "m2").checkpoint())
@@ -104,11 +104,7 @@ def cap_degrees(edges: DataFrame, max_links: int = MAX_LINKS, max_rounds: int =
         kept_edges = kept_edges.unionByName(kept_now.select(*kept_edges.columns))
         open_edges = judged.where(F.col("kept").isNull()).select(*open_edges.columns)
         if open_edges.isEmpty():
-            settled = kept_edges
-            break
-    if settled is None:
-        raise RuntimeError(f"edges did not settle in {max_rounds} rounds")
-    return settled.drop("kept")
+            return kept_edges.drop("kept")
 
 
 def coverage(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -231,9 +227,8 @@ def explanation_gaps(chunks: DataFrame) -> DataFrame:
 
 def topic_columns(chunks: DataFrame) -> DataFrame:
     """Adds ``place`` inside the topic: page chunks before notes, then by page (unknown last)."""
-    order = F.when(F.col("kind") == "slide", 0).otherwise(1) * 100_000_000 + F.coalesce("page", F.lit(99))
-    return number_rows(chunks.withColumn("_order", order), ["deck_id", "topic"], "_order", "place",
-                       ties=["ord"]).drop("_order")
+    order = F.struct((F.col("kind") != "slide").alias("note"), F.col("page").isNull().alias("unknown"), F.col("page").alias("page"))
+    return number_ordered(chunks.withColumn("_order", order), ["deck_id", "topic"], ["_order", "ord"], "place").drop("_order")
 
 
 def filter_chunks(chunks: DataFrame, text: str = "", kinds: Sequence[str] = ()) -> DataFrame:

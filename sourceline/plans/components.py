@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..session import work_dir
 
 
-def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``node, component`` (the smallest node of the component) for all nodes in ``pairs``.
 
     Each round takes the smallest label among neighbours and then the label of that label,
-    which halves long chains. Rounds are checkpointed to the shared work folder.
+    which halves long chains, until nothing changes. Rounds are checkpointed to the shared work folder.
     """
     work_dir(pairs.sparkSession)
     edges = pairs.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(
         pairs.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct().checkpoint()
     labels = edges.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         seen = edges.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(
             F.min("component").alias("_near"))
         lower = labels.join(seen, "node").select("node", "component", F.least("component", "_near").alias("_new"))
@@ -28,4 +28,3 @@ def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 50)
         labels = step.select("node", "component")
         if step.where(F.col("_old") != F.col("component")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

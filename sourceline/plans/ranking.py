@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import stored
+
 Order = Sequence[Column | str]
 
 
@@ -47,6 +49,21 @@ def number_rows(df: DataFrame, group: Sequence[str], order: str, out: str,
             .drop("_bucket", "_local", "_before"))
 
 
+def number_ordered(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``row_number() over (partition by group order by order)`` for any sortable columns.
+
+    Rows are dealt by range of (group, order), so a group of any size spreads by measured counts; a
+    task numbers its rows of a group and adds the rows of that group in earlier tasks.
+    """
+    placed = stored(df.repartitionByRange(*group, *order).withColumn("_task", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy(*group, "_task").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    local = Window.partitionBy(*group, "_task").orderBy(*order)
+    return (placed.withColumn("_local", F.row_number().over(local)).join(offsets, [*group, "_task"])
+            .withColumn(out, (F.col("_local") + F.col("_before")).cast("int")).drop("_task", "_local", "_before"))
+
+
 def ranks_of(scored: DataFrame, wanted: DataFrame, group: str, ident: str, score: str,
              bucket: Callable[[Column], Column], out: str = "rank") -> DataFrame:
     """Exact rank (score descending, id ascending) of a few wanted rows among all scored rows.

@@ -13,11 +13,11 @@ from ..operators.logs import session_summary
 from ..operators.practice import ENOUGH, MAX_FOLLOWUP
 
 
-def drain(writer, checkpoint: str, seconds: int = 300) -> None:
-    """Run a stream writer over what is there now and stop."""
+def drain(writer, checkpoint: str, seconds: int | None = None) -> None:
+    """Run a stream writer over what is there now and stop; ``seconds``, if given, is a limit."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        if not query.awaitTermination(seconds):
+        if query.awaitTermination(seconds) is False:
             raise TimeoutError(f"stream not drained in {seconds} s")
     finally:
         query.stop()
