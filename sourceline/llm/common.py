@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
+def united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``parent`` (of every node, its smallest known companion) after linking each i with its j."""
+    while True:
+        a, b = parent[i], parent[j]
+        differ = a != b
+        if not differ.any():
+            return parent
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
 def crc_of_id(ident: object) -> int:
     """Unsigned crc32 of an id as text; a null id counts as the empty text."""
     return zlib.crc32(b"" if ident is None or ident != ident else str(int(ident)).encode())

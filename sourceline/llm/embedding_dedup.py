@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.materialize import stored
+from .common import united
 
 COSINE, NEIGHBOURS, RECALL, MARGIN_BITS = 0.93, 32, 0.999, 2
 BITS, AT_ONCE, DENSE, BLOCK, SEED = 62, 8, 4096, 2048, 20_24
@@ -78,7 +79,7 @@ def _close(x: np.ndarray, cosine: float, neighbours: int) -> tuple[np.ndarray, n
 
 
 def pass_links(reps: DataFrame, numbers: range, cosine: float, neighbours: int) -> DataFrame:
-    """``a, b``: links found in the passes ``numbers``."""
+    """``a, b``: a spanning forest of the links found in the passes ``numbers``, batch by batch."""
     def project(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, rows in batch.groupby("dim"):
@@ -94,8 +95,9 @@ def pass_links(reps: DataFrame, numbers: range, cosine: float, neighbours: int)
             rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
             for _, run in rows.groupby(["turn", "label", "dim"], sort=False):
                 i, j = _close(unit(run["v"]), cosine, neighbours)
-                rep = run["rep"].to_numpy()
-                yield pd.DataFrame({"a": rep[i], "b": rep[j]})
+                rep, parent = run["rep"].to_numpy(), united(np.arange(len(run)), i, j)
+                child = np.flatnonzero(parent != np.arange(len(run)))
+                yield pd.DataFrame({"a": rep[child], "b": rep[parent[child]]})
             tail = rows.iloc[-neighbours:]
 
     kind = reps.schema

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.materialize import stored
-from .common import numbered
+from .common import numbered, united
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -73,19 +73,6 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
-def _united(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``parent`` (of every node, its smallest known companion) after linking each i with its j."""
-    while True:
-        a, b = parent[i], parent[j]
-        differ = a != b
-        if not differ.any():
-            return parent
-        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-
-
 def trie_links(values: np.ndarray, pairs: np.ndarray, depth: int, parent: np.ndarray) -> np.ndarray:
     """Join ``values`` (unsigned, sorted inside each node) along node pairs.
 
@@ -112,7 +99,7 @@ def trie_links(values: np.ndarray, pairs: np.ndarray, depth: int, parent: np.nda
             width = np.repeat((b1 - b0)[few], n)
             i, j = np.repeat(a0[few], n) + at // width, np.repeat(b0[few], n) + at % width
             close = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= BUDGET)
-            parent = _united(parent, i[close], j[close])
+            parent = united(parent, i[close], j[close])
         pairs = pairs[~small]
         if not len(pairs):
             continue

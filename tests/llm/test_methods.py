@@ -19,7 +19,7 @@ def test_trie_links_equal_all_pairs():
     found = simhash.trie_links(values, np.array([[0, len(values), 0, len(values), 0]]), 0, np.arange(len(values)))
     parent = np.arange(len(values))
     i, j = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)
-    assert (found == simhash._united(parent, i, j)).all()
+    assert (found == simhash.united(parent, i, j)).all()
     assert len(set(found.tolist())) < len(values) - 300
 
 
