@@ -32,7 +32,7 @@ from ..plans.materialize import stored
 from .common import united
 
 COSINE, NEIGHBOURS, RECALL, MARGIN_BITS = 0.93, 32, 0.999, 2
-BITS, AT_ONCE, DENSE, BLOCK, SEED = 62, 8, 4096, 2048, 20_24
+BITS, AT_ONCE, DENSE, BLOCK, SEED = 62, 8, 512, 2048, 2024
 
 
 def passes_for(n: int, neighbours: int = NEIGHBOURS, cosine: float = COSINE, recall: float = RECALL) -> int:
