@@ -86,12 +86,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     new = F.map_filter("headers", lambda name, _: name.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("old", lambda name, _: ~F.map_contains_key(new, name)), new)
     done = F.coalesce(F.col("confirmed"), F.lit(False))
-    revisits = (known.where("status = 304").join(found, "record_id", "left").withColumn("_at", F.when(done, F.col("source_id")))
-                .join(sources.withColumnRenamed("source_id", "_at"), "_at", "left")
-                .select("record_id", "url_key", "ts", F.when(done, 200).otherwise(F.col("status")).alias("status"),
-                        F.when(done, merged).otherwise(F.col("headers")).alias("headers"), F.when(done, F.col("old_body")).otherwise(F.col("body")).alias("body"),
-                        "source_id", outcome.alias("outcome")))
-    return plain.unionByName(revisits)
+    judged = known.where("status = 304").join(found, "record_id", "left").withColumn("outcome", outcome)
+    resolved = (judged.where(done).join(sources, "source_id")
+                .select("record_id", "url_key", "ts", F.lit(200).alias("status"), merged.alias("headers"), F.col("old_body").alias("body"), "source_id", "outcome"))
+    return plain.unionByName(resolved).unionByName(judged.where(~done).select(*plain.columns))
 
 
 def captures(pages: DataFrame) -> DataFrame:
