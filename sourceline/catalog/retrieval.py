@@ -114,8 +114,10 @@ PAGE_LENGTH_SCORES = """
 
 @query("r5_fusion_of_full_rankings", q.with_views(f"""
     with {PAGE_LENGTH_SCORES},
-    ra as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from bm25),
-    rb as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from l),
+    ra as (select b.qid, d.id, row_number() over (partition by b.qid order by coalesce(x.score, 0) desc, d.id) as rank
+           from bq b cross join docs d left join bm25 x on x.qid = b.qid and x.id = d.id),
+    rb as (select b.qid, d.id, row_number() over (partition by b.qid order by coalesce(x.score, 0) desc, d.id) as rank
+           from bq b cross join docs d left join l x on x.qid = b.qid and x.id = d.id),
     s as (select qid, id, round(sum(1 / (60.0 + rank)), 12) as score, min(case when li = 0 then rank end) as lead from (
         select *, 0 as li from ra union all select *, 1 as li from rb) group by qid, id)
     select qid, id, cast(rank as integer) as rank, round(score, 8) as score from (select *, row_number() over (
@@ -127,7 +129,7 @@ def fused_full(spark, sf_dir):
     gap = F.abs(F.length("question") * 10 - F.col("n_chars"))
     by_length = (lexical.select("qid", "id").join(docs.select("id", "n_chars"), "id").join(asked, "qid")
                  .select("qid", "id", F.round(1.0 / (1 + gap), 9).alias("score")))
-    hits = se.fuse_full(lexical, by_length, 5, buckets=(64.0, 100_000.0))
+    hits = se.fuse_full(lexical, by_length, docs, asked, 5, buckets=(64.0, 100_000.0))
     return hits.select("qid", "id", "rank", F.round("score", 8).alias("score"))
 
 
@@ -178,8 +180,9 @@ def preset_search(spark, sf_dir):
 @query("r8_hybrid_retriever", q.with_views(f"""
     with v as (select {VEC_HITS.strip()[7:]} where a.id in (select qid from bq)),
     rb as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from v where id in (select id from docs)),
-    ra as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from bm25
-           where id in (select id from vec)),
+    ra as (select b.qid, d.id, row_number() over (partition by b.qid order by coalesce(x.score, 0) desc, d.id) as rank
+           from bq b cross join docs d left join bm25 x on x.qid = b.qid and x.id = d.id
+           where d.id in (select id from vec) and b.qid in (select id from vec)),
     s as (select qid, id, round(sum(1 / (60.0 + rank)), 12) as score, min(case when li = 0 then rank end) as lead from (
         select *, 0 as li from ra union all select *, 1 as li from rb) group by qid, id)
     select qid, id, cast(rank as integer) as rank, round(score, 8) as score from (select *, row_number() over (

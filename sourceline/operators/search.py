@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens, passages
 from ..functions.vectors import dot
 from ..plans.materialize import stored
-from ..plans.ranking import ranks_of, top_n
+from ..plans.ranking import number_ordered, ranks_of, top_n
 from .index import DOC, Index, build_index
 
 # ---- fixed values -------------------------------------------------------------------
@@ -23,8 +23,8 @@ SCORE_DIGITS = 9
 # -------------------------------------------------------------------------------------
 
 QUERY_BLOCK = 512           # query vectors per block of a dense search
-TILE_ROWS = 20_000          # document vectors per tile of a dense search
-BROADCAST_QUERIES = 20_000  # checked size below which query vectors travel with the task
+DOC_TILE, QUERY_TILE = 1_024, 16_384    # vectors per tile of a dense search
+ID_BUCKET = 1 << 16         # places per bucket when documents are counted in id order
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -55,8 +55,28 @@ def bm25_scores(index: Index, queries: DataFrame, text: str = "question", k1: fl
             .agg(F.round(F.sum(gain), SCORE_DIGITS).alias("score")))
 
 
-def bm25_search(index: Index, queries: DataFrame, k: int, text: str = "question", **options) -> DataFrame:
-    return _ranked(bm25_scores(index, queries, text, **options), k)
+def bm25_search(index: Index, queries: DataFrame, k: int, text: str = "question", fill: DataFrame | None = None,
+                **options) -> DataFrame:
+    """Best k per query. With ``fill(id)``, the documents, a query with fewer than k hits goes on with
+    documents of score zero in the order of their ids."""
+    scored = bm25_scores(index, queries, text, **options)
+    if fill is None:
+        return _ranked(scored, k)
+    best = stored(_ranked(scored, k), "best_hits")
+    tail = _zero_rows(queries.select("qid"), _first_ids(fill, 2 * k), best.groupBy("qid").count().where(F.col("count") >= k))
+    return _ranked(best.select("qid", "id", "score").unionByName(
+        tail.join(best, ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))), k)
+
+
+def _first_ids(docs: DataFrame, n: int) -> list:
+    """The ``n`` smallest ids; ``n`` follows from a depth of results, not from the data."""
+    return [r["id"] for r in docs.select("id").orderBy("id").limit(n).collect()]
+
+
+def _zero_rows(queries: DataFrame, first: list, full: DataFrame) -> DataFrame:
+    """``qid, id``: the ids ``first`` for every query that is not in ``full``."""
+    ids = F.array(*[F.lit(i) for i in first])
+    return queries.select("qid").distinct().join(full, "qid", "left_anti").select("qid", F.explode(ids).alias("id"))
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -79,36 +99,25 @@ def _best_of_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, docs:
         yield frame[np.isfinite(frame["score"])]
 
 
+def _tiles(docs: DataFrame, queries: DataFrame, doc_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with every tile ``(dt, qt)`` of the grid that they belong to."""
+    doc_tiles = docs.count() // doc_rows + 1
+    query_tiles = queries.count() // query_rows + 1
+    return (docs.withColumn("dt", F.pmod(F.hash("id"), F.lit(doc_tiles))).withColumn(
+                "qt", F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1)))),
+            # columns of their own: documents and queries may come from one table
+            queries.select(*[F.col(c).alias(c) for c in queries.columns]).withColumn("qt", F.pmod(F.hash("qid"), F.lit(query_tiles))).withColumn(
+                "dt", F.explode(F.sequence(F.lit(0), F.lit(doc_tiles - 1)))))
+
+
 def dense_search(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool = False,
-                 broadcast_limit: int = BROADCAST_QUERIES, tile_rows: int = TILE_ROWS) -> DataFrame:
+                 doc_rows: int = DOC_TILE, query_rows: int = QUERY_TILE) -> DataFrame:
     """Exact top k by dot product. ``docs(id, vector)``, ``queries(qid, vector)``.
 
-    Every document block keeps only its k best per query, so what is shuffled is
-    k rows per query and block. Up to ``broadcast_limit`` query vectors (counted, not
-    assumed) ride along with the tasks; beyond that both sides are cut into tiles.
+    Both sides are cut into tiles, whatever their size. A tile keeps only its k best per query, so what
+    is shuffled after the comparison is k rows per query and tile of documents.
     """
     schema = f"qid {dict(queries.dtypes)['qid']}, id {dict(docs.dtypes)['id']}, score double"
-    few = queries.select("qid", "vector").limit(broadcast_limit + 1).toPandas()
-    if len(few) <= broadcast_limit:
-        if few.empty:
-            return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-        held = queries.sparkSession.sparkContext.broadcast((few["qid"].to_numpy(), _unit_rows(few["vector"])))
-
-        def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, vectors = held.value
-            for frame in frames:
-                if len(frame):
-                    yield from _best_of_block(qids, vectors, frame["id"].to_numpy(), _unit_rows(frame["vector"]),
-                                              k, skip_self)
-
-        return _ranked(docs.select("id", "vector").mapInPandas(scan, schema), k)
-
-    doc_tiles = docs.select(F.count("*")).first()[0] // tile_rows + 1
-    query_tiles = queries.select(F.count("*")).first()[0] // tile_rows + 1
-    left = docs.select("id", "vector", F.pmod(F.hash("id"), F.lit(doc_tiles)).alias("dt"),
-                       F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1))).alias("qt"))
-    right = queries.select("qid", "vector", F.pmod(F.hash("qid"), F.lit(query_tiles)).alias("qt"),
-                           F.explode(F.sequence(F.lit(0), F.lit(doc_tiles - 1))).alias("dt"))
 
     def tile(doc_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
         if doc_part.empty or query_part.empty:
@@ -117,48 +126,42 @@ def dense_search(docs: DataFrame, queries: DataFrame, k: int, skip_self: bool =
             query_part["qid"].to_numpy(), _unit_rows(query_part["vector"]),
             doc_part["id"].to_numpy(), _unit_rows(doc_part["vector"]), k, skip_self)))
 
-    best = left.groupBy("dt", "qt").cogroup(right.groupBy("dt", "qt")).applyInPandas(tile, schema)
-    return _ranked(best, k)
+    left, right = _tiles(docs.select("id", "vector"), queries.select("qid", "vector"), doc_rows, query_rows)
+    return _ranked(left.groupBy("dt", "qt").cogroup(right.groupBy("dt", "qt")).applyInPandas(tile, schema), k)
 
 
-def dense_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, block: int = 2_000) -> DataFrame:
+def dense_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, doc_rows: int = DOC_TILE,
+                query_rows: int = QUERY_TILE) -> DataFrame:
     """Exact rank (score descending, id ascending) of a few documents per query among all:
     ``wanted(qid, id)`` → ``qid, id, score, rank``.
 
-    The documents are scanned once per ``block`` queries. A task compares its documents with the
-    wanted scores and emits counts, so neither pairs nor full rankings are ever rows.
+    A tile compares its documents with the wanted scores of its queries and emits counts, so neither
+    pairs nor full rankings are ever rows.
     """
     score = F.round(dot(F.col("_q"), F.col("vector")), SCORE_DIGITS).alias("score")
     pairs = stored(wanted.select("qid", "id").join(docs.select("id", "vector"), "id")
                    .join(queries.select("qid", F.col("vector").alias("_q")), "qid").select("qid", "id", score), "wanted")
-    n_blocks = queries.select(F.count("*")).first()[0] // block + 1
+    lists = pairs.groupBy("qid").agg(F.collect_list("id").alias("ids"), F.collect_list("score").alias("scores"))
     kinds = dict(pairs.dtypes)
     schema = f"qid {kinds['qid']}, id {kinds['id']}, better long"
-    out = None
-    for n in range(n_blocks):
-        mine = F.pmod(F.hash("qid"), F.lit(n_blocks)) == n
-        vectors = queries.where(mine).select("qid", "vector").toPandas()
-        lists = pairs.where(mine).toPandas().groupby("qid")
-        if vectors.empty:
-            continue
-        held = queries.sparkSession.sparkContext.broadcast([
-            (row.qid, np.asarray(row.vector, dtype=np.float64), lists.get_group(row.qid)["id"].to_numpy(),
-             lists.get_group(row.qid)["score"].to_numpy()) for row in vectors.itertuples() if row.qid in lists.groups])
-
-        def count(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                ids, body = frame["id"].to_numpy(), _unit_rows(frame["vector"])
-                for qid, vector, cand, scores in held.value:
-                    sims = np.round(body @ vector, SCORE_DIGITS)
-                    ahead = (sims[None, :] > scores[:, None]) | ((sims[None, :] == scores[:, None]) & (ids[None, :] < cand[:, None]))
+
+    def count(doc_part: pd.DataFrame, query_part: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"qid": [], "id": [], "better": []})]
+        if len(doc_part) and len(query_part):
+            ids, body = doc_part["id"].to_numpy(), _unit_rows(doc_part["vector"])
+            for at in range(0, len(query_part), QUERY_BLOCK):
+                some = query_part.iloc[at:at + QUERY_BLOCK]
+                sims = np.round(_unit_rows(some["vector"]) @ body.T, SCORE_DIGITS)
+                for qid, row, cand, scores in zip(some["qid"], sims, some["ids"], some["scores"], strict=True):
+                    cand, scores = np.asarray(cand), np.asarray(scores)
+                    ahead = (row[None, :] > scores[:, None]) | ((row[None, :] == scores[:, None]) & (ids[None, :] < cand[:, None]))
                     ahead &= ids[None, :] != cand[:, None]
-                    yield pd.DataFrame({"qid": qid, "id": cand, "better": ahead.sum(axis=1)})
+                    out.append(pd.DataFrame({"qid": qid, "id": cand, "better": ahead.sum(axis=1)}))
+        return pd.concat(out if len(out) == 1 else out[1:])
 
-        part = docs.select("id", "vector").mapInPandas(count, schema)
-        out = part if out is None else out.unionByName(part)
-    counts = out.groupBy("qid", "id").agg((F.sum("better") + 1).cast("int").alias("rank"))
+    left, right = _tiles(docs.select("id", "vector"), queries.select("qid", "vector").join(lists, "qid"), doc_rows, query_rows)
+    counts = (left.groupBy("dt", "qt").cogroup(right.groupBy("dt", "qt")).applyInPandas(count, schema)
+              .groupBy("qid", "id").agg((F.sum("better") + 1).cast("int").alias("rank")))
     return pairs.join(counts, ["qid", "id"])
 
 
@@ -181,32 +184,64 @@ def winning_depth(k: int, k_rrf: int = K_RRF) -> int:
     return k_rrf + 2 * k
 
 
-def fuse_full(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF,
+def total_ranks(scored: DataFrame, wanted: DataFrame, docs: DataFrame, bucket: Callable[[Column], Column]) -> DataFrame:
+    """``qid, id, score, rank`` of ``wanted`` in the total ranking: scored documents by score and id, then
+    all others, with score zero, by id.
+
+    A document without a score stands after all hits of its query and after the smaller ids that are no
+    hits. Ids are numbered once; hits below an id are counted in buckets of the numbering.
+    """
+    found = ranks_of(scored, wanted, "qid", "id", "score", bucket)
+    place = number_ordered(docs.select("id").distinct(), [], ["id"], "place")
+    missing = stored(wanted.select("qid", "id").distinct().join(scored.select("qid", "id"), ["qid", "id"], "left_anti").join(place, "id"), "unscored")
+    hits = scored.join(missing.select("qid").distinct(), "qid", "left_semi").select("qid", "id").join(place, "id")
+    marks = hits.select("qid", "place", F.lit(1).alias("hit"), "id").unionByName(missing.select("qid", "place", F.lit(0).alias("hit"), "id"))
+    marks = stored(marks.withColumn("cell", F.floor(F.col("place") / ID_BUCKET)), "marked")
+    before = Window.partitionBy("qid").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("qid")
+    cells = marks.groupBy("qid", "cell").agg(F.sum("hit").alias("n")).select(
+        "qid", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"), F.sum("n").over(every).alias("hits"))
+    inside = Window.partitionBy("qid", "cell").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    tail = (marks.withColumn("near", F.coalesce(F.sum("hit").over(inside), F.lit(0))).where("hit = 0").join(cells, ["qid", "cell"])
+            .select("qid", "id", F.lit(0.0).alias("score"), (F.col("hits") + F.col("place") - F.col("below") - F.col("near")).cast("int").alias("rank")))
+    return found.unionByName(tail)
+
+
+def _candidates(sides: Sequence[DataFrame], docs: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """``qid, id``: the first ``depth`` of the total ranking of each side, and perhaps more."""
+    first, out = _first_ids(docs, depth), None
+    for side in sides:
+        best = stored(_ranked(side, depth).select("qid", "id"), "deep_hits")
+        full = best.groupBy("qid").count().where(F.col("count") >= depth)
+        # depth - n of the depth smallest ids at least are no hits of a query with n hits
+        part = best.unionByName(_zero_rows(queries, first, full)) if first else best
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def fuse_full(first: DataFrame, second: DataFrame, docs: DataFrame, queries: DataFrame, k: int, k_rrf: int = K_RRF,
               buckets: tuple[float, float] = (64.0, 1024.0)) -> DataFrame:
-    """Fusion of two full rankings given as scored pairs, without ranking them in full.
+    """Fusion of two total rankings given as scored pairs, without ranking them in full.
 
-    A document below rank D in both lists scores less than 2/(k_rrf+D+1), and the k-th best
-    of the first list alone scores at least 1/(k_rrf+k). With D = k_rrf + 2k the winners are
-    therefore among the top D of either list. Those candidates get their exact rank in both
-    lists by counting, and only they are fused.
+    Documents without a score follow in the order of their ids (:func:`total_ranks`). A document below
+    rank D in both lists scores less than 2/(k_rrf+D+1), and the k-th best of the first list alone
+    scores at least 1/(k_rrf+k). With D = k_rrf + 2k the winners are therefore among the top D of
+    either list. Those candidates get their exact rank in both lists by counting, and only they are fused.
     """
     # each side is read several times below: keep the scored pairs instead of scoring again
     first, second = stored(first, "first_scores"), stored(second, "second_scores")
-    depth = winning_depth(k, k_rrf)
-    candidates = _ranked(first, depth).select("qid", "id").unionByName(
-        _ranked(second, depth).select("qid", "id")).distinct()
-    ranked = [ranks_of(side, candidates, "qid", "id", "score", lambda s, w=width: F.floor(s * w))
-              for side, width in zip((first, second), buckets)]
+    candidates = stored(_candidates([first, second], docs, queries, winning_depth(k, k_rrf)), "candidates")
+    ranked = [total_ranks(side, candidates, docs, lambda s, w=width: F.floor(s * w)) for side, width in zip((first, second), buckets)]
     return fuse_hits(ranked[0], ranked[1], k, k_rrf)
 
 
 def fuse_with_dense(lexical: DataFrame, docs: DataFrame, queries: DataFrame, k: int, k_rrf: int = K_RRF) -> DataFrame:
     """As :func:`fuse_full` for scored lexical pairs and vectors: the dense side is scanned, its
-    pairs are never materialised."""
+    pairs are never materialised. ``docs(id, vector)`` are all documents."""
     lexical, depth = stored(lexical, "lexical_scores"), winning_depth(k, k_rrf)
-    candidates = stored(_ranked(lexical, depth).select("qid", "id").unionByName(
-        dense_search(docs, queries, depth).select("qid", "id")).distinct(), "candidates")
-    return fuse_hits(ranks_of(lexical, candidates, "qid", "id", "score", lambda s: F.floor(s * 64)),
+    dense = dense_search(docs, queries, depth).select("qid", "id")
+    candidates = stored(_candidates([lexical], docs, queries, depth).unionByName(dense).distinct(), "candidates")
+    return fuse_hits(total_ranks(lexical, candidates, docs, lambda s: F.floor(s * 64)),
                      dense_ranks(docs, queries, candidates), k, k_rrf)
 
 

@@ -88,13 +88,13 @@ def test_note_spans_of_paragraphs(spark, n, spans):
     assert got[-1]["text"].endswith(f"s{n - 1}.") or n == 7
 
 
-def test_dense_search_tiles_equal_broadcast(spark):
+def test_dense_search_does_not_depend_on_tiles(spark):
     rnd = random.Random(5)
     df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(8)]) for i in range(60)], "id int, vector array<float>")
     asked = df.select(F.col("id").alias("qid"), "vector")
     rows = lambda d: sorted((r["qid"], r["rank"], r["id"]) for r in d.collect())
     assert rows(se.dense_search(df, asked, 3, skip_self=True)) == rows(
-        se.dense_search(df, asked, 3, skip_self=True, broadcast_limit=10, tile_rows=20))
+        se.dense_search(df, asked, 3, skip_self=True, doc_rows=20, query_rows=10))
 
 
 def test_fusion_is_symmetric_without_ties(spark):
