@@ -1,4 +1,4 @@
-"""Index-time tables of the test decks, built once per session and read by every query."""
+"""Index-time tables of the test decks. A query builds those that it needs, once, as written tables."""
 
 from __future__ import annotations
 
@@ -9,16 +9,16 @@ from ..operators import index as ix
 from ..plans.materialize import stored
 from ..sources import tables as t
 
-_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame, ix.Index]] = {}
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of all decks; ``id`` is the document id."""
+    return stored(t.chunks(spark, sf_dir).withColumn("id", F.col("doc_id")), "pages")
 
-def deck_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ix.Index]:
-    """Pages (``id`` is the document id), vocabulary and postings per deck, as written tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _BUILT:
-        docs = t.documents(spark, sf_dir)
-        chunks = stored(t.chunks(spark, sf_dir).withColumn("id", F.col("doc_id")), "pages")
-        vocab = stored(ix.vocabulary(docs, scope=["deck_id"]), "vocabulary")
-        postings = stored(ix.build_index(docs, scope=["deck_id"]).postings, "postings")
-        _BUILT[key] = chunks, vocab, ix.Index(postings, ("deck_id",), placed=False)
-    return _BUILT[key]
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(ix.vocabulary(t.documents(spark, sf_dir), scope=["deck_id"]), "vocabulary")
+
+
+def index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    postings = stored(ix.build_index(t.documents(spark, sf_dir), scope=["deck_id"]).postings, "postings")
+    return ix.Index(postings, ("deck_id",), placed=False)

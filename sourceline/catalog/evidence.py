@@ -16,13 +16,13 @@ from ..plans.cue import choose_answer, cue
 from ..plans.materialize import stored
 from ..sources import tables as t
 from . import sql as q
-from .decks import deck_tables
+from . import decks
 from .registry import query
 
 
 def _path(spark, sf_dir):
     """Hits, question context and page context of the questions that pass the guard."""
-    chunks, vocab, index = deck_tables(spark, sf_dir)
+    chunks, vocab, index = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir), decks.index(spark, sf_dir)
     guarded = gd.guard_questions(t.live_questions(spark, sf_dir), vocab, LATIN)
     live = stored(guarded.where(F.col("status").isNull()), "live")
     hits = stored(se.bm25_search(index, live.select("qid", "deck_id", F.col("query").alias("question")), 3), "hits")
@@ -43,7 +43,7 @@ def word_overlap(spark, sf_dir):
 
 @query("e2_raw_keys", q.with_views("select qid, key from raw_keys", "raw_keys"))
 def raw_keys(spark, sf_dir):
-    _, vocab, _ = deck_tables(spark, sf_dir)
+    vocab = decks.vocabulary(spark, sf_dir)
     guarded = gd.guard_questions(t.live_questions(spark, sf_dir), vocab, LATIN)
     return ev.question_context(guarded, vocab, LATIN).select("qid", F.explode("raw").alias("key"))
 
@@ -120,7 +120,7 @@ def key_facts(spark, sf_dir):
     from guarded g left join (select qid, count(*) as n, min_by(page, place) as first_page from picked group by 1) s using (qid)""",
     "guarded", "picked"))
 def cues(spark, sf_dir):
-    chunks, vocab, index = deck_tables(spark, sf_dir)
+    chunks, vocab, index = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir), decks.index(spark, sf_dir)
     out = cue(t.live_questions(spark, sf_dir), chunks, index, vocab, LATIN)
     return out.select("qid", "status", "question_type", F.size("sources").alias("n_sources"),
                       F.get("sources", F.lit(0))["slide"].alias("first_page"),
@@ -138,7 +138,7 @@ def _cards(spark, sf_dir):
 
 @query("e9_core_card_cue")
 def core_card_cue(spark, sf_dir):
-    chunks, vocab, index = deck_tables(spark, sf_dir)
+    chunks, vocab, index = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir), decks.index(spark, sf_dir)
     short = t.live_questions(spark, sf_dir).withColumn("question", F.concat(F.lit("why "), F.regexp_extract("question", r"^(\S+) ", 1), F.lit("?")))
     out = cue(short, chunks, index, vocab, LATIN, cards=_cards(spark, sf_dir))
     return out.select("qid", "status", "core", "core_pending", "stage", F.array_join(F.col("sources.slide").cast("array<string>"), ",").alias("slides"))

@@ -13,12 +13,12 @@ from ..operators import guards as gd
 from ..operators import search as se
 from ..sources import tables as t
 from . import sql as q
-from .decks import deck_tables
+from . import decks
 from .registry import query
 
 
 def _vocab(spark, sf_dir):
-    return deck_tables(spark, sf_dir)[1]
+    return decks.vocabulary(spark, sf_dir)
 
 
 def _short_said(spark, sf_dir):

@@ -10,7 +10,7 @@ from ..operators import evidence as ev
 from ..operators import practice as pr
 from ..sources import tables as t
 from . import sql as q
-from .decks import deck_tables
+from . import decks
 from .registry import query
 
 
@@ -39,7 +39,7 @@ def coverage(spark, sf_dir):
 
 @query("p1_page_facts")
 def page_facts(spark, sf_dir):
-    chunks, vocab, _ = deck_tables(spark, sf_dir)
+    chunks, vocab = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir)
     judged = pr.judge(pr.with_facts(t.spoken_answers(spark, sf_dir), chunks, vocab, LATIN))
     return judged.select("qid", "page", F.array_join("facts", " ").alias("facts"), F.array_join("missed", " ").alias("missed"),
                          F.round("ratio", 6).alias("ratio"), "off_line")
@@ -127,7 +127,7 @@ def drill(spark, sf_dir):
 def boosted_keywords(spark, sf_dir):
     """Practice feeds back into the live path: missed facts move to the front of the keywords."""
     from .evidence import _path
-    chunks, vocab, _ = deck_tables(spark, sf_dir)
+    chunks, vocab = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir)
     judged = pr.judge(pr.with_facts(t.spoken_answers(spark, sf_dir), chunks, vocab, LATIN))
     hits, asked, pages = _path(spark, sf_dir)
     found = ev.evidence(hits, asked, pages, pr.miss_rates(pr.weak_facts(judged)), LATIN)

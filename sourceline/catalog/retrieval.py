@@ -221,12 +221,21 @@ def augmented_pages(spark, sf_dir):
 
 
 @query("r11_knowledge_search", q.with_views(f"""
-    with k as (select id, text from docs),
-    top as (select * from bm25_rank where rank <= 8)
-    select qid, count(*) as n, round(max(score), 6) as best, round(min(score), 6) as worst from top group by qid""",
-    "docs", "bm25_rank"))
+    with k as (select deck_id, min(id) as id, text from docs group by deck_id, text),
+    p as (select deck_id, id, dl, term, count(*) as tf from (select deck_id, id, len(tk) as dl, unnest(tk) as term
+          from (select *, {q.tokens('text')} as tk from k)) group by all),
+    sz as (select deck_id, count(*) as n, sum(len({q.tokens('text')})) / count(*) as avgdl from k group by 1),
+    st as (select p.deck_id, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from p join sz using (deck_id) group by 1, 2),
+    a as (select qid, deck_id, unnest({q.tokens('question')}) as term from conv_q),
+    sc as (select qid, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+           from a join st using (deck_id, term) join p using (deck_id, term) join sz using (deck_id) group by 1, 2),
+    top as (select * from (select *, row_number() over (partition by qid order by score desc) as r from sc) where r <= 8)
+    select qid, count(*) as n, round(max(score), 6) as best, round(min(score), 6) as worst from top group by qid""", "docs", "conv_q"))
 def knowledge_search(spark, sf_dir):
-    hits = kb.search_knowledge(t.documents(spark, sf_dir), t.questions(spark, sf_dir))
+    """Every document a chunk without a page: equal texts of a deck are one chunk, those of two decks are not."""
+    kb_rows = kb.with_stable_ids(t.documents(spark, sf_dir).select(
+        "deck_id", F.lit("slide").alias("kind"), F.lit(None).cast("int").alias("page"), "text", F.col("id").alias("ord")))
+    hits = kb.search_knowledge(kb_rows, t.live_questions(spark, sf_dir))
     return hits.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"),
                                    F.round(F.min("score"), 6).alias("worst"))
 

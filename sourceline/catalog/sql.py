@@ -80,7 +80,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "conv_qa": ("""select q.*, a.text as answer, cast(q.conv_id % 10 + 1 as integer) as page
         from conv_q q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
         where a.role = 'assistant'""", ("conv_q",)),
-    "gold": ("""select b.qid, d.id from bq b join docs d on contains(d.text, substr(b.question, 1, 60))""",
+    "gold": ("""select b.qid, d.id from bq b join docs d on contains(d.text, b.question)""",
              ("bq", "docs")),
     "notes": (f"""select conv_id as deck_id, conv_id || '-' || para || '-' || line_no as id,
         case when (para + line_no) % 5 <> 0 then cast((para + line_no) % 5 as integer) end as page,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,11 +47,14 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a temporary folder is made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``; without that a cluster is an error, since a
+    folder of one machine is not shared. Only a session in one process (``local[n]``, as in tests)
+    gets a temporary folder, which is remembered in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sourceline-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

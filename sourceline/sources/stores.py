@@ -84,13 +84,14 @@ def append_log(rows: DataFrame, path: str) -> bool:
 
 
 def read_keyed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A per-deck table; missing or unreadable counts as empty."""
+    """A per-deck table; a missing table counts as empty, and so does an unreadable file of one.
+
+    Reading is lazy, so files are skipped when they are read: a broken footer or page costs that
+    file's rows, not the job.
+    """
     if not path_exists(spark, path):
         return empty(spark, schema)
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
-        return empty(spark, schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -97,13 +97,13 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ord"))
 
 
-def gold_pairs(docs: DataFrame, queries: DataFrame, prefix: int = 60) -> DataFrame:
-    """Documents that contain the first ``prefix`` characters of a question: ``qid, id``.
+def gold_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Documents that contain a whole question: ``qid, id``.
 
-    The inner words of the prefix stand whole in any such document, so the longest of them
+    The inner words of a question stand whole in any such document, so the longest of them
     is an equi-join key and only matching pairs are compared. Needs three words.
     """
-    needle = F.substring("question", 1, prefix)
+    needle = F.col("question")
     found = F.regexp_extract_all(needle, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     inner = F.slice(found, 2, F.size(found) - 2)
     by_length = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
