@@ -66,7 +66,7 @@ def near_duplicates(spark, sf_dir):
 @query("n2_note_insert")
 def note_insert(spark, sf_dir):
     notes = t.notes(spark, sf_dir)
-    return nt.insert_notes(notes.where(F.col("ord") < 2000), notes.where(F.col("ord") >= 2000)).select("id", "added", "changed", F.length("text").alias("n_chars"))
+    return nt.insert_notes(notes.where(F.col("ord") < 2 * 16777216), notes.where(F.col("ord") >= 2 * 16777216)).select("id", "added", "changed", F.length("text").alias("n_chars"))
 
 
 @query("n3_delete", q.with_views("select id from notes where not (deck_id % 2 = 0 and ord % 3 = 0)", "notes"))
@@ -94,15 +94,15 @@ def general_notes(spark, sf_dir):
 @query("n5_section_attachment")
 def section_attachment(spark, sf_dir):
     turns = t.table(spark, sf_dir, "conversations")
-    sources = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"),
+    sources = turns.select((F.col("conv_id") * 16777216 + F.col("turn")).alias("source_id"),
                            text_sections(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("sections"))
-    items = t.notes(spark, sf_dir).select("id", (F.col("deck_id") * 1000 + F.floor(F.col("ord") / 1000)).alias("source_id"), "text")
+    items = t.notes(spark, sf_dir).select("id", (F.col("deck_id") * 16777216 + F.floor(F.col("ord") / 16777216)).alias("source_id"), "text")
     return nt.attach_sections(items, sources).select("id", "para", "section")
 
 
 COVER = r"""
-    so as (select conv_id * 1000 + turn as part, regexp_replace(text, '[\s\p{Z}#*>\-|`"''.,()]', '', 'g') as c from conversations),
-    att as (select deck_id * 1000 + ord // 1000 as part, cast(ord % 2 as integer) as attempt, regexp_replace(text, '[\s\p{Z}#*>\-|`"''.,()]', '', 'g') as c from notes),
+    so as (select conv_id * 16777216 + turn as part, regexp_replace(text, '[\s\p{Z}#*>\-|`"''.,()]', '', 'g') as c from conversations),
+    att as (select deck_id * 16777216 + ord // 16777216 as part, cast(ord % 2 as integer) as attempt, regexp_replace(text, '[\s\p{Z}#*>\-|`"''.,()]', '', 'g') as c from notes),
     sg as (select distinct part, substr(c, cast(i as int), 2) as g from (select part, c, unnest(range(1, length(c))) as i from so)),
     ag as (select distinct part, attempt, substr(c, cast(i as int), 2) as g from (select part, attempt, c, unnest(range(1, length(c))) as i from att)),
     cv as (select a.part, a.attempt, round(coalesce(k.n, 0) / s.n, 9) as cover from (select distinct part, attempt from att) a
@@ -110,8 +110,8 @@ COVER = r"""
 
 
 def _covers(spark, sf_dir):
-    sources = t.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("part"), "text")
-    attempts = t.notes(spark, sf_dir).select((F.col("deck_id") * 1000 + F.floor(F.col("ord") / 1000)).alias("part"),
+    sources = t.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 16777216 + F.col("turn")).alias("part"), "text")
+    attempts = t.notes(spark, sf_dir).select((F.col("deck_id") * 16777216 + F.floor(F.col("ord") / 16777216)).alias("part"),
                                              (F.col("ord") % 2).cast("int").alias("attempt"), "text")
     return nt.attempt_coverage(attempts, sources)
 

@@ -74,13 +74,13 @@ def _expected(spark, sf_dir):
     made = turns.select(
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("deck_id"),
         F.concat(F.lit("type"), (F.col("turn") % 4).cast("string")).alias("qtype"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("question"),
+        (F.col("conv_id") * 16777216 + F.col("turn")).alias("ord"), F.col("text").alias("question"),
         (F.col("conv_id") % 9 + 1).cast("int").alias("page"))
     return pr.practice_set(made, 2)
 
 
 EXPECTED = """expected as (select * from (select *, cast(row_number() over (partition by deck_id, qtype order by ord) as integer) as place from (
-    select 'src' || (conv_id % 20) as deck_id, 'type' || (turn % 4) as qtype, conv_id * 1000 + turn as ord, text as question,
+    select 'src' || (conv_id % 20) as deck_id, 'type' || (turn % 4) as qtype, conv_id * 16777216 + turn as ord, text as question,
         cast(conv_id % 9 + 1 as integer) as page from conversations where role = 'assistant')) where place <= 2)"""
 
 

@@ -214,7 +214,7 @@ def word_idf(spark, sf_dir):
         string_agg(chr(10) || text, '' order by deck_id, ord) as extra from notes
         where page is not null group by 1, 2) n on n.deck_id = c.deck_id and n.page = c.page""", "chunks", "notes"))
 def augmented_pages(spark, sf_dir):
-    spoken = t.notes(spark, sf_dir).withColumn("ord", F.col("deck_id") * 10_000_000 + F.col("ord")).withColumn(
+    spoken = t.notes(spark, sf_dir).withColumn("ord", F.struct("deck_id", "ord")).withColumn(
         "deck_id", F.concat(F.lit("src"), (F.col("deck_id") % 20).cast("string")))
     pages = kb.augmented_pages(t.chunks(spark, sf_dir), spoken)
     return pages.select("deck_id", "page", F.md5("search_text").alias("digest"))

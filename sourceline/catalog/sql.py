@@ -75,7 +75,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         select source as deck_id, doc_id, text, length(text) as n_chars,
                cast(row_number() over (partition by source order by doc_id) as integer) as page from documents)""", ()),
     "bq": ("select item_id as qid, text as question from benchmark", ()),
-    "conv_q": ("""select conv_id * 1000 + turn as qid, 'src' || (conv_id % 20) as deck_id, conv_id, turn,
+    "conv_q": ("""select conv_id * 16777216 + turn as qid, 'src' || (conv_id % 20) as deck_id, conv_id, turn,
         text as question from conversations where role = 'user'""", ()),
     "conv_qa": ("""select q.*, a.text as answer, cast(q.conv_id % 10 + 1 as integer) as page
         from conv_q q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
@@ -87,7 +87,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         case when line_no % 4 = 3 then 'repeat' when line_no % 4 = 1 then 'fact' else 'explain' end as kind, text,
         case when role = 'user' then 'rehearsal' else 'script' end as source,
         case when role <> 'user' then cast(para as integer) end as para,
-        case when role <> 'user' then 'Part ' || para end as section, para * 1000 + line_no as ord
+        case when role <> 'user' then 'Part ' || para end as section, para * 16777216 + line_no as ord
         from (select conv_id, turn as para, role, unnest(ls) as text,
                      generate_subscripts(ls, 1) - 1 as line_no
               from (select *, {lines('text')} as ls from conversations))""", ()),

@@ -174,7 +174,7 @@ def page_references(spark, sf_dir):
 
 
 @query("t19_messages", """
-    with m as (select conv_id * 1000 + turn as qid, case turn % 4
+    with m as (select conv_id * 16777216 + turn as qid, case turn % 4
         when 0 then cast(json_object('text', text) as varchar)
         when 1 then cast(json_object('type', 'stt.partial', 'text', text, 'presentation_id', 'd' || conv_id) as varchar)
         when 2 then '{"type": ' || text else '  ' || text || ' ' end as raw from conversations)
@@ -188,7 +188,7 @@ def messages(spark, sf_dir):
            .when(which == 1, F.to_json(F.struct(F.lit("stt.partial").alias("type"), "text", F.concat(
                F.lit("d"), F.col("conv_id").cast("string")).alias("presentation_id"))))
            .when(which == 2, F.concat(F.lit('{"type": '), "text")).otherwise(F.concat(F.lit("  "), "text", F.lit(" "))))
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), tx.parse_message(raw).alias("m")).select(
+    return turns.select((F.col("conv_id") * 16777216 + F.col("turn")).alias("qid"), tx.parse_message(raw).alias("m")).select(
         "qid", "m.type", F.md5("m.text").alias("digest"), "m.deck_id")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import NUMBER, new_numbers, numbers_supported, numbers_supported_by_name
 from ..functions.profiles import LATIN, Profile
 from ..functions.text import (bigrams, drop_page_refs, find_all, first_readable_line, let, name_page_zero, strip)
-from ..plans.ranking import first_per_group, number_rows, top_n
+from ..plans.ranking import first_per_group, number_ordered, number_rows, top_n
 from .guards import HIGHLIGHT_MAX, NUMBER_AND_UNIT
 
 # ---- fixed values -------------------------------------------------------------------
@@ -277,7 +277,7 @@ def knowledge_graph(responses: DataFrame, chunks: DataFrame, relations: Sequence
         "f", F.transform(F.split(F.regexp_replace("line", r"^\|+|\|+$", ""), r"\|"), strip)).where(F.size("f") >= 4)
     f = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
     ids = chunks.select("deck_id", "batch", "number", "id")
-    order = (F.col("batch").cast("bigint") * 1_000_000 + F.col("pos")).alias("ord")
+    order = F.struct("batch", "pos").alias("ord")
     named = (rows.where(f(0) == CHUNK_MARK).select("deck_id", "batch", order, _number_in(f(1)).alias("number"),
                                                     F.substring(f(2), 1, NAME_CHARS).alias("name"),
                                                     F.substring(f(3), 1, TOPIC_CHARS).alias("topic"))
@@ -454,6 +454,6 @@ def item_lines(made: DataFrame) -> DataFrame:
 
 def knowledge_batches(chunks: DataFrame, per_batch: int = BATCH_CHUNKS) -> DataFrame:
     """Adds ``batch`` and ``number`` (1..80) to a deck's knowledge chunks in order."""
-    placed = number_rows(chunks, ["deck_id"], "ord", "_n")
+    placed = number_ordered(chunks, ["deck_id"], ["ord"], "_n")
     return placed.withColumn("batch", F.floor((F.col("_n") - 1) / per_batch).cast("int")).withColumn(
         "number", ((F.col("_n") - 1) % per_batch + 1).cast("int")).drop("_n")

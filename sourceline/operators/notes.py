@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, content_only
 from ..plans.components import connected_components
-from ..plans.ranking import first_per_group, number_rows
+from ..plans.ranking import first_per_group, number_ordered
 from .guards import GROUNDED, grounded_share
 from .knowledge import ANSWER_KINDS, SPOKEN_KINDS
 
@@ -199,8 +199,7 @@ def notes_by_page(notes: DataFrame, show_repeat: bool = False) -> DataFrame:
     """``deck_id, place, page, n``: pages in order, the general group last."""
     shown = notes if show_repeat else notes.where(F.col("kind") != "repeat")
     groups = shown.groupBy("deck_id", F.coalesce("page", F.lit(0)).alias("page")).agg(F.count("*").alias("n"))
-    last = F.when(F.col("page") == 0, 999).otherwise(F.col("page"))
-    return number_rows(groups.withColumn("_last", last), ["deck_id"], "_last", "place", ties=["page"]).drop("_last")
+    return number_ordered(groups.withColumn("_last", F.col("page") == 0), ["deck_id"], ["_last", "page"], "place").drop("_last")
 
 
 def split_accepted(items: DataFrame) -> DataFrame:

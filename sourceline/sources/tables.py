@@ -37,7 +37,7 @@ def live_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions, each asked of one deck."""
     turns = table(spark, sf_dir, "conversations")
     return turns.where(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+        (F.col("conv_id") * 16777216 + F.col("turn")).alias("qid"),
         F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("deck_id"),
         "conv_id", "turn", F.col("text").alias("question"))
 
@@ -57,7 +57,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = turns.select(
         F.col("conv_id").alias("deck_id"), F.col("turn").alias("para"), "role",
         F.posexplode(split_lines(F.col("text"))).alias("line_no", "text"))
-    ordinal = (F.col("para") * 1000 + F.col("line_no")).alias("ord")
+    ordinal = (F.col("para") * 16777216 + F.col("line_no")).alias("ord")
     kind = (F.when(F.col("line_no") % 4 == 3, "repeat").when(F.col("line_no") % 4 == 1, "fact").otherwise("explain"))
     page = F.when((F.col("para") + F.col("line_no")) % 5 != 0, ((F.col("para") + F.col("line_no")) % 5).cast("int"))
     return lines.select(
