@@ -209,7 +209,7 @@ def answer_choice(spark, sf_dir):
 @query("e13_answer_context", q.with_views("""
     with h as (select qid, id, rank from bm25_rank where rank <= 8),
     p as (select h.qid, cast(h.id % 3 as integer) as page, h.rank, case when h.id % 2 = 0 then 'slide' else 'script' end as kind,
-        substr(d.text, 1, 20) as text from h join docs d using (id)),
+        d.text from h join docs d using (id)),
     l as (select qid, page, min(rank) as rank, line from (select *, case when kind = 'slide' then text when page <> 0 then '[발표자 설명] ' || text
         else '[발표 대본] ' || text end as line from p) group by qid, page, line)
     select qid, page, cast(min(rank) as integer) as ord, md5(string_agg(line, chr(10) order by rank)) as digest from l group by 1, 2""",
@@ -217,7 +217,7 @@ def answer_choice(spark, sf_dir):
 def answer_context(spark, sf_dir):
     docs = t.documents(spark, sf_dir)
     hits = se.bm25_search(ix.build_index(docs), t.questions(spark, sf_dir), 8)
-    picked = hits.join(docs.select("id", F.substring("text", 1, 20).alias("text")), "id").select(
+    picked = hits.join(docs.select("id", "text"), "id").select(
         "qid", "rank", (F.col("id") % 3).cast("int").alias("page"),
         F.when(F.col("id") % 2 == 0, "slide").otherwise("script").alias("kind"), "text")
     return kb.answer_context(picked).select("qid", "page", "ord", F.md5("text").alias("digest"))

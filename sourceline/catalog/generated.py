@@ -21,15 +21,20 @@ def _responses(spark, sf_dir, line):
     return _pages(spark, sf_dir).select("deck_id", "page", "doc_id", "text", line.alias("response"))
 
 
+def _alone(rows):
+    """Every page as a deck of its own, so that each has a response."""
+    return rows.withColumn("deck_id", F.concat_ws("#", "deck_id", num()))
+
+
 def head():
-    return F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z]+", " ")
+    return F.regexp_replace("text", "[^A-Za-z]+", " ")
 
 
 def num():
     return F.col("page").cast("string")
 
 
-HEAD_SQL = "regexp_replace(substr(text, 1, 30), '[^A-Za-z]+', ' ', 'g')"
+HEAD_SQL = "regexp_replace(text, '[^A-Za-z]+', ' ', 'g')"
 
 
 @query("m1_generated_questions", q.with_views(f"""
@@ -57,7 +62,7 @@ KINDS = ["why", "limit", "plan"]
 @query("m3_core_suggestions")
 def core_suggestions(spark, sf_dir):
     line = F.concat(F.lit("## why\n"), num(), F.lit(" | "), head(), F.lit(" [3]\n"), num(), F.lit(" | made up 77123\n## limit\n999 | no such page"))
-    return gen.core_suggestions(_responses(spark, sf_dir, line).where(F.col("page") == 1), _pages(spark, sf_dir), KINDS).select(
+    return gen.core_suggestions(_alone(_responses(spark, sf_dir, line)), _alone(_pages(spark, sf_dir)), KINDS).select(
         "deck_id", "kind", "status", "place", "slide", "text")
 
 
@@ -94,15 +99,15 @@ def flow_steps(spark, sf_dir):
 
 @query("m7_cut_at_unsupported")
 def cut_at_unsupported(spark, sf_dir):
-    answers = t.documents(spark, sf_dir).select("id", F.col("text").alias("response"), F.substring("text", 1, 700).alias("source"),
+    answers = t.documents(spark, sf_dir).select("id", F.col("text").alias("response"), F.regexp_replace("text", "[0-4]", "").alias("source"),
                                                 F.lit("").alias("question"))
     return gen.cut_at_unsupported(answers).select("id", "status", F.length("shown").alias("n_shown"))
 
 
-@query("m8_refined_blocks", q.with_views(f"""select deck_id, page, length(b) as n_chars from (select deck_id, page, text, {q.strip('substr(text, 1, 200)')}
+@query("m8_refined_blocks", q.with_views(f"""select deck_id, page, length(b) as n_chars from (select deck_id, page, text, {q.strip('text')}
     || case when page % 4 = 0 then ' 48151623' else '' end as b from chunks) where b <> '' and {q.numbers_ok('b', 'text')}""", "chunks"))
 def refined_blocks(spark, sf_dir):
-    body = F.concat(F.regexp_replace(F.substring("text", 1, 200), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.when(F.col("page") % 4 == 0, " 48151623").otherwise(""))
+    body = F.concat(F.regexp_replace("text", r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.when(F.col("page") % 4 == 0, " 48151623").otherwise(""))
     return gen.refined_blocks(_responses(spark, sf_dir, F.concat(F.lit("=== "), num(), F.lit("\n"), body, F.lit("\n"))), _pages(spark, sf_dir)).select(
         "deck_id", "page", F.length("text").alias("n_chars"))
 
@@ -152,9 +157,9 @@ def knowledge_graph_edges(spark, sf_dir):
 
 @query("m11_note_lines")
 def note_lines(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = _alone(_pages(spark, sf_dir))
     line = F.concat(num(), F.lit(" | explain | "), head(), F.lit("\n0 | odd | has 48151623 inside\n"), num(), F.lit(" | known | \"said before\"\nbroken line"))
-    parsed = gen.parse_note_lines(_responses(spark, sf_dir, line).where(F.col("page") == 1))
+    parsed = gen.parse_note_lines(_alone(_responses(spark, sf_dir, line)))
     return gen.classify_notes(parsed, pages, gen.number_runs(pages)).select("deck_id", "pos", "page", "kind", "said_known", F.array_join("new_numbers", ",").alias("new_numbers"))
 
 

@@ -14,11 +14,11 @@ from .registry import query
 def _seeds(spark, sf_dir):
     """Three order nodes per question, taken from the order table."""
     orders = t.table(spark, sf_dir, "orders")
-    picked = orders.select((F.col("o_custkey") % 50).alias("qid"), F.col("o_orderkey").alias("node"))
+    picked = orders.select(F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("node"))
     return top_n(picked, ["qid"], ["node"], 3)
 
 
-SEEDS = """seeds as (select * from (select o_custkey % 50 as qid, o_orderkey as node, cast(row_number() over (partition by o_custkey % 50 order by o_orderkey) as integer) as rank from orders) where rank <= 3),
+SEEDS = """seeds as (select * from (select o_custkey as qid, o_orderkey as node, cast(row_number() over (partition by o_custkey order by o_orderkey) as integer) as rank from orders) where rank <= 3),
     bw as (select src as node, dst as other, relation, ord from edges union all select dst, src, relation, ord from edges)"""
 
 
@@ -57,7 +57,7 @@ def graph_coverage(spark, sf_dir):
 @query("x6_page_expansion", q.with_views(f"""with {SEEDS},
     near as (select qid, other as node, row_number() over (partition by qid order by pos) as o from (select s.qid, b.other, min(s.rank * 100000000000000000 + b.ord) as pos
         from seeds s join bw b using (node) where not exists (select 1 from seeds x where x.qid = s.qid and x.node = b.other) group by 1, 2)),
-    told as (select q.qid, p_partkey + 1000000000 as node, min(10 + p_partkey % 7) as o from part join (select distinct qid from seeds) q on p_partkey % 50 = q.qid group by 1, 2),
+    told as (select q.qid, p_partkey + 1000000000 as node, min(10 + p_partkey % 7) as o from part join (select distinct qid from seeds) q on p_partkey = q.qid group by 1, 2),
     pool as (select qid, node, min(o) as o from (select qid, node, o from near where o <= 10 union all select * from told) group by 1, 2),
     sc as (select *, round((node % 13) / 3.0, 6) as score from pool where node % 13 <> 0)
     select qid, node, score, place from (select *, cast(row_number() over (partition by qid order by score desc, o, node) as integer) as place from sc) where place <= 3""", "edges"))
@@ -65,7 +65,7 @@ def page_expansion(spark, sf_dir):
     edges, seeds = t.edges(spark, sf_dir), _seeds(spark, sf_dir)
     part = t.table(spark, sf_dir, "part")
     story = part.select((F.col("p_partkey") % 7).alias("line_id"), (F.col("p_partkey") + 1_000_000_000).alias("page"),
-                        (F.col("p_partkey") % 50).cast("string").alias("word"))
+                        F.col("p_partkey").cast("string").alias("word"))
     asked = seeds.select("qid", F.col("qid").cast("string").alias("word")).distinct()
     near = seeds.join(gr.both_ways(edges), "node").select("qid", F.col("other").alias("node"))
     told = story.join(asked, "word").select("qid", F.col("page").alias("node"))

@@ -64,11 +64,11 @@ def target_pages(spark, sf_dir):
 
 
 def _head_and_text(spark, sf_dir):
-    return t.documents(spark, sf_dir).select("id", "text", F.substring("text", 1, 700).alias("head"))
+    return t.documents(spark, sf_dir).select("id", "text", F.regexp_replace("text", "[0-4]", "").alias("head"))
 
 
 @query("g5_numbers_supported", f"""select id, {q.numbers_ok('text', 'head')} as supported
-    from (select doc_id as id, text, substr(text, 1, 700) as head from documents)""")
+    from (select doc_id as id, text, regexp_replace(text, '[0-4]', '', 'g') as head from documents)""")
 def numbers_supported(spark, sf_dir):
     return _head_and_text(spark, sf_dir).select("id", nb.numbers_supported(F.col("text"), F.col("head")).alias("supported"))
 
@@ -76,11 +76,11 @@ def numbers_supported(spark, sf_dir):
 @query("g6_numbers_supported_by_name")
 def numbers_supported_by_name(spark, sf_dir):
     return _head_and_text(spark, sf_dir).select("id", nb.numbers_supported_by_name(
-        F.col("text"), F.col("head"), F.substring("text", -200, 200)).alias("supported"))
+        F.col("text"), F.col("head"), F.col("text")).alias("supported"))
 
 
 @query("g7_unsupported_numbers", f"""select id, number from (select id, head, unnest({q.numbers('text')}) as number
-    from (select doc_id as id, text, substr(text, 1, 700) as head from documents))
+    from (select doc_id as id, text, regexp_replace(text, '[0-4]', '', 'g') as head from documents))
     where length(number) >= 2 and not contains({q.squeeze('head')}, replace(number, ',', ''))""")
 def unsupported_numbers(spark, sf_dir):
     return _head_and_text(spark, sf_dir).select("id", F.explode(nb.unsupported_numbers(F.col("text"), F.col("head"))).alias("number"))
@@ -94,9 +94,9 @@ def new_facts(spark, sf_dir):
 
 @query("g9_leaks", q.with_views(f"""select qid, len(list_filter(facts, lambda f: contains(
         lower({q.squeeze('question')}), lower({q.squeeze('f')})))) > 0 as leaks
-    from (select qid, question, list_slice({q.words('answer')}, 1, 3) as facts from conv_qa)""", "conv_qa"))
+    from (select qid, question, {q.words('answer')} as facts from conv_qa)""", "conv_qa"))
 def leaks(spark, sf_dir):
-    facts = F.slice(content_words(F.col("answer")), 1, 3)
+    facts = content_words(F.col("answer"))
     return t.spoken_answers(spark, sf_dir).select("qid", "question", facts.alias("facts")).select(
         "qid", gd.leaks(F.col("question"), F.col("facts")).alias("leaks"))
 
@@ -126,10 +126,10 @@ def grounded_share(spark, sf_dir):
     select qid, array_to_string(list_slice(list_filter(list_transform(range(1, len(ks) + 1), lambda i:
         case when list_position(ks, ks[i]) = i then ks[i] end), lambda k: k is not null and length(k) >= 2
         and not regexp_matches(k, {q.quote(gd.NUMBER_AND_UNIT)}) and (contains(question, k) or contains(answer, k))), 1, 3), ' ') as keys
-    from (select qid, question, substr(answer, 1, 80) as answer, {q.words('answer')} as ks from conv_qa)""", "conv_qa"))
+    from (select qid, question, answer, {q.words('answer')} as ks from conv_qa)""", "conv_qa"))
 def highlight_words(spark, sf_dir):
     pairs = t.spoken_answers(spark, sf_dir)
-    keys = gd.highlight_words(content_words(F.col("answer")), F.col("question"), F.substring("answer", 1, 80))
+    keys = gd.highlight_words(content_words(F.col("answer")), F.col("question"), F.col("answer"))
     return pairs.select("qid", F.array_join(keys, " ").alias("keys"))
 
 

@@ -16,15 +16,15 @@ from .registry import query
 
 def _simple(spark, sf_dir):
     """Spoken answers judged on three facts taken from the question, so SQL can follow."""
-    facts = F.slice(F.array_distinct(content_words(F.col("question"))), 1, 3)
+    facts = F.array_distinct(content_words(F.col("question")))
     pairs = t.spoken_answers(spark, sf_dir).select(
         "qid", "deck_id", "page", "question", "answer", facts.alias("facts"), F.col("question").alias("snippet"),
         F.concat_ws(" ", "question", "answer").alias("page_text"), (F.col("turn") % 4).cast("string").alias("qtype"))
     return pr.judge(pairs)
 
 
-JUDGED = f"""f as (select qid, deck_id, page, question, answer, cast(turn % 4 as varchar) as qtype, list_slice(list_filter(list_transform(
-        range(1, len(ws) + 1), lambda i: case when list_position(ws, ws[i]) = i then ws[i] end), lambda w: w is not null), 1, 3) as facts
+JUDGED = f"""f as (select qid, deck_id, page, question, answer, cast(turn % 4 as varchar) as qtype, list_filter(list_transform(
+        range(1, len(ws) + 1), lambda i: case when list_position(ws, ws[i]) = i then ws[i] end), lambda w: w is not null) as facts
         from (select *, {q.words('question')} as ws from conv_qa)),
     j as (select *, list_filter(facts, lambda x: contains(lower({q.squeeze('answer')}), lower({q.squeeze('x')}))) as covered from f),
     judged as (select *, len(facts) - len(covered) as n_missed, case when len(facts) > 0 then len(covered) / len(facts) else 0 end as ratio,
@@ -100,7 +100,7 @@ def weakest_answers(spark, sf_dir):
 def drill_input(spark, sf_dir):
     """One drill per conversation: the first user turn asks, the assistant turns answer."""
     turns = t.table(spark, sf_dir, "conversations")
-    facts = F.slice(F.array_distinct(content_words(F.col("text"))), 1, 4)
+    facts = F.array_distinct(content_words(F.col("text")))
     opening = turns.where(F.col("turn") == 0).select(
         F.col("conv_id").alias("qid"), F.col("text").alias("question"), facts.alias("facts"),
         F.when(F.col("conv_id") % 2 == 0, F.lit("and what else?")).otherwise("").alias("followup"))
@@ -110,8 +110,8 @@ def drill_input(spark, sf_dir):
 
 
 @query("p7_drill", q.with_views(f"""
-    with o as (select conv_id as qid, list_slice(list_filter(list_transform(range(1, len(ws) + 1), lambda i: case when list_position(ws, ws[i]) = i then ws[i] end),
-            lambda w: w is not null), 1, 4) as facts from (select *, {q.words('text')} as ws from conversations where turn = 0)),
+    with o as (select conv_id as qid, list_filter(list_transform(range(1, len(ws) + 1), lambda i: case when list_position(ws, ws[i]) = i then ws[i] end),
+            lambda w: w is not null) as facts from (select *, {q.words('text')} as ws from conversations where turn = 0)),
     a as (select o.qid, cast((turn - 1) // 2 as integer) as depth, facts, lower({q.squeeze('text')}) as said from o join conversations c on c.conv_id = o.qid and c.turn % 2 = 1),
     m as (select x.qid, x.depth, x.facts, list_filter(x.facts, lambda f: not contains(string_agg(y.said, '|' order by y.depth), lower({q.squeeze('f')}))) as missed
           from a x join a y on y.qid = x.qid and y.depth <= x.depth where x.depth <= 2 group by x.qid, x.depth, x.facts),

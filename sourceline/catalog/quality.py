@@ -60,15 +60,15 @@ def length_profile(spark, sf_dir):
 
 
 def _needed(spark, sf_dir):
-    """Pages of the web table stand in for page images of the decks' short pages."""
-    chunks = t.chunks(spark, sf_dir).where(F.col("n_chars") < 900)
-    images = t.table(spark, sf_dir, "pages").select((F.col("page_id") * 4 % 1000).alias("doc_id"), F.col("html"))
+    """Pages of the web table stand in for page images of the decks' pages."""
+    chunks = t.chunks(spark, sf_dir)
+    images = t.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html"))
     return chunks.join(images, "doc_id").select("deck_id", "page", ql.read_key(
         F.col("html"), "reader", "small", "read this").alias("key"), "doc_id")
 
 
 NEEDED = """need as (select c.deck_id, c.page, sha256(p.html || 'reader|small|read this') as key, c.doc_id
-    from chunks c join pages p on c.doc_id = p.page_id * 4 % 1000 where c.n_chars < 900)"""
+    from chunks c join pages p on c.doc_id = p.page_id)"""
 
 
 @query("q6_reread_plan", q.with_views(f"""with {NEEDED}, cached as (select key from need where doc_id % 5 = 0),

@@ -116,11 +116,10 @@ def delete_decks(spark, sf_dir):
     return left["chunks"].groupBy("deck_id").agg(F.count("*").alias("n"))
 
 
-@query("s10_text_notes", q.with_views("select conv_id, md5(text) as digest from conversations where turn = 0"))
+@query("s10_text_notes", q.with_views("select conv_id, md5(text) as digest from conversations"))
 def text_notes(spark, sf_dir):
     """Both encodings decode to the same text."""
-    opening = t.table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-    return opening.select("conv_id", F.md5(stores.decode_text(F.encode("text", "UTF-8"))).alias("digest"))
+    return t.table(spark, sf_dir, "conversations").select("conv_id", F.md5(stores.decode_text(F.encode("text", "UTF-8"))).alias("digest"))
 
 
 @query("s11_keyed_upsert", q.with_views("select id, case when ord % 2 = 0 then 'changed' else md5(text) end as digest from notes", "notes"))

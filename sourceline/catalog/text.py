@@ -166,9 +166,11 @@ def content_ids(spark, sf_dir):
     return first_per_group(named, ["deck_id", "id"], ["ord"]).select("deck_id", "id", "ord")
 
 
-@query("t18_page_references")
+@query("t18_page_references", r"""with d as (select doc_id as id, '12번 슬라이드, p.3 and 10번 ' || text || ' 0번 슬라이드' as x from documents)
+    select id, regexp_replace(regexp_replace(x, '[0-9]+\s*번\s*(?:슬라이드|장)', '', 'g'), '(?:p\.?\s*|슬라이드\s*)[0-9]+', '', 'g') as without_refs,
+        regexp_replace(regexp_replace(x, '(^|[^0-9])0\s*번(?:\s*(?:슬라이드|장))?', '\1보강 자료', 'g'), '슬라이드\s*0([^0-9]|$)', '보강 자료\1', 'g') as spoken from d""")
 def page_references(spark, sf_dir):
-    text = F.concat(F.lit("12번 슬라이드, p.3 and 10번 "), F.substring("text", 1, 40), F.lit(" 0번 슬라이드"))
+    text = F.concat(F.lit("12번 슬라이드, p.3 and 10번 "), F.col("text"), F.lit(" 0번 슬라이드"))
     return t.documents(spark, sf_dir).select("id", tx.drop_page_refs(text).alias("without_refs"),
                                              tx.name_page_zero(text).alias("spoken"))
 
