@@ -36,16 +36,32 @@ def without_known_names(text: Column, source: Column, question: Column) -> Colum
 
     Text is cut into alternating plain and name pieces, so each name is judged where it stands.
     """
-    known = F.concat(_name_key(source), F.lit("|"), _name_key(question))
+    return let(_known_names(source, question), lambda names: _without(text, names))
+
+
+def _known_names(source: Column, question: Column) -> Column:
+    return F.concat(_name_key(source), F.lit("|"), _name_key(question))
+
+
+def _without(text: Column, names: Column) -> Column:
     pieces = find_all(text, rf"{NAME_WITH_DIGIT}|[A-Za-z]+|[^A-Za-z]+")
-    return let(known, lambda names: F.array_join(F.transform(pieces, lambda piece: F.when(
-        piece.rlike(f"^{NAME_WITH_DIGIT}$") & names.contains(_name_key(piece)), F.lit(" ")).otherwise(piece)), ""))
+    return F.array_join(F.transform(pieces, lambda piece: F.when(
+        piece.rlike(f"^{NAME_WITH_DIGIT}$") & names.contains(_name_key(piece)), F.lit(" ")).otherwise(piece)), "")
+
+
+def all_supported_by_name(texts: Column, source: Column, question: Column) -> Column:
+    """For each of ``texts`` whether its numbers are supported; source and question are prepared once.
+
+    Digits inside a known name pass. A question vouches for names only, never for bare numbers.
+    """
+    given = F.struct(squeeze(source).alias("tight"), _known_names(source, question).alias("names"))
+    return let(given, lambda known: F.transform(texts, lambda text: F.when(
+        text.rlike("[0-9]"), F.forall(numbers(_without(text, known["names"])), _in_source(known["tight"]))).otherwise(True)))
 
 
 def numbers_supported_by_name(text: Column, source: Column, question: Column) -> Column:
-    """As :func:`numbers_supported`, but digits inside a known name pass. A question vouches
-    for names only, never for bare numbers."""
-    return numbers_supported(without_known_names(text, source, question), source)
+    """:func:`all_supported_by_name` of one text."""
+    return F.get(all_supported_by_name(F.array(text), source, question), F.lit(0))
 
 
 def unsupported_numbers(text: Column, source: Column, min_chars: int = 2) -> Column:

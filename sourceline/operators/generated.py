@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import NUMBER, new_numbers, numbers_supported, numbers_supported_by_name
+from ..functions.numbers import NUMBER, all_supported_by_name, new_numbers, numbers_supported, numbers_supported_by_name
 from ..functions.profiles import LATIN, Profile
 from ..functions.text import (bigrams, drop_page_refs, find_all, first_readable_line, let, name_page_zero, strip)
 from ..plans.ranking import first_per_group, number_ordered, number_rows, top_n
@@ -176,18 +176,14 @@ def cut_at_unsupported(answers: DataFrame, profile: Profile = LATIN) -> DataFram
     clean = lambda s: strip(F.regexp_replace(s, r"\*\*|__|`", ""))
     said = F.filter(F.transform(F.split("response", r"(?<=[.!?])\s+"), clean), lambda s: s != "")
 
-    def step(acc: Column, s: Column) -> Column:
-        fine = numbers_supported_by_name(s, F.col("source"), F.col("question"))
-        return F.when(acc["stop"], acc).otherwise(F.struct(
-            F.when(fine, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"), (~fine).alias("stop")))
-
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("stop"))
+    bad = F.array_position(all_supported_by_name(F.col("_said"), F.col("source"), F.col("question")), F.lit(False))
     is_none = F.regexp_replace(F.coalesce(F.get("_said", F.lit(0)), F.lit("")), r"""^["' .]+|["' .]+$""", "") == profile.none_word
     nothing = (F.size("_said") == 0) | ((F.size("_said") == 1) & is_none)
-    return (answers.withColumn("_said", said).withColumn("_cut", F.aggregate("_said", start, step))
-            .withColumn("shown", F.when(nothing, "").otherwise(F.array_join(F.col("_cut.kept"), " ")))
-            .withColumn("status", F.when(nothing, "no_answer").when(F.col("_cut.stop"), "blocked").otherwise("ok"))
-            .drop("_said", "_cut"))
+    return (answers.withColumn("_said", said).withColumn("_bad", bad.cast("int"))
+            .withColumn("shown", F.when(nothing, "").when(F.col("_bad") > 0, F.array_join(F.slice("_said", 1, F.col("_bad") - 1), " "))
+                        .otherwise(F.array_join("_said", " ")))
+            .withColumn("status", F.when(nothing, "no_answer").when(F.col("_bad") > 0, "blocked").otherwise("ok"))
+            .drop("_said", "_bad"))
 
 
 def refined_blocks(responses: DataFrame, pages: DataFrame) -> DataFrame:
