@@ -107,3 +107,57 @@ def test_fusion_is_symmetric_without_ties(spark):
 def test_unknown_retriever_is_an_error(spark):
     with pytest.raises(ValueError):
         se.retrieve("nothing", None, None, 3)
+
+
+def test_hub_with_nine_seeds_keeps_its_neighbours(spark):
+    edges = [(0, i, "x", i) for i in range(1, 9)] + [(0, 99, "x", 50)]
+    seeds = spark.createDataFrame([(1, n, n + 1) for n in range(9)], "qid int, node int, rank int")
+    got = gr.page_neighbours(spark.createDataFrame(edges, "src int, dst int, relation string, ord int"), seeds, 1).collect()
+    assert [(r["qid"], r["other"]) for r in got] == [(1, 99)]
+
+
+def test_degree_cap_keeps_graphs_apart(spark):
+    rows = [(d, 1, 10 + i, i) for d in "ab" for i in range(6)]
+    got = gr.cap_degrees(spark.createDataFrame(rows, "deck string, src int, dst int, ord int"), key=["deck"]).collect()
+    assert sorted((r["deck"], r["ord"]) for r in got) == [(d, i) for d in "ab" for i in range(4)]
+
+
+def test_pages_above_999(spark):
+    from sourceline.operators import generated as gen
+    said = spark.createDataFrame([("d", "1000 | why is this page so long\n999 | and what about this one\n99999999999 | no such page at all")], "deck_id string, response string")
+    pages = spark.createDataFrame([("d", 999), ("d", 1000)], "deck_id string, page int")
+    assert sorted(r["page"] for r in gen.parse_questions(said, pages).collect()) == [999, 1000]
+
+
+def test_fusion_ranks_documents_without_a_hit(spark):
+    """Question ``alpha``: document 1 has no hit but the smallest id, and leads the vectors."""
+    from sourceline.operators.index import build_index
+    docs = spark.createDataFrame([(1, "beta", [1.0, 0.0]), (2, "alpha", [0.0, 1.0]), (3, "gamma", [0.8, 0.6])], "id long, text string, vector array<double>")
+    asked = spark.createDataFrame([(7, "alpha", [1.0, 0.0])], "qid long, question string, vector array<double>")
+    hits = se.fuse_with_dense(se.bm25_scores(build_index(docs), asked), docs, asked, 3).orderBy("rank").collect()
+    assert [r["id"] for r in hits] == [1, 2, 3]
+    assert abs(hits[0]["score"] - (1 / 62 + 1 / 61)) < 1e-9
+    nothing = asked.limit(0)
+    assert se.fuse_with_dense(se.bm25_scores(build_index(docs), nothing), docs, nothing, 3).count() == 0
+    filled = se.bm25_search(build_index(docs), asked, 3, fill=docs).orderBy("rank").collect()
+    assert [(r["id"], r["score"] > 0) for r in filled] == [(2, True), (1, False), (3, False)]
+
+
+def test_unreadable_file_costs_its_rows_only(spark, tmp_path):
+    from sourceline.sources import stores
+    path = str(tmp_path / "keyed")
+    spark.createDataFrame([("a", 1)], "deck_id string, n int").coalesce(1).write.parquet(path)
+    (tmp_path / "keyed" / "part-broken.parquet").write_bytes(b"PAR1 this is no table PAR1")
+    schema = "deck_id string, n int"
+    from pyspark.sql.types import StructType
+    assert [tuple(r) for r in stores.read_keyed(spark, path, StructType.fromDDL(schema)).collect()] == [("a", 1)]
+    assert stores.read_keyed(spark, path + "-gone", StructType.fromDDL(schema)).count() == 0
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sourceline.session import work_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work_dir(fake)
