@@ -30,6 +30,18 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
 
+KEY = ["key_null", "key_id", "key_text"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``KEY``, ``doc``: documents under a key of id and text, the same in every reading of a table.
+
+    Rows with one id and one text share a key.
+    """
+    return docs.select(F.col("doc_id").isNull().alias(KEY[0]), F.coalesce("doc_id", F.lit(0)).alias(KEY[1]),
+                       F.coalesce(F.xxhash64("text"), F.lit(0)).alias(KEY[2]), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character as it is.
 

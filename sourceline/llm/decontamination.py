@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import stored
-from .common import ascii_lower, numbered
+from .common import KEY, ascii_lower, keyed
 
 WINDOW = 13
 K = 5
@@ -145,9 +145,9 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows, with their own columns."""
-    rows = stored(numbered(docs), "decontamination-documents")
-    bad = contamination(rows.select("row", "doc.text"), items, ["row"]).where("contaminated").select("row")
-    return rows.join(bad, "row", "left_anti").select("doc.*")
+    rows = keyed(docs)
+    bad = contamination(rows.select(*KEY, "doc.text"), items, KEY).where("contaminated").select(*KEY).distinct()
+    return rows.join(bad, KEY, "left_anti").select("doc.*")
 
 
 ORACLE = r"""

@@ -20,6 +20,7 @@ nothing else has a null component; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.materialize import stored
-from .common import numbered, united
+from .common import KEY, keyed, united
 
 SHINGLE, SEED, BUDGET = 3, 42, 3
 BLOCKS, BLOCK_BITS = 4, 16
@@ -244,7 +245,11 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of every component, with the columns of ``docs``."""
-    rows = stored(numbered(docs), "simhash-documents")
-    keep = near_duplicates(rows.select("doc.doc_id", "row", "doc.text"), "doc_id", ("row",)).where(F.col("first.row") == F.col("row"))
-    return rows.join(keep.select("row"), "row", "left_semi").select("doc.*")
+    """The row with the smallest doc_id of every component, with the columns of ``docs``.
+
+    Rows that repeat id and text are one document.
+    """
+    rows = keyed(docs)
+    near = near_duplicates(rows.select(*KEY, "doc.text"), KEY[0], (*KEY[1:],))
+    same = reduce(Column.__and__, [F.col(f"first.{k}") == F.col(k) for k in KEY])
+    return rows.join(near.where(same).select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY).select("doc.*")
