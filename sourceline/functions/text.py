@@ -252,9 +252,9 @@ def letter_count(text: Column, letter: str = LETTER) -> Column:
 
 
 def top_char_count(chars: Column) -> Column:
-    """Occurrences of the most frequent character: what the joined text loses without it."""
-    return let(F.array_join(chars, ""), lambda whole: F.coalesce(F.array_max(F.transform(
-        F.array_distinct(chars), lambda c: F.length(whole) - F.length(F.replace(whole, c, F.lit(""))))), F.lit(0)))
+    """Occurrences of the most frequent character: the longest run of the sorted characters."""
+    runs = find_all(F.array_join(F.sort_array(chars), ""), r"(?s)(.)\1*")
+    return F.coalesce(F.array_max(F.transform(runs, lambda run: F.length(run))), F.lit(0))
 
 
 def line_garbled(line: Column, alphabet: str = "[가-힣]") -> Column:
