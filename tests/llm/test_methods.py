@@ -163,3 +163,19 @@ def test_random_strings_and_what_is_known(coder):
     for fine in ("sha256-q7Zk2Xv9Lm4Rt8Wp3Ns6Yd1Hb5Jc0Gf", "123e4567-e89b-12d3-a456-426614174000", "getUserAccountById2Factory9",
                  "thisisalonginventedwordwithoutmeaning", "2024-01-01-10-20-30-40-50", "my_variable_name_2024_final"):
         assert secret_scan.spans(f"see {fine} there", coder) == [], fine
+
+
+def test_random_letters_and_keys_joined_to_words(coder):
+    rng = random.Random(5)
+
+    def found(before, alphabet, n, after=""):
+        value = "".join(rng.choice(alphabet) for _ in range(n))
+        text = f"see {before}{value}{after} end"
+        return any(k == 3 and a <= 4 + len(before) and b >= 4 + len(before) + n for a, k, b in secret_scan.spans(text, coder))
+    letters, base62 = string.ascii_letters, string.ascii_letters + string.digits
+    path = "configuration/production/database/connection="
+    for case in (("", letters, 24), ("", base62, 20), (path, base62, 24), ("service-account-", base62, 32, "-production-eu-west")):
+        assert sum(found(*case) for _ in range(200)) >= 190, case
+    for fine in ("service/configuration/production/database/connection", "DELETE_CUSTOMER_RESPONSE_HANDLER", "logs/2024-01-01-10-20-30/part-00017",
+                 "users/123e4567-e89b-12d3-a456-426614174000/profile", "=" * 40, "a" + "-=" * 20):
+        assert secret_scan.spans(f"see {fine} there", coder) == [], fine
