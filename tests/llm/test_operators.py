@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sourceline.llm import decontamination, embedding_dedup, lm, mixing, packing, quality, secret_scan, sharding, simhash, warc
+from sourceline.llm import decontamination, embedding_dedup, lm, mixing, near_copies, packing, quality, secret_scan, sharding, simhash, warc
 from sourceline.llm.common import crc_of_id
 
 from .conftest import odd_rows
@@ -339,3 +339,31 @@ def test_pipeline_equals_its_operators(spark, tables, odd, items, labels):
 @pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_of_nothing(spark, none, tables, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, none, tables).count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Copies at every distance around 0.8, chains of them, and a group larger than its leaders reach."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for n in (40, 150, 600):
+        for changes in (0, 1, 2, 3, 4, 6):
+            base = rng.choice(vocabulary, n).tolist()
+            texts.append(" ".join(base))
+            for _ in range(4):
+                at = rng.choice(n, min(n, changes * n // 100 + (changes > 0)), replace=False)
+                texts.append(" ".join(x if i not in at else "z" + x for i, x in enumerate(base)))
+    base = rng.choice(vocabulary, 300).tolist()
+    for i in range(25):
+        base[i * 12] = f"c{i}"
+        texts += [" ".join(base), " ".join(base)]
+    texts += [None, "", " ", "One two", "one  TWO", "three"]
+    sets = [set(near_copies.shingles(None if t is None else t.encode()).tolist()) for t in texts]
+    same = [len(a & b) >= 0.8 * len(a | b) for a in sets for b in sets]
+    parent = list(range(len(texts)))
+    for i, j in zip(*np.nonzero(np.array(same).reshape(len(texts), -1)), strict=True):
+        low, high = sorted((parent[i], parent[j]))
+        parent = [low if x == high else x for x in parent]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()]
+    assert sorted(got) == sorted(set(parent)) and 20 < len(got) < 100
