@@ -3,8 +3,11 @@
 In a pass every vector gets the signs of its products with random directions, written one after the
 other as one number; vectors of a label are sorted by that number and each is compared with its next
 ``NEIGHBOURS``. Pairs with a cosine of at least ``COSINE``, in double precision, are links, and links of
-all passes are united to components. The number of passes follows from the largest label: enough that
-a pair right at ``COSINE`` is met with probability ``RECALL``, so it behaves alike at every size.
+all passes are united to components. Signs are taken of the differences to the centre of the label, as a
+direction that all vectors share would put too many under one prefix. The number of passes follows from
+the size of a label and the mean distance to its centre: enough that a pair right at ``COSINE``, seen from
+there, is met with probability ``RECALL``. Two things are not covered: vectors that crowd around several
+centres, and labels so narrow that the cosine from the centre is below ``LEAST_SEEN`` (a mean cosine of 0.86).
 
 The window bounds candidates; the rest is exact: inside a component all links are counted anew. A
 component of up to ``DENSE`` vectors is one product. In a larger one, vectors within half the angle of
@@ -32,6 +35,7 @@ from ..plans.materialize import stored
 from .common import united
 
 COSINE, NEIGHBOURS, RECALL, MARGIN_BITS = 0.93, 32, 0.999, 2
+LEAST_SEEN = 0.5
 BITS, AT_ONCE, DENSE, BLOCK, SEED = 62, 8, 512, 2048, 2024
 
 
@@ -45,6 +49,11 @@ def passes_for(n: int, neighbours: int = NEIGHBOURS, cosine: float = COSINE, rec
     return max(1, ceil(log(1 - recall) / log(1 - met)))
 
 
+def seen_cosine(spread: float, cosine: float = COSINE) -> float:
+    """The cosine of two vectors at ``cosine``, seen from a centre from which the mean squared distance is ``spread``."""
+    return max(min(LEAST_SEEN, cosine), 1 - (1 - cosine) / spread) if 0 < spread < 1 else cosine
+
+
 def unit(vectors: Iterable) -> np.ndarray:
     x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
     x /= np.abs(x).max(1, keepdims=True)
@@ -78,12 +87,28 @@ def _close(x: np.ndarray, cosine: float, neighbours: int) -> tuple[np.ndarray, n
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
 
 
-def pass_links(reps: DataFrame, numbers: range, cosine: float, neighbours: int) -> DataFrame:
+def label_centres(reps: DataFrame) -> DataFrame:
+    """``label, dim, size, spread, centre``: the mean of the unit vectors, and their mean squared distance to it."""
+    def sums(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (label, dim), rows in batch.groupby(["label", "dim"]):
+                yield pd.DataFrame({"label": [label], "dim": [dim], "n": [len(rows)], "x": [unit(rows["v"]).sum(0).tolist()]})
+
+    kind = reps.schema["label"].dataType.simpleString()
+    parts = reps.select("label", "dim", "v").mapInPandas(sums, f"label {kind}, dim int, n long, x array<double>")
+    means = (parts.select("label", "dim", "n", F.posexplode("x").alias("i", "x")).groupBy("label", "dim", "i")
+             .agg(F.sum("n").alias("size"), (F.sum("x") / F.sum("n")).alias("x")))
+    centres = means.groupBy("label", "dim").agg(F.max("size").alias("size"), (1 - F.sum(F.col("x") * F.col("x"))).alias("spread"),
+                                                F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centre"))
+    return stored(centres, "vector-centres")
+
+
+def pass_links(reps: DataFrame, centres: DataFrame, numbers: range, cosine: float, neighbours: int) -> DataFrame:
     """``a, b``: a spanning forest of the links found in the passes ``numbers``, batch by batch."""
     def project(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, rows in batch.groupby("dim"):
-                x = unit(rows["v"])
+                x = unit(rows["v"]) - np.array(rows["centre"].tolist())
                 for number in numbers:
                     planes = np.random.default_rng([SEED, number, int(dim)]).normal(size=(int(dim), BITS))
                     signs = (x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
@@ -103,7 +128,7 @@ def pass_links(reps: DataFrame, numbers: range, cosine: float, neighbours: int)
     kind = reps.schema
     columns = f"turn int, label {kind['label'].dataType.simpleString()}, dim int, order long, rep long, v array<double>"
     order = ["turn", "label", "dim", "order", "rep"]
-    return (reps.select("label", "dim", "rep", "v").mapInPandas(project, columns).repartitionByRange(*order)
+    return (reps.select("label", "dim", "rep", "v").join(centres.select("label", "dim", "centre"), ["label", "dim"]).mapInPandas(project, columns).repartitionByRange(*order)
             .sortWithinPartitions(*order).mapInPandas(compare, "a long, b long").distinct())
 
 
@@ -184,11 +209,13 @@ def _large(members: DataFrame, cosine: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, neighbours: int = NEIGHBOURS, dense: int = DENSE) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors(vec_id, embedding, label)``."""
     rows, reps = distinct_vectors(vectors)
-    largest = reps.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    centres = label_centres(reps)
+    needed = F.udf(lambda size, spread: passes_for(size, neighbours, seen_cosine(spread, cosine), RECALL), "int")
+    passes = centres.agg(F.max(needed("size", "spread"))).first()[0] or 1
     links = None
-    for first in range(0, passes_for(largest, neighbours, cosine), AT_ONCE):
-        last = min(first + AT_ONCE, passes_for(largest, neighbours, cosine))
-        found = stored(pass_links(reps, range(first, last), cosine, neighbours), "vector-links")
+    for first in range(0, passes, AT_ONCE):
+        last = min(first + AT_ONCE, passes)
+        found = stored(pass_links(reps, centres, range(first, last), cosine, neighbours), "vector-links")
         links = found if links is None else links.unionByName(found)
     parts = connected_components(links.distinct(), "a", "b").select(F.col("node").alias("rep"), "component")
     members = stored(reps.join(parts, "rep").select("component", "rep", "n", "v", "first"), "vector-components")

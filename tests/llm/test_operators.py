@@ -367,3 +367,19 @@ def test_near_copies_equal_brute_force(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()]
     assert sorted(got) == sorted(set(parent)) and 20 < len(got) < 100
+
+
+def test_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(6)
+    n, pairs, common = 3000, 300, np.eye(64)[0]
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+    side = rng.normal(size=(n, 64)) * np.array([0.0] + [1.0] * 63)
+    x = 0.8 ** 0.5 * common + 0.2 ** 0.5 * unit(side)
+    step = rng.normal(size=(pairs, 64))
+    step = unit(step - (step * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    x = np.concatenate([x, 0.935 * x[:pairs] + (1 - 0.935 ** 2) ** 0.5 * step])
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    part = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(part[i] == part[n + i] for i in range(pairs)) >= 298
