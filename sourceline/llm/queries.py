@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontamination, embedding_dedup, lm, mixing, packing, quality, secret_scan, sharding, simhash, warc
+from . import decontamination, embedding_dedup, lm, mixing, packing, quality, quality_rules, secret_scan, sharding, simhash, warc
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written in packed files and read back."""
     import public_tokenizers
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+@query("op13_threshold_table", quality_rules.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the quality rules on every document."""
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
