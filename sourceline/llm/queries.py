@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import decontamination, embedding_dedup, lm, mixing, packing, quality, quality_rules, secret_scan, sharding, simhash, warc
+from . import cover_tree, decontamination, embedding_dedup, lm, mixing, packing, quality, quality_rules, repair, secret_scan, sharding, simhash, warc
 from .common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+@query("op11_cover_tree_codes", cover_tree.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under codebooks trained on all of them."""
+    return cover_tree.compressed(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_lightest_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    return repair.repair_summaries(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 @query("op13_threshold_table", quality_rules.ORACLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the quality rules on every document."""
