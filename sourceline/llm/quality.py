@@ -131,9 +131,13 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS) -> Trees:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
+    """Fit on at most ``max_rows`` labels outside the held-out fold: those with the smallest hash of their id.
+
+    Labels that repeat an id and a value count once, and an id that several documents have stands for the
+    one whose text has the smallest hash, so no id weighs more than its labels.
+    """
     sample = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds))
-              .select("doc_id", F.col("quality").cast("int").alias("quality"))
+              .select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
               .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, folds: i
                                              ["doc_id", "quality", "values"])
 
     # at most max_rows ids with a label: the bound of the broadcast
-    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-            .mapInArrow(run, "doc_id long, quality int, values array<double>")
-            .orderBy("doc_id", "quality", "values").limit(2 * max_rows).toPandas())
+    texts = (docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
+             .groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("at"), "text")).alias("first")))
+    rows = (texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "first.text")
+            .mapInArrow(run, "doc_id long, quality int, values array<double>").orderBy("doc_id", "quality").toPandas())
     x = np.stack(rows["values"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     return fit(x, rows["quality"].to_numpy(float))
 
