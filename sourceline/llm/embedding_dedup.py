@@ -4,10 +4,13 @@ In a pass every vector gets the signs of its products with random directions, wr
 other as one number; vectors of a label are sorted by that number and each is compared with its next
 ``NEIGHBOURS``. Pairs with a cosine of at least ``COSINE``, in double precision, are links, and links of
 all passes are united to components. Signs are taken of the differences to the centre of the label, as a
-direction that all vectors share would put too many under one prefix. The number of passes follows from
-the size of a label and the mean distance to its centre: enough that a pair right at ``COSINE``, seen from
-there, is met with probability ``RECALL``. Two things are not covered: vectors that crowd around several
-centres, and labels so narrow that the cosine from the centre is below ``LEAST_SEEN`` (a mean cosine of 0.86).
+direction that all vectors share would put too many under one prefix.
+
+Passes come in batches of ``AT_ONCE``, for each label by itself. The size of a label and the mean distance to its centre
+give the passes after which a pair right at ``COSINE``, seen from there, has met with probability ``RECALL`` if the
+label is spread evenly. Labels that crowd around several centres show it by going on to merge: a label stops only
+once it has had these passes and a whole batch has united no two of its components. Pairs that meet with probability p in a
+pass and are still apart then number about 1 / (``AT_ONCE`` p), however many there were.
 
 The window bounds candidates; the rest is exact: inside a component all links are counted anew. A
 component of up to ``DENSE`` vectors is one product. In a larger one, vectors within half the angle of
@@ -23,11 +26,11 @@ are not read.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import acos, ceil, log, log2, pi
+from math import acos, log, log2, pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -39,19 +42,15 @@ LEAST_SEEN = 0.5
 BITS, AT_ONCE, DENSE, BLOCK, SEED = 62, 8, 512, 2048, 2024
 
 
-def passes_for(n: int, neighbours: int = NEIGHBOURS, cosine: float = COSINE, recall: float = RECALL) -> int:
+def passes_for(n: Column, spread: Column, neighbours: int = NEIGHBOURS, cosine: float = COSINE, recall: float = RECALL) -> Column:
     """Passes after which two of ``n`` vectors at ``cosine`` have been neighbours with probability ``recall``.
 
-    They are within the window once they share about ``log2(n / neighbours)`` leading signs.
+    They are within the window once they share about ``log2(n / neighbours)`` leading signs, and are seen from a centre
+    from which the mean squared distance is ``spread``.
     """
-    bits = max(0.0, log2(max(n, 1) / neighbours)) + MARGIN_BITS
-    met = (1 - acos(cosine) / pi) ** bits
-    return max(1, ceil(log(1 - recall) / log(1 - met)))
-
-
-def seen_cosine(spread: float, cosine: float = COSINE) -> float:
-    """The cosine of two vectors at ``cosine``, seen from a centre from which the mean squared distance is ``spread``."""
-    return max(min(LEAST_SEEN, cosine), 1 - (1 - cosine) / spread) if 0 < spread < 1 else cosine
+    seen = F.when((spread > 0) & (spread < 1), F.greatest(F.lit(min(LEAST_SEEN, cosine)), 1 - (1 - cosine) / spread)).otherwise(cosine)
+    bits = F.greatest(F.lit(0.0), F.log2(F.greatest(n, F.lit(1)) / F.lit(neighbours))) + MARGIN_BITS
+    return F.greatest(F.lit(1), F.ceil(log(1 - recall) / F.log(1 - F.pow(1 - F.acos(seen) / pi, bits)))).cast("int")
 
 
 def unit(vectors: Iterable) -> np.ndarray:
@@ -206,19 +205,30 @@ def _large(members: DataFrame, cosine: float) -> DataFrame:
     return placed.where("core").select("rep", F.col("core_n").alias("near")).unionByName(crossed).groupBy("rep").agg(F.sum("near").alias("near"))
 
 
+def vector_parts(reps: DataFrame, cosine: float = COSINE, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``rep, label, dim, component`` of all distinct vectors: batches of passes until a label has merged nothing more."""
+    active, done = label_centres(reps).withColumn("needed", passes_for(F.col("size"), F.col("spread"), neighbours, cosine)), 0
+    parts = reps.select("rep", "label", "dim", F.col("rep").alias("component"))
+    while not active.isEmpty():
+        found = stored(pass_links(reps, active, range(done, done + AT_ONCE), cosine, neighbours), "vector-links")
+        done += AT_ONCE
+        a = parts.select(F.col("rep").alias("a"), "label", "dim", F.col("component").alias("ca"))
+        b = parts.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
+        edges = stored(found.join(a, "a").join(b, "b").where("ca <> cb").select("label", "dim", "ca", "cb").distinct(), "vector-merges")
+        merging = edges.select("label", "dim", F.lit(True).alias("merging")).distinct()
+        if not edges.isEmpty():
+            joined = connected_components(edges, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
+            parts = stored(parts.join(joined, "component", "left").select("rep", "label", "dim", F.coalesce("to", "component").alias("component")), "vector-parts")
+        active = stored(active.join(merging, ["label", "dim"], "left").where((F.col("needed") > done) | F.col("merging")).drop("merging"), "vector-labels")
+    return parts
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, neighbours: int = NEIGHBOURS, dense: int = DENSE) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, a row for each row of ``vectors(vec_id, embedding, label)``."""
     rows, reps = distinct_vectors(vectors)
-    centres = label_centres(reps)
-    needed = F.udf(lambda size, spread: passes_for(size, neighbours, seen_cosine(spread, cosine), RECALL), "int")
-    passes = centres.agg(F.max(needed("size", "spread"))).first()[0] or 1
-    links = None
-    for first in range(0, passes, AT_ONCE):
-        last = min(first + AT_ONCE, passes)
-        found = stored(pass_links(reps, centres, range(first, last), cosine, neighbours), "vector-links")
-        links = found if links is None else links.unionByName(found)
-    parts = connected_components(links.distinct(), "a", "b").select(F.col("node").alias("rep"), "component")
-    members = stored(reps.join(parts, "rep").select("component", "rep", "n", "v", "first"), "vector-components")
+    parts = vector_parts(reps, cosine, neighbours)
+    shared = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select("component")
+    members = stored(reps.join(parts.join(shared, "component").select("rep", "component"), "rep").select("component", "rep", "n", "v", "first"), "vector-components")
     sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.min("first").alias("component_id"))
     sizes = stored(sizes, "vector-sizes")
     near = _small(members.join(sizes.where(F.col("size") <= dense).select("component"), "component", "left_semi"), cosine)
