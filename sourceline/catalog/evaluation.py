@@ -215,7 +215,10 @@ def status_report(spark, sf_dir):
     return ev.status_report(t.question_log(spark, sf_dir))
 
 
-@query("v10_predicate_comparison")
+@query("v10_predicate_comparison", f"""
+    select old, new, old as expected, count(*) as n, case when new <> old then count(*) else 0 end as wrong from (
+        select {q.numbers_ok('text', 'head')} as old, {q.numbers_ok_by_name('text', 'head', "''")} as new
+        from (select text, regexp_replace(text, '[0-4]', '', 'g') as head from documents)) group by 1, 2""")
 def predicate_comparison(spark, sf_dir):
     """Strict against name-aware number check, answers of the conversations against their questions."""
     pairs = t.documents(spark, sf_dir).select("text", F.regexp_replace("text", "[0-4]", "").alias("head"))

@@ -97,7 +97,14 @@ def flow_steps(spark, sf_dir):
     return flow.select("doc_id", "status", F.size("steps").alias("n_steps"), F.array_join(F.col("steps.link"), ",").alias("links"))
 
 
-@query("m7_cut_at_unsupported")
+@query("m7_cut_at_unsupported", rf"""
+    with d as (select doc_id as id, text, regexp_replace(text, '[0-4]', '', 'g') as source from documents),
+    s as (select id, source, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+        lambda x: {q.strip(r"regexp_replace(x, '[*][*]|__|`', '', 'g')")}), lambda x: x <> '') as said from d),
+    b as (select id, said, list_position(list_transform(said, lambda x: {q.numbers_ok_by_name('x', 'source', "''")}), false) as bad,
+        len(said) = 0 or (len(said) = 1 and regexp_replace(said[1], '^["'' .]+|["'' .]+$', '', 'g') = {q.quote(LATIN.none_word)}) as nothing from s)
+    select id, case when nothing then 'no_answer' when bad > 0 then 'blocked' else 'ok' end as status,
+        case when nothing then 0 when bad > 0 then length(array_to_string(said[1:bad - 1], ' ')) else length(array_to_string(said, ' ')) end as n_shown from b""")
 def cut_at_unsupported(spark, sf_dir):
     answers = t.documents(spark, sf_dir).select("id", F.col("text").alias("response"), F.regexp_replace("text", "[0-4]", "").alias("source"),
                                                 F.lit("").alias("question"))

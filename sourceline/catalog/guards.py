@@ -73,7 +73,10 @@ def numbers_supported(spark, sf_dir):
     return _head_and_text(spark, sf_dir).select("id", nb.numbers_supported(F.col("text"), F.col("head")).alias("supported"))
 
 
-@query("g6_numbers_supported_by_name")
+HEAD_AND_TEXT = "(select doc_id as id, text, regexp_replace(text, '[0-4]', '', 'g') as head from documents)"
+
+
+@query("g6_numbers_supported_by_name", f"select id, {q.numbers_ok_by_name('text', 'head', 'text')} as supported from {HEAD_AND_TEXT}")
 def numbers_supported_by_name(spark, sf_dir):
     return _head_and_text(spark, sf_dir).select("id", nb.numbers_supported_by_name(
         F.col("text"), F.col("head"), F.col("text")).alias("supported"))
@@ -86,7 +89,7 @@ def unsupported_numbers(spark, sf_dir):
     return _head_and_text(spark, sf_dir).select("id", F.explode(nb.unsupported_numbers(F.col("text"), F.col("head"))).alias("number"))
 
 
-@query("g8_new_facts")
+@query("g8_new_facts", f"select id, case when len({q.new_numbers('text', 'head')}) > 0 then 'fact' else 'explain' end as kind from {HEAD_AND_TEXT}")
 def new_facts(spark, sf_dir):
     kind = gen.upgrade_new_facts(F.lit("explain"), F.col("text"), F.col("head"))
     return _head_and_text(spark, sf_dir).select("id", kind.alias("kind"))

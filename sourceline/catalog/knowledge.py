@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import HEADING_LINE
 from ..functions.text import sections as text_sections
 from ..operators import knowledge as kb
 from ..operators import notes as nt
@@ -63,7 +64,22 @@ def near_duplicates(spark, sf_dir):
     return nt.first_similar(notes.select("deck_id", "id", "text", "ord"), notes, earlier_only=True).select("id", "dup", "similar_to")
 
 
-@query("n2_note_insert")
+@query("n2_note_insert", q.with_views(f"""
+    with recursive seq as (select deck_id, id, text, ord < 2 * 16777216 as stored, {q.bigrams('text')} as g,
+            row_number() over (partition by deck_id order by ord >= 2 * 16777216, ord) as i from notes where kind in ('repeat', 'explain', 'fact') or ord < 2 * 16777216),
+    r as (select deck_id, cast(0 as bigint) as i, cast([] as varchar[]) as ids, cast([] as varchar[]) as texts, cast([] as varchar[][]) as grams,
+            cast([] as boolean[]) as added, cast([] as boolean[]) as changed from seq where i = 1
+          union all select deck_id, i + 1, case when fresh then list_append(ids, id) else ids end,
+            case when fresh then list_append(texts, text) when longer then list_concat(list_append(texts[1:twin - 1], text), texts[twin + 1:]) else texts end,
+            case when fresh then list_append(grams, g) when longer then list_concat(list_append(grams[1:twin - 1], g), grams[twin + 1:]) else grams end,
+            case when fresh then list_append(added, not stored) else added end,
+            case when fresh then list_append(changed, false) when longer then list_concat(list_append(changed[1:twin - 1], true), changed[twin + 1:]) else changed end
+          from (select *, twin is null or stored as fresh, twin is not null and length(text) > length(texts[twin]) as longer from (
+            select r.*, s.id, s.text, s.stored, s.g, list_position(list_transform(r.grams, lambda k: len(k) > 0 and len(s.g) > 0
+                and len(list_intersect(k, s.g)) / least(len(k), len(s.g)) >= 0.6), true) as twin
+            from r join seq s on s.deck_id = r.deck_id and s.i = r.i + 1))),
+    last as (select * from r where i = (select max(i) from seq s where s.deck_id = r.deck_id))
+    select unnest(ids) as id, unnest(added) as added, unnest(changed) as changed, unnest(list_transform(texts, lambda x: length(x))) as n_chars from last""", "notes"))
 def note_insert(spark, sf_dir):
     notes = t.notes(spark, sf_dir)
     return nt.insert_notes(notes.where(F.col("ord") < 2 * 16777216), notes.where(F.col("ord") >= 2 * 16777216)).select("id", "added", "changed", F.length("text").alias("n_chars"))
@@ -91,7 +107,22 @@ def general_notes(spark, sf_dir):
     return nt.general_notes(t.notes(spark, sf_dir)).select("id")
 
 
-@query("n5_section_attachment")
+def _bare(x):
+    return rf"""regexp_replace({x}, '[\s\p{{Z}}#*>\-|`"''.,()]', '', 'g')"""
+
+
+@query("n5_section_attachment", q.with_views(rf"""
+    with l as (select source_id, i, ls[i] as line from (select source_id, ls, unnest(range(1, len(ls) + 1)) as i from (
+            select conv_id * 16777216 + turn as source_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10)) as ls from conversations))),
+    k as (select *, not regexp_matches(line, '[^\s\p{{Z}}]') as blank, regexp_matches(line, {q.quote(HEADING_LINE)}) and length({q.strip('line')}) <= 50 as head from l),
+    f as (select *, coalesce(last_value(case when head and not blank then {q.strip("regexp_replace(" + q.strip('line') + ", '^#+', '')")} end ignore nulls)
+            over (partition by source_id order by i rows unbounded preceding), '') as heading from k),
+    sec as (select source_id, heading, {q.strip('line')} as body, row_number() over (partition by source_id order by i) - 1 as para from f where not blank and not head),
+    its as (select id, deck_id * 16777216 + ord // 16777216 as source_id, text from notes),
+    sh as (select i.id, s.para, s.heading, case when len(a) > 0 then round(len(list_intersect(a, b)) / len(a), 9) else 0 end as share from (
+            select id, source_id, {q.bigrams(_bare('text'))} as a from its) i join (select *, {q.bigrams(_bare('body'))} as b from sec) s using (source_id)),
+    best as (select * from (select *, row_number() over (partition by id order by share desc, para) as r from sh) where r = 1 and share >= 0.5)
+    select i.id, cast(b.para as integer) as para, b.heading as section from its i left join best b using (id)""", "notes"))
 def section_attachment(spark, sf_dir):
     turns = t.table(spark, sf_dir, "conversations")
     sources = turns.select((F.col("conv_id") * 16777216 + F.col("turn")).alias("source_id"),

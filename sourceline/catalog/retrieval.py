@@ -133,7 +133,7 @@ def fused_full(spark, sf_dir):
     return hits.select("qid", "id", "rank", F.round("score", 8).alias("score"))
 
 
-@query("r6_passages")
+@query("r6_passages", q.with_views("select id, passage, length(text) as n_chars, md5(text) as digest from passages", "passages"))
 def passage_windows(spark, sf_dir):
     return se.passage_table(t.documents(spark, sf_dir)).select(
         "id", "passage", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
@@ -165,9 +165,21 @@ def folded_line_search(spark, sf_dir):
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("r7_max_passage_search")
+@query("r7_max_passage_search", q.with_views(f"""
+    with p as (select id, passage, dl, term, count(*) as tf from (select id, passage, len(tk) as dl, unnest(tk) as term
+          from (select *, {q.tokens('text')} as tk from passages)) group by all),
+    sz as (select count(*) as n, sum(len({q.tokens('text')})) / count(*) as avgdl from passages),
+    st as (select term, ln(1 + ((select n from sz) - count(*) + 0.5) / (count(*) + 0.5)) as idf from p group by 1),
+    sc as (select qid, id, passage, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / sz.avgdl))), 9) as score
+           from qterms join st using (term) join p using (term), sz group by 1, 2, 3),
+    pool as (select * from (select *, row_number() over (partition by qid order by score desc,
+             id || '/' || lpad(cast(passage as varchar), 5, '0')) as r from sc) where r <= 60),
+    best as (select qid, id, max(score) as score from pool group by 1, 2)
+    select qid, id, cast(rank as integer) as rank, round(score, 6) as score from (select *, row_number() over (
+        partition by qid order by score desc, id) as rank from best) where rank <= 5""", "passages", "qterms"))
 def max_passage(spark, sf_dir):
-    return se.passage_search(t.documents(spark, sf_dir), t.questions(spark, sf_dir), 5)
+    hits = se.passage_search(t.documents(spark, sf_dir), t.questions(spark, sf_dir), 5)
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("r8_retriever_presets", q.with_views("select qid, id, cast(rank as integer) as rank, round(score, 6) as score "

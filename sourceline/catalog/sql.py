@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.numbers import NUMBER
+from ..functions.numbers import NAME_WITH_DIGIT, NUMBER
 from ..functions.profiles import LATIN
-from ..functions.text import CONTENT_WORD, FREE_DIGIT, LEXICAL_TOKEN, SHOWN_BULLET
+from ..functions.text import CONTENT_WORD, FREE_DIGIT, LEXICAL_TOKEN, PASSAGE_STRIDE, PASSAGE_WINDOW, SHOWN_BULLET
 
 NL = "chr(10)"
 
@@ -50,6 +50,21 @@ def numbers_ok(x: str, source: str) -> str:
     return (f"(len(list_filter({numbers(x)}, lambda n: not contains({squeeze(source)}, replace(n, ',', '')))) = 0)")
 
 
+def numbers_ok_by_name(x: str, source: str, question: str) -> str:
+    """Name-aware check: names with digits that source or question use are blanked out before."""
+    key = lambda t: f"regexp_replace(lower({t}), '[^a-z0-9]', '', 'g')"
+    pieces = f"regexp_extract_all({x}, {quote(NAME_WITH_DIGIT + '|[A-Za-z]+|[^A-Za-z]+')})"
+    plain = (f"array_to_string(list_transform({pieces}, lambda w: case when regexp_full_match(w, {quote(NAME_WITH_DIGIT)}) "
+             f"and contains({key(source)} || '|' || {key(question)}, {key('w')}) then ' ' else w end), '')")
+    return f"(not regexp_matches({x}, '[0-9]') or {numbers_ok(plain, source)})"
+
+
+def new_numbers(x: str, source: str) -> str:
+    """Numbers not glued to a letter that the source lacks: a letter takes the digit after it along."""
+    found = f"list_filter(regexp_extract_all({x}, {quote('[A-Za-z][0-9]|' + NUMBER)}), lambda n: not regexp_matches(n, '^[A-Za-z]'))"
+    return f"list_filter(list_transform({found}, lambda n: replace(n, ',', '')), lambda n: not contains({squeeze(source)}, n))"
+
+
 def bigrams(x: str) -> str:
     tight = rf"regexp_replace({x}, '[\s\p{{Z}}]+', '', 'g')"
     return (f"list_distinct(list_transform(range(1, greatest(length({tight}), 1)), "
@@ -110,6 +125,17 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "bm25": ("""select q.qid, p.id, round(sum(d.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl))), 9) as score
         from qterms q join post p on p.term = q.term join df d on d.term = q.term, size s group by q.qid, p.id""",
              ("qterms", "post", "df", "size")),
+    # line windows: a fold over lines that remembers where its window began
+    "passages": (rf"""with recursive t as (select id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\p{{Z}}]')) as ls from docs),
+        w as (select *, list_transform(ls, lambda x: length(x)) as ns from t where len(ls) > 0),
+        r as (select id, 0 as e, 1 as s, 0 as n, 0 as k, cast(null as integer) as a from w
+              union all select id, e + 1, case when shut then back else s end, case when shut then list_sum(ns[back:e + 1]) else n + ns[e + 1] end,
+                     k + shut::int, case when shut then s end from (
+                  select r.*, ns, n + ns[e + 1] >= {PASSAGE_WINDOW} as shut, list_max(list_filter(range(greatest(1, e + 1 - {PASSAGE_STRIDE}), e + 2),
+                      lambda x: list_sum(ns[x:e + 1]) >= {PASSAGE_STRIDE})) as back from r join w using (id) where e < len(ns)))
+        select id, cast(k - 1 as integer) as passage, array_to_string(ls[a:e], chr(10)) as text from r join w using (id) where a is not null
+        union all select id, cast(k as integer), array_to_string(ls[s:e], chr(10)) from r join w using (id) where e = len(ls)
+        union all select id, 0, text from t where len(ls) = 0""", ("docs",)),
     "bm25_rank": ("select *, row_number() over (partition by qid order by score desc, id) as rank from bm25", ("bm25",)),
 }
 
@@ -238,6 +264,8 @@ def with_views(sql: str, *names: str) -> str:
         return sql.strip()
     body = ",\n".join(f"{n} as materialized ({VIEWS[n][0]})" for n in order)
     sql = sql.strip()
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {body},\n{sql[15:]}"
     if sql.lower().startswith("with "):
         return f"with {body},\n{sql[5:]}"
     return f"with {body}\n{sql}"

@@ -65,7 +65,16 @@ def units(spark, sf_dir):
         F.concat("text", F.lit(" 95 % of 10 곳")))).alias("digest"))
 
 
-@query("t6_join_wrapped")
+@query("t6_join_wrapped", rf"""
+    with recursive d as (select doc_id as id, string_split(replace(text, ', ', ',' || chr(10)), chr(10)) as ls from documents),
+    r as (select id, 1 as i, '' as done, ls[1] as open from d
+          union all select id, i + 1, case when joins then done else done || open || chr(10) end, case when joins then held || ' ' || nxt else raw end from (
+            select *, nxt <> '' and not regexp_matches(nxt, {q.quote(tx.BULLET)})
+                and length(regexp_replace(nxt, '[\s\p{{Z}}]', '', 'g')) >= case when ends_with(held, ',') then {tx.MIN_NEXT_AFTER_COMMA} else {tx.MIN_NEXT} end
+                and length(open) + length(nxt) < {tx.MAX_JOINED} and (ends_with(held, ',') or regexp_matches(held, {q.quote(LATIN.open_end)})) as joins
+            from (select r.*, ls[i + 1] as raw, {q.strip('ls[i + 1]')} as nxt, regexp_replace(open, '[\s\p{{Z}}]+$', '') as held
+                  from r join d using (id) where i < len(ls))))
+    select id, md5(done || open) as digest from r join d using (id) where i = len(ls)""")
 def join_wrapped(spark, sf_dir):
     return t.documents(spark, sf_dir).select("id", F.md5(tx.join_wrapped(
         F.regexp_replace("text", ", ", ",\n"), LATIN.open_end)).alias("digest"))
@@ -123,7 +132,14 @@ def first_readable_line(spark, sf_dir):
         F.col("text"), r"\p{L}", r"\p{L}", 24).alias("title"))
 
 
-@query("t14_budget_parts")
+@query("t14_budget_parts", rf"""
+    with recursive d as (select doc_id as id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') as ps from documents),
+    r as (select id, 0 as i, 0 as cur, 0 as part, false as solid, cast(null as bigint) as closed from d
+          union all select id, i + 1, case when shut then n + 2 else cur + n + 2 end, part + shut::int, regexp_matches(p, '[^\s\p{{Z}}]') or (solid and not shut),
+                 case when shut then cur end from (
+              select *, length(p) as n, cur + length(p) > {tx.PART_MAX} and cur > 0 as shut from (select r.*, ps[i + 1] as p from r join d using (id) where i < len(ps))))
+    select id, cast(part - 1 as integer) as part, cast(closed as integer) as n_chars from r where closed is not null
+    union all select id, part, cast(cur as integer) from r join d using (id) where i = len(ps) and solid""")
 def budget_parts(spark, sf_dir):
     spaced = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     return t.documents(spark, sf_dir).select("id", F.posexplode(tx.budget_parts(spaced)).alias("part", "text")).select(
@@ -196,7 +212,7 @@ def messages(spark, sf_dir):
 
 @query("t20_highlight_spans")
 def highlight_spans(spark, sf_dir):
-    docs = t.documents(spark, sf_dir).select("id", "text", F.slice(F.array_distinct(tx.content_words(F.col("text"))), 1, 5).alias("words"))
+    docs = t.documents(spark, sf_dir).select("id", "text", F.array_distinct(tx.content_words(F.col("text"))).alias("words"))
     return docs.select("id", hl.word_and_number_spans(F.col("text"), F.col("words")).alias("s")).select(
         "id", F.posexplode("s").alias("n", "span")).select("id", "n", "span.start", "span.end")
 
