@@ -8,6 +8,7 @@ from ..functions import highlight as hl
 from ..functions import text as tx
 from ..functions.profiles import LATIN
 from ..functions.spoken import clean_question
+from ..operators.guards import highlight_words
 from ..plans.ranking import first_per_group
 from ..sources import stores
 from ..sources import tables as t
@@ -212,7 +213,9 @@ def messages(spark, sf_dir):
 
 @query("t20_highlight_spans")
 def highlight_spans(spark, sf_dir):
-    docs = t.documents(spark, sf_dir).select("id", "text", F.array_distinct(tx.content_words(F.col("text"))).alias("words"))
+    """Every place of the phrases that are highlighted (three at most, by their own rule) and of numbers with units."""
+    words = highlight_words(tx.content_words(F.col("text")), F.col("text"), F.lit(""))
+    docs = t.documents(spark, sf_dir).select("id", "text", words.alias("words"))
     return docs.select("id", hl.word_and_number_spans(F.col("text"), F.col("words")).alias("s")).select(
         "id", F.posexplode("s").alias("n", "span")).select("id", "n", "span.start", "span.end")
 
