@@ -187,6 +187,28 @@ def fallback_notes(spark, sf_dir):
     return found.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("e11_fallback_evidence", q.with_views(f"""with {NOTE_MATCH},
+    pk as (select * from (select *, row_number() over (partition by qid order by score desc, ord) as rank from (
+        select a.qid, n.id, n.ord, n.page, n.text, coalesce(nm.score, 0) as score from (select distinct qid, conv_id as deck_id from conv_q) a
+        join notes n on n.deck_id = a.deck_id and n.kind in ('explain', 'fact') left join nm on nm.qid = a.qid and nm.id = n.id)) where rank <= 10),
+    base as (select a.qid, c.page, c.text from conv_q a join chunks c on c.deck_id = a.deck_id and c.page between 1 and a.turn % 5
+        union all select qid, 0, question from conv_q where turn % 3 = 0),
+    added as (select distinct p.qid, c.page, c.text from pk p join conv_q a using (qid) join chunks c on c.deck_id = a.deck_id and c.page = p.page),
+    merged as (select qid, page, coalesce(b.text, d.text) as text, b.text is null as added from (select * from base where page <> 0) b full join added d using (qid, page)),
+    gen as (select qid, string_agg('[note] ' || text, chr(10) order by rank) as text from pk where page is null group by 1),
+    gains as (select qid from merged where added union select qid from gen g full join (select * from base where page = 0) b using (qid) where g.text is distinct from b.text)
+    select qid, page, md5(text) as digest from (select qid, page, text from merged union all select qid, 0, text from gen) where qid in (select qid from gains)""", "notes", "conv_q", "chunks"))
+def fallback_evidence(spark, sf_dir):
+    """Pages found for a question, merged with those of its fallback notes; only where that adds something."""
+    notes, asked, vocab, context = _note_matches(spark, sf_dir)
+    usable = notes.where(F.col("kind").isin(*kb.ANSWER_KINDS))
+    picked = stored(ev.fallback_notes(ev.match_texts(usable, context, vocab), asked, usable), "fallback-notes")
+    questions, pages = t.live_questions(spark, sf_dir), t.chunks(spark, sf_dir).select("deck_id", "page", "text")
+    near = questions.join(pages, "deck_id").where(F.col("page") <= F.col("turn") % 5).select("qid", "page", "text")
+    base = near.unionByName(questions.where(F.col("turn") % 3 == 0).select("qid", F.lit(0).alias("page"), F.col("question").alias("text")))
+    return ev.fallback_evidence(base, picked, questions, pages, "[note] ").select("qid", "page", F.md5("text").alias("digest"))
+
+
 @query("e12_answer_choice", q.with_views("""
     with s as (select qid, deck_id, case qid % 4 when 0 then 'ok' when 1 then 'no_answer' when 2 then 'blocked' else 'no_answer' end as s0,
         case when qid % 4 in (0, 2) and qid % 3 = 0 then 'part' else '' end as t0, qid % 5 <> 0 as has_notes,

@@ -162,6 +162,20 @@ def knowledge_graph_edges(spark, sf_dir):
     return _knowledge_graph(spark, sf_dir)[1].drop("ord")
 
 
+@query("m10_topic_order", q.with_views("""select deck_id, topic, cast(row_number() over (partition by deck_id order by first) as integer) as place from (
+    select deck_id, topic, min(ord) as first from (
+        select deck_id, case when page % 10 < 5 then 'T' || (page // 20) else 'A' end as topic, page as ord from chunks) group by 1, 2)""", "chunks"))
+def topic_order(spark, sf_dir):
+    """Every chunk of a batch named by its own line, topics in turn."""
+    pages = _pages(spark, sf_dir)
+    chunks = gen.knowledge_batches(pages.select("deck_id", F.col("doc_id").alias("id"), F.col("page").alias("ord")), 10)
+    topic = F.when(F.col("page") % 10 < 5, F.concat(F.lit("T"), F.floor(F.col("page") / 20).cast("string"))).otherwise("A")
+    lines = chunks.join(pages.select("deck_id", F.col("doc_id").alias("id"), "page"), ["deck_id", "id"]).select(
+        "deck_id", "batch", F.concat(F.lit("조각 | "), F.col("number").cast("string"), F.lit(" | name | "), topic).alias("line"), "number")
+    responses = lines.groupBy("deck_id", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("response"))
+    return gen.topic_order(gen.knowledge_graph(responses, chunks, KOREAN.knowledge_relations)[2])
+
+
 @query("m11_note_lines")
 def note_lines(spark, sf_dir):
     pages = _alone(_pages(spark, sf_dir))

@@ -45,6 +45,14 @@ def global_stats(spark, sf_dir):
     return lg.global_stats(t.question_log(spark, sf_dir))
 
 
+@query("l4_ordered_values", q.with_views("""
+    select metric, row_number() over (partition by metric order by value) as place, value from (
+        select 'q_chars' as metric, cast(q_chars as double) as value from qlog where q_chars is not null
+        union all select 'latency_ms', latency_ms from qlog where status = 'ok' and latency_ms is not null)""", "qlog"))
+def ordered_values(spark, sf_dir):
+    return lg.ordered_values(t.question_log(spark, sf_dir))
+
+
 @query("l5_report", q.with_views("""
     with f as (select count(*) as total, count_if(status = 'ok') as ok, count_if(status = 'no_evidence') as ne, count_if(status = 'ignored') as ig,
         count_if(q_chars >= 60) as n_long, count(matched) as judged, count_if(matched) as hits, median(q_chars) as med, max(q_chars) as longest from qlog),

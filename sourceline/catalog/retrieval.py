@@ -182,6 +182,44 @@ def max_passage(spark, sf_dir):
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r7_deck_passage_search", q.with_views(f"""
+    with ps as (select p.*, d.deck_id from passages p join docs d using (id)),
+    p as (select deck_id, id, passage, dl, term, count(*) as tf from (select deck_id, id, passage, len(tk) as dl, unnest(tk) as term
+          from (select *, {q.tokens('text')} as tk from ps)) group by all),
+    sz as (select deck_id, count(*) as n, sum(len({q.tokens('text')})) / count(*) as avgdl from ps group by 1),
+    st as (select deck_id, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf, any_value(avgdl) as avgdl from p join sz using (deck_id) group by 1, 2),
+    qt as (select qid, deck_id, unnest({q.tokens('question')}) as term from conv_q),
+    sc as (select qid, id, passage, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+           from qt join st using (deck_id, term) join p using (deck_id, term) group by 1, 2, 3),
+    pool as (select * from (select *, row_number() over (partition by qid order by score desc,
+             id || '/' || lpad(cast(passage as varchar), 5, '0')) as r from sc) where r <= 60),
+    best as (select qid, id, max(score) as score from pool group by 1, 2)
+    select qid, id, cast(rank as integer) as rank, round(score, 6) as score from (select *, row_number() over (
+        partition by qid order by score desc, id) as rank from best) where rank <= 3""", "passages", "docs", "conv_q"))
+def deck_passages(spark, sf_dir):
+    """Questions meet only the passages of their own deck."""
+    asked = t.live_questions(spark, sf_dir).select("qid", "deck_id", "question")
+    hits = se.passage_search(t.documents(spark, sf_dir), asked, 3, scope=["deck_id"])
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("r8_named_pair", q.with_views("""
+    with l as (select qid, id, rank, 0 as li from bm25_rank),
+    r as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank, 1 as li from (
+        select x.qid, x.id, x.score / (1 + d.n_chars) as score from bm25 x join docs d using (id))),
+    s as (select qid, id, round(sum(1 / (60.0 + rank)), 12) as score, min(case when li = 0 then rank end) as lead from (
+        select * from l union all select * from r) group by 1, 2)
+    select qid, id, cast(rank as integer) as rank, round(score, 8) as score from (select *, row_number() over (
+        partition by qid order by score desc, lead nulls last, id) as rank from s) where rank <= 3""", "bm25_rank", "bm25", "docs"))
+def named_pair(spark, sf_dir):
+    """Two retrievers by name, one of them made up here: lexical scores per character."""
+    def per_character(docs, queries, k):
+        scored = se.bm25_scores(ix.build_index(docs), queries).join(docs.select("id", "n_chars"), "id")
+        return se._ranked(scored.select("qid", "id", (F.col("score") / (1 + F.col("n_chars"))).alias("score")), k)
+    hits = se.fuse_retrievers(se.named_retriever("fast"), per_character, t.documents(spark, sf_dir), t.questions(spark, sf_dir), 3)
+    return hits.select("qid", "id", "rank", F.round("score", 8).alias("score"))
+
+
 @query("r8_retriever_presets", q.with_views("select qid, id, cast(rank as integer) as rank, round(score, 6) as score "
                                             "from bm25_rank where rank <= 3", "bm25_rank"))
 def preset_search(spark, sf_dir):

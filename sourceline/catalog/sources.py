@@ -45,10 +45,12 @@ def log_scan(spark, sf_dir):
     return stores.read_log(spark, path).select("question", "q_chars", "status", "latency_ms")
 
 
-@query("s2_missing_log", "select question from (select '' as question) where false union all select source from documents where doc_id < 0 union all select 'none'")
+@query("s2_missing_log", q.with_views("select session, status, count(*) as n, 0 as n_gone from qlog group by 1, 2", "qlog"))
 def missing_log(spark, sf_dir):
-    gone = stores.read_log(spark, _path(spark, "nowhere")).select("question")
-    return gone.unionByName(t.documents(spark, sf_dir).limit(1).select(F.lit("none").alias("question")))
+    """A log that is there and one that is not, read as one: the missing one adds no rows and fits its columns."""
+    log, gone = t.question_log(spark, sf_dir), stores.read_log(spark, _path(spark, "nowhere"))
+    both = log.select("session", "status", F.lit(0).alias("gone")).unionByName(gone.select("session", "status", F.lit(1).alias("gone")))
+    return both.groupBy("session", "status").agg(F.count("*").alias("n"), F.sum("gone").cast("int").alias("n_gone"))
 
 
 @query("s3_gold_resolution", q.with_views("""
@@ -101,12 +103,16 @@ def deck_titles(spark, sf_dir):
     return stores.deck_titles(t.chunks(spark, sf_dir), _own_titles(spark, sf_dir))
 
 
-@query("s8_rename", """select * from (values ('src1', 'Renamed'), ('src3', 'Own src3'), ('src9', 'Fresh')) v(deck_id, title)
-    where exists (select 1 from documents)""")
+@query("s8_rename", """with d as (select source as deck_id, count(*) as n, min(doc_id) as first from documents group by 1)
+    select deck_id, case when first % 3 = 0 then trim(substr('Renamed ' || deck_id || ' ' || repeat('x', cast(n as integer)), 1, 60)) else 'Own ' || deck_id end as title
+    from d where first % 3 = 0 or (first % 3 = 2 and first % 2 = 0)""")
 def rename(spark, sf_dir):
-    asked = t.documents(spark, sf_dir).select("deck_id").distinct().where(F.col("deck_id").isin("src1", "src2", "src9")).withColumn(
-        "title", F.when(F.col("deck_id") == "src1", " Renamed ").when(F.col("deck_id") == "src2", "  ").otherwise("Fresh"))
-    return stores.rename_decks(_own_titles(spark, sf_dir), asked)
+    """All decks: a third gets a new title (cut at its limit), a third an empty one, the rest keep what they have."""
+    decks = t.documents(spark, sf_dir).groupBy("deck_id").agg(F.count("*").cast("int").alias("n"), F.min("id").alias("first"))
+    own = decks.where(F.col("first") % 2 == 0).select("deck_id", F.concat(F.lit("Own "), "deck_id").alias("title"))
+    new = F.concat(F.lit("  Renamed "), F.col("deck_id"), F.lit(" "), F.repeat(F.lit("x"), F.col("n")))
+    asked = decks.where(F.col("first") % 3 < 2).select("deck_id", F.when(F.col("first") % 3 == 0, new).otherwise("   ").alias("title"))
+    return stores.rename_decks(own, asked)
 
 
 @query("s9_delete_decks", q.with_views("select deck_id, count(*) as n from chunks where deck_id not in ('src1', 'src2') group by 1", "chunks"))

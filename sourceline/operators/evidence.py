@@ -348,6 +348,28 @@ def best_texts(matched: DataFrame, texts: DataFrame, n: int = GENERAL_NOTES) ->
                  [F.col("score").desc(), "ord"], n)
 
 
+def fallback_evidence(base: DataFrame, picked: DataFrame, questions: DataFrame, pages: DataFrame, label: str = "") -> DataFrame:
+    """``qid, page, text``: found pages with the pages and general notes that stand in, for questions that gain by it.
+
+    ``base(qid, page, text)`` is what the search found (page 0: general text), ``picked`` are
+    :func:`fallback_notes`, ``questions(qid, deck_id)``, ``pages(deck_id, page, text)`` one row a page. Pages of picked notes
+    join those of the base, general notes make page 0 in their order. A question to which neither a page nor another
+    general text is added gets no rows, as asking again would give the same answer.
+    """
+    tied = F.coalesce("page", F.lit(0)) != 0
+    found = base.where(tied).select("qid", "page", F.col("text").alias("_old"))
+    named = picked.where(tied).select("qid", "page").distinct().join(questions.select("qid", "deck_id"), "qid").join(
+        pages.select("deck_id", "page", F.col("text").alias("_new")), ["deck_id", "page"]).select("qid", "page", "_new")
+    merged = found.join(named, ["qid", "page"], "full_outer").select("qid", "page", F.coalesce("_old", "_new").alias("text"), F.col("_old").isNull().alias("_added"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: F.concat(F.lit(label), x["text"]))
+    general = picked.where(~tied).groupBy("qid").agg(F.array_join(lines, "\n").alias("text"))
+    before = base.where(~tied).select("qid", F.col("text").alias("_old"))
+    other = general.join(before, "qid", "full_outer").where(~F.col("text").eqNullSafe(F.col("_old"))).select("qid")
+    gains = merged.where("_added").select("qid").unionByName(other).distinct()
+    whole = merged.select("qid", "page", "text").unionByName(general.select("qid", F.lit(0).alias("page"), "text"))
+    return whole.join(gains, "qid", "left_semi")
+
+
 def fallback_notes(matched: DataFrame, questions: DataFrame, notes: DataFrame, n: int = FALLBACK_NOTES) -> DataFrame:
     """Notes that stand in when the slides have no answer: matching ones by score, then the
     deck's first ones, n per question."""

@@ -290,6 +290,11 @@ def knowledge_graph(responses: DataFrame, chunks: DataFrame, relations: Sequence
     return nodes, edges.select("deck_id", "src", "dst", "relation", "why", "ord"), topics
 
 
+def topic_order(topics: DataFrame) -> DataFrame:
+    """``deck_id, topic, place``: topics in the order in which chunks first name them."""
+    return number_ordered(topics, ["deck_id"], ["ord", "topic"], "place").select("deck_id", "topic", "place")
+
+
 def _unquote(text: Column) -> Column:
     """Outer quotes off when they wrap the whole field; quotes inside stay."""
     t = strip(text)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import find_all, let
-from ..plans.ranking import at_share, exact_index, median_high
+from ..plans.ranking import at_share, exact_index, median_high, number_ordered
 
 # ---- fixed values -------------------------------------------------------------------
 UNCLASSIFIED = "미분류"
@@ -75,6 +75,32 @@ def global_stats(log: DataFrame) -> DataFrame:
             .groupBy("m.metric", "m.label").agg(F.sum("n").alias("n")))
 
 
+def ordered_values(log: DataFrame) -> DataFrame:
+    """``metric, place, value``: question lengths of all rows and latencies of answered rows, in order.
+
+    A row per value instead of a list per log: places are numbered by ranges of values, so a log of any
+    size spreads over tasks. Rows without the value are left out.
+    """
+    latency = F.when(F.col("status") == "ok", F.col("latency_ms"))
+    values = F.array(F.struct(F.lit("q_chars").alias("metric"), F.col("q_chars").cast("double").alias("value")),
+                     F.struct(F.lit("latency_ms").alias("metric"), latency.cast("double").alias("value")))
+    rows = log.select(F.explode(values).alias("v")).select("v.*").where(F.col("value").isNotNull())
+    counted = rows.groupBy("metric", "value").agg(F.count("*").alias("n"))
+    return number_ordered(counted, ["metric"], ["value"], "_nth").transform(_places)
+
+
+def _places(counted: DataFrame) -> DataFrame:
+    """Every value as often as it occurs, with its place: ranges of distinct values carry the counts before them."""
+    step = F.floor(F.col("_nth") / 65536)
+    inside = Window.partitionBy("metric", "_step").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("metric").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_step", step)
+    sums = placed.groupBy("metric", "_step").agg(F.sum("n").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return (placed.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, ["metric", "_step"])
+            .select("metric", "value", F.explode(F.sequence(F.col("_before") + F.col("_inside") + 1, F.col("_before") + F.col("_inside") + F.col("n"))).alias("place"))
+            .select("metric", "place", "value"))
+
+
 def report(log: DataFrame) -> DataFrame:
     """The review as rows ``section, label, value, share, verdict``."""
     cells = log.groupBy("status", "qtype", "matched").agg(

@@ -169,6 +169,9 @@ def rrf_score(rank: Column, k_rrf: int = K_RRF) -> Column:
     return 1 / (F.lit(float(k_rrf)) + rank)
 
 
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
 def fuse_hits(first: DataFrame, second: DataFrame, k: int, k_rrf: int = K_RRF) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists. Equal sums go to the better first-list rank."""
     both = first.select("qid", "id", "rank", F.lit(0).alias("list")).unionByName(
@@ -245,6 +248,16 @@ def fuse_with_dense(lexical: DataFrame, docs: DataFrame, queries: DataFrame, k:
                      dense_ranks(docs, queries, candidates), k, k_rrf)
 
 
+def fuse_retrievers(first: Retriever, second: Retriever, docs: DataFrame, queries: DataFrame, k: int, depth: int | None = None) -> DataFrame:
+    """Rank fusion of any two retrievers, each asked for its best ``depth`` documents.
+
+    A document that a list does not reach adds nothing from it. With ``depth`` at the number of documents (the
+    default, by a count) both rankings are whole; smaller depths cost less and leave out what neither list ranks so high.
+    """
+    depth = depth or max(1, docs.count())
+    return fuse_hits(first(docs, queries, depth), second(docs, queries, depth), k)
+
+
 def fold_passages(passage_hits: DataFrame, owner: DataFrame, k: int) -> DataFrame:
     """Best passage score per page. ``owner(passage_id, id)``."""
     pages = (passage_hits.withColumnRenamed("id", "passage_id").join(owner, "passage_id")
@@ -259,12 +272,21 @@ def passage_table(docs: DataFrame, ident: str = "id", text: str = "text", scope:
 
 
 def passage_search(docs: DataFrame, queries: DataFrame, k: int, ident: str = "id", text: str = "text",
-                   question: str = "question") -> DataFrame:
-    """Score line windows, keep a pool of max(12k, 60) per query, fold to pages by best window."""
-    table = passage_table(docs, ident, text)
-    pool = max(POOL_FACTOR * k, POOL_MIN)
-    found = bm25_search(build_index(table, "passage_id"), queries, pool, question)
-    return fold_passages(found, table.select("passage_id", "id"), k)
+                   question: str = "question", scope: Sequence[str] = ()) -> DataFrame:
+    """Score line windows, keep a pool of max(12k, 60) per query, fold to pages by best window.
+
+    With ``scope`` columns (a deck, say) a query meets only the documents that share them, and term
+    statistics are theirs. Ids are those of all documents.
+    """
+    return by_passages(lambda table, asked, pool: bm25_search(build_index(table, scope=scope), asked, pool, question), docs, queries, k, ident, text, scope)
+
+
+def by_passages(retriever: Retriever, docs: DataFrame, queries: DataFrame, k: int, ident: str = "id", text: str = "text",
+                scope: Sequence[str] = ()) -> DataFrame:
+    """Any retriever on line windows instead of documents: a pool of max(12k, 60) windows per query, folded to pages."""
+    table = passage_table(docs, ident, text, scope)
+    windows = table.select(*scope, F.col("passage_id").alias("id"), "text")
+    return fold_passages(retriever(windows, queries, max(POOL_FACTOR * k, POOL_MIN)), table.select("passage_id", "id"), k)
 
 
 def expand_queries(queries: DataFrame, expand: Callable[[Column], Column], text: str = "question") -> DataFrame:
@@ -273,8 +295,6 @@ def expand_queries(queries: DataFrame, expand: Callable[[Column], Column], text:
 
 
 # ---- named retrievers ----------------------------------------------------------------
-Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
-
 
 def lexical_retriever(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return bm25_search(build_index(docs), queries, k)
@@ -298,8 +318,21 @@ PRESETS = {"fast": "bm25", "balanced": "hybrid", "accurate": "hybrid"}
 
 
 def retrieve(preset: str, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Search with a preset or a retriever by name; unknown names are an error."""
-    name = PRESETS.get(preset, preset)
+    """Search with a preset or a retriever by name; unknown names are an error.
+
+    ``a+b`` fuses two named retrievers, ``passages:a`` runs one on line windows.
+    """
+    return named_retriever(preset)(docs, queries, k)
+
+
+def named_retriever(name: str) -> Retriever:
+    if "+" in name:
+        first, second = map(named_retriever, name.split("+", 1))
+        return lambda docs, queries, k: fuse_retrievers(first, second, docs, queries, k)
+    if name.startswith("passages:"):
+        inner = named_retriever(name.removeprefix("passages:"))
+        return lambda docs, queries, k: by_passages(inner, docs, queries, k)
+    name = PRESETS.get(name, name)
     if name not in RETRIEVERS:
-        raise ValueError(f"unknown retriever {preset!r}; known: {', '.join([*PRESETS, *RETRIEVERS])}")
-    return RETRIEVERS[name](docs, queries, k)
+        raise ValueError(f"unknown retriever {name!r}; known: {', '.join([*PRESETS, *RETRIEVERS])}")
+    return RETRIEVERS[name]
