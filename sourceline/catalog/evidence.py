@@ -112,21 +112,47 @@ def key_facts(spark, sf_dir):
     return best.where(F.col("best").isNotNull()).select("qid", "id", F.array_join(facts, " ").alias("facts")).where(F.col("facts") != "")
 
 
-@query("e8_cue", q.with_views(f"""
+CUES = f"""
     select g.qid, coalesce(g.status, 'ok') as status, case when g.status = 'ignored' then '' else {q.qtype('g.question')} end as question_type,
         coalesce(s.n, 0) as n_sources, s.first_page,
         case when g.status is null and {q.qtype('g.question')} = 'limit' then {len(LATIN.deflect)} else 0 end as n_deflect,
         case when g.status = 'no_evidence' then {len(LATIN.advice)} else 0 end as n_advice
-    from guarded g left join (select qid, count(*) as n, min_by(page, place) as first_page from picked group by 1) s using (qid)""",
+    from guarded g left join (select qid, count(*) as n, min_by(page, place) as first_page from picked group by 1) s using (qid)"""
+
+
+@query("e8_cue", q.with_views(CUES,
     "guarded", "picked"))
 def cues(spark, sf_dir):
     chunks, vocab, index = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir), decks.index(spark, sf_dir)
     out = cue(t.live_questions(spark, sf_dir), chunks, index, vocab, LATIN)
+    return _shown(out)
+
+
+def _shown(out):
     return out.select("qid", "status", "question_type", F.size("sources").alias("n_sources"),
                       F.get("sources", F.lit(0))["slide"].alias("first_page"),
                       F.size("deflect").alias("n_deflect"), F.size("advice").alias("n_advice"))
 
 
+PASSAGE_HITS = f"""with ps as (select p.*, d.deck_id from passages p join docs d using (id)),
+    p as (select deck_id, id, passage, dl, term, count(*) as tf from (select deck_id, id, passage, len(tk) as dl, unnest(tk) as term
+          from (select *, {q.tokens('text')} as tk from ps)) group by all),
+    sz as (select deck_id, count(*) as n, sum(len({q.tokens('text')})) / count(*) as avgdl from ps group by 1),
+    st as (select deck_id, term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf, any_value(avgdl) as avgdl from p join sz using (deck_id) group by 1, 2),
+    sc as (select qid, deck_id, id, passage, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) as score
+           from dqterms join st using (deck_id, term) join p using (deck_id, term) group by 1, 2, 3, 4),
+    pool as (select * from (select *, row_number() over (partition by qid order by score desc, id || '/' || lpad(cast(passage as varchar), 5, '0')) as r from sc) where r <= 60),
+    best as (select qid, deck_id, id, max(score) as score from pool group by 1, 2, 3)
+    select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from best) where rank <= 3"""
+
+
+@query("e8_cue_passages", q.with_views(CUES, "guarded", "picked", instead={"dhits": (PASSAGE_HITS, ("passages", "docs", "dqterms"))}))
+def passage_cues(spark, sf_dir):
+    """The question path with another retriever: line windows of the question's own deck."""
+    chunks, vocab, docs = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir), t.documents(spark, sf_dir)
+    return _shown(cue(t.live_questions(spark, sf_dir), chunks, None, vocab, LATIN, search=lambda asked, k: se.passage_search(docs, asked, k, scope=["deck_id"])))
+
+
 def _cards(spark, sf_dir):
     """An approved card for one kind in every second deck."""
     chunks = t.chunks(spark, sf_dir)

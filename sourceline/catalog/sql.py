@@ -247,14 +247,16 @@ def _deck_views() -> None:
 _deck_views()
 
 
-def with_views(sql: str, *names: str) -> str:
-    """``WITH`` clause of the named views and whatever they build on, in front of ``sql``."""
+def with_views(sql: str, *names: str, instead: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> str:
+    """``WITH`` clause of the named views and whatever they build on, in front of ``sql``; views of
+    ``instead`` replace those of their name."""
     order: list[str] = []
+    views = VIEWS | (instead or {})
 
     def visit(name: str) -> None:
         if name in order:
             return
-        for needed in VIEWS[name][1]:
+        for needed in views[name][1]:
             visit(needed)
         order.append(name)
 
@@ -262,7 +264,7 @@ def with_views(sql: str, *names: str) -> str:
         visit(name)
     if not order:
         return sql.strip()
-    body = ",\n".join(f"{n} as materialized ({VIEWS[n][0]})" for n in order)
+    body = ",\n".join(f"{n} as materialized ({views[n][0]})" for n in order)
     sql = sql.strip()
     if sql.lower().startswith("with recursive "):
         return f"with recursive {body},\n{sql[15:]}"
