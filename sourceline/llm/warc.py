@@ -13,7 +13,7 @@ of all that a record says, so records that share an id and differ in URL, time o
 
 Defined cases: a record without URL or time is neither resolved nor used; a response at the very
 time of a revisit is not earlier; of responses at one time the largest record_id is the latest, of equal
-ids the largest MD5 of the body, null last; a revisit without validators, or whose response has none in common, stays
+ids the one with the longest body, then with the largest entity tag; a revisit without validators, or whose response has none in common, stays
 unresolved; records that repeat an id, null too, are records each by itself; a header without a value is
 absent; an empty table gives no rows; other columns of the records are not returned.
 """
@@ -64,16 +64,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     known = (records.select("record_id", canonical_url(F.col("url")).alias("url_key"), "ts", "status",
                             _lower_names(F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())).alias("headers"), "body")
              .withColumn("full", F.coalesce((F.col("status") == 200) & F.col("body").isNotNull(), F.lit(False)))
-             .withColumn("row", F.struct("record_id", F.md5(F.col("body").cast("binary")).alias("body"),
-                                         F.xxhash64("url_key", "ts", "status", F.array_sort(F.map_entries("headers"))).alias("rest"))))
+             .withColumn("row", F.struct("record_id", F.xxhash64("url_key", "ts", "status", F.map_entries("headers"), "body").alias("rest"))))
     marks = F.struct("row", F.try_element_at("headers", F.lit("etag")).alias("etag"), F.try_element_at("headers", F.lit("last-modified")).alias("modified"))
     slim = (known.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull() & (F.col("full") | (F.col("status") == 304)))
-            .select("row", "url_key", "ts", "full", marks.alias("marks")))
-    order = ["ts", "full", "row"]
+            .select("row.record_id", F.octet_length("body").alias("size"), "row", "url_key", "ts", "full", marks.alias("marks")))
+    order = ["ts", "full", "record_id", "size", "marks.etag", "row"]
     placed = stored(slim.repartitionByRange("url_key", *order).withColumn("task", F.spark_partition_id()), "warc-events")
     response = F.when(F.col("full"), F.col("marks"))
     back = Window.partitionBy("task", "url_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = placed.groupBy("url_key", "task").agg(F.max_by(response, F.when(F.col("full"), F.struct("ts", "row"))).alias("last"))
+    ends = placed.groupBy("url_key", "task").agg(F.max_by(response, F.when(F.col("full"), F.struct(*[c for c in order if c != "full"]))).alias("last"))
     earlier = Window.partitionBy("url_key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.withColumn("carried", F.last("last", ignorenulls=True).over(earlier)).where("carried is not null").select("url_key", "task", "carried")
     found = (placed.withColumn("inside", F.last(response, ignorenulls=True).over(back)).where("not full")
@@ -81,8 +80,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
              .select("row", F.col("source.row").alias("source"), _confirms(F.col("marks"), F.col("source")).alias("confirmed")).distinct())
     plain = known.where(~F.coalesce(F.col("status") == 304, F.lit(False))).select(
         "record_id", "url_key", "ts", "status", "headers", "body", F.lit(None).cast("long").alias("source_id"), F.lit("kept").alias("outcome"))
-    sources = (known.where("full").select(F.col("row").alias("source"), F.col("headers").alias("old"), F.col("body").alias("old_body"))
-               .join(found.where("confirmed").select("source").distinct(), "source", "left_semi").dropDuplicates(["source"]))
+    sources = known.where("full").select(F.col("row").alias("source"), F.col("headers").alias("old"), F.col("body").alias("old_body")).dropDuplicates(["source"])
     outcome = F.when(F.col("confirmed"), "resolved").when(F.col("source").isNull(), "no response").otherwise("changed")
     new = F.map_filter("headers", lambda name, _: name.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("old", lambda name, _: ~F.map_contains_key(new, name)), new)
@@ -141,13 +139,13 @@ visits as (
   select page_id * 4 + 1 record_id, url_key, as_at + 5400 ts, u.* exclude (url_key) from u
   union all select page_id * 4 + 2, url_key, as_at - 1800, u.* exclude (url_key) from u),
 earlier as (
-  select v.url_key, v.ts, max(struct_pack(ts := r.ts, id := r.record_id, body := md5(r.html))) s
+  select v.url_key, v.ts, max(struct_pack(ts := r.ts, id := r.record_id, size := strlen(r.html), tag := r.tag)) s
   from (select distinct url_key, ts from visits) v join bodies r on v.url_key = r.url_key and r.ts < v.ts group by 1, 2),
 judged as (
   select v.*, r.record_id source_id, r.tag old_tag, r.day_text old_day, r.html old_html, r.ts old_ts,
     case when kind < 3 then coalesce(case when kind < 2 then v.tag else '"other"' end = r.tag, false) else coalesce(v.day_text = r.day_text, false) end ok
   from visits v left join earlier e using (url_key, ts)
-    left join bodies r on r.url_key = e.url_key and r.record_id = e.s.id and r.ts = e.s.ts and md5(r.html) = e.s.body)
+    left join bodies r on r.url_key = e.url_key and r.record_id = e.s.id and r.ts = e.s.ts and r.tag = e.s.tag)
 select record_id, url_key, ts, 200 status, cast(null as bigint) source_id, 'kept' outcome,
   'cache-control=max-age=60;content-type=text/html;date=' || ts || ';etag=' || tag || ';last-modified=' || day_text headers,
   strlen(html) body_bytes, md5(html) body_md5 from responses
