@@ -223,7 +223,7 @@ def fallback_notes(spark, sf_dir):
     merged as (select qid, page, coalesce(b.text, d.text) as text, b.text is null as added from (select * from base where page <> 0) b full join added d using (qid, page)),
     gen as (select qid, string_agg('[note] ' || text, chr(10) order by rank) as text from pk where page is null group by 1),
     gains as (select qid from merged where added union select qid from gen g full join (select * from base where page = 0) b using (qid) where g.text is distinct from b.text)
-    select qid, page, md5(text) as digest from (select qid, page, text from merged union all select qid, 0, text from gen) where qid in (select qid from gains)""", "notes", "conv_q", "chunks"))
+    select qid, page, md5(text) as digest from (select qid, page, text from merged union all select qid, 0, text from gen) where qid in (select qid from gains) and qid in (select qid from pk)""", "notes", "conv_q", "chunks"))
 def fallback_evidence(spark, sf_dir):
     """Pages found for a question, merged with those of its fallback notes; only where that adds something."""
     notes, asked, vocab, context = _note_matches(spark, sf_dir)

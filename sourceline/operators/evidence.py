@@ -354,7 +354,7 @@ def fallback_evidence(base: DataFrame, picked: DataFrame, questions: DataFrame,
     ``base(qid, page, text)`` is what the search found (page 0: general text), ``picked`` are
     :func:`fallback_notes`, ``questions(qid, deck_id)``, ``pages(deck_id, page, text)`` one row a page. Pages of picked notes
     join those of the base, general notes make page 0 in their order. A question to which neither a page nor another
-    general text is added gets no rows, as asking again would give the same answer.
+    general text is added gets no rows, as asking again would give the same answer, nor does one without notes.
     """
     tied = F.coalesce("page", F.lit(0)) != 0
     found = base.where(tied).select("qid", "page", F.col("text").alias("_old"))
@@ -365,7 +365,7 @@ def fallback_evidence(base: DataFrame, picked: DataFrame, questions: DataFrame,
     general = picked.where(~tied).groupBy("qid").agg(F.array_join(lines, "\n").alias("text"))
     before = base.where(~tied).select("qid", F.col("text").alias("_old"))
     other = general.join(before, "qid", "full_outer").where(~F.col("text").eqNullSafe(F.col("_old"))).select("qid")
-    gains = merged.where("_added").select("qid").unionByName(other).distinct()
+    gains = merged.where("_added").select("qid").unionByName(other).distinct().join(picked.select("qid").distinct(), "qid", "left_semi")
     whole = merged.select("qid", "page", "text").unionByName(general.select("qid", F.lit(0).alias("page"), "text"))
     return whole.join(gains, "qid", "left_semi")
 

@@ -161,3 +161,44 @@ def test_cluster_needs_a_shared_folder(spark):
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         work_dir(fake)
+
+
+def test_fallback_evidence_only_where_it_adds(spark):
+    from sourceline.operators.evidence import fallback_evidence
+    base = spark.createDataFrame([(1, 1, "one"), (2, 1, "one"), (2, 0, "[n] general"), (4, 0, "kept aside"), (5, 2, "two")], "qid long, page int, text string")
+    picked = spark.createDataFrame([(1, 1, "a", 1), (1, 2, "b", 2), (2, 1, "c", 1), (2, None, "general", 2), (3, 0, "second", 2), (3, None, "first", 1), (4, 9, "no such page", 1), (5, 2, "d", 1)],
+                                   "qid long, page int, text string, rank int")
+    questions = spark.createDataFrame([(i, "d") for i in range(1, 7)], "qid long, deck_id string")
+    pages = spark.createDataFrame([("d", 1, "one"), ("d", 2, "two")], "deck_id string, page int, text string")
+    found = sorted(map(tuple, fallback_evidence(base, picked, questions, pages, "[n] ").collect()))
+    assert found == [(1, 1, "one"), (1, 2, "two"), (3, 0, "[n] first\n[n] second")]
+    assert fallback_evidence(base, picked.limit(0), questions, pages).count() == 0
+    assert fallback_evidence(base.limit(0), picked, questions, pages).select("qid").distinct().count() == 4
+
+
+def test_ordered_values_of_a_log(spark):
+    from sourceline.operators.logs import ordered_values
+    log = spark.createDataFrame([(5, "ok", 2.0), (3, "ok", 1.0), (3, "ignored", 0.5), (None, "ok", None)], "q_chars int, status string, latency_ms double")
+    rows = sorted(map(tuple, ordered_values(log).collect()))
+    assert rows == [("latency_ms", 1, 1.0), ("latency_ms", 2, 2.0), ("q_chars", 1, 3.0), ("q_chars", 2, 3.0), ("q_chars", 3, 5.0)]
+    assert ordered_values(log.limit(0)).count() == 0
+
+
+def test_retrievers_by_name(spark):
+    import pytest
+
+    from sourceline.operators.search import retrieve
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox\nblue hen", "red hen", "green cow", "blue cow"])], "id long, text string")
+    asked = spark.createDataFrame([(7, "red hen"), (8, "cow")], "qid long, question string")
+    plain = [(r.qid, r.id) for r in retrieve("fast", docs, asked, 2).orderBy("qid", "rank").collect()]
+    assert [(r.qid, r.id) for r in retrieve("bm25+bm25", docs, asked, 2).orderBy("qid", "rank").collect()] == plain
+    assert [(r.qid, r.id) for r in retrieve("passages:bm25", docs, asked, 1).orderBy("qid", "rank").collect()] == [(q, i) for q, i in plain if (q, i) in {(7, 1), (8, 2)}]
+    with pytest.raises(ValueError):
+        retrieve("bm25+nothing", docs, asked, 2)
+
+
+def test_passages_of_a_scope(spark):
+    from sourceline.operators.search import passage_search
+    docs = spark.createDataFrame([("a", 1, "red fox"), ("b", 2, "red fox"), ("b", 3, "red")], "deck_id string, id long, text string")
+    asked = spark.createDataFrame([("b", 7, "red fox"), ("c", 8, "red")], "deck_id string, qid long, question string")
+    assert [(r.qid, r.id) for r in passage_search(docs, asked, 3, scope=["deck_id"]).orderBy("rank").collect()] == [(7, 2), (7, 3)]
