@@ -59,7 +59,12 @@ def attached_answers(spark, sf_dir):
 KINDS = ["why", "limit", "plan"]
 
 
-@query("m3_core_suggestions")
+@query("m3_core_suggestions", q.with_views(f"""
+    with d as (select deck_id || '#' || page as deck_id, page, text, {q.strip(HEAD_SQL)} as h from chunks),
+    s as (select deck_id, page, text, 1 as pos, h as step from d union all select deck_id, page, text, 2, 'made up 77123' from d),
+    ok as (select *, cast(row_number() over (partition by deck_id order by pos) as integer) as place from s where {q.numbers_ok('step', 'text')})
+    select deck_id, 'why' as kind, 'ok' as status, place, page as slide, substr(step, 1, 30) as text from ok
+    union all select deck_id, kind, 'no_answer', null, null, null from d, (values ('limit'), ('plan')) k(kind)""", "chunks"))
 def core_suggestions(spark, sf_dir):
     line = F.concat(F.lit("## why\n"), num(), F.lit(" | "), head(), F.lit(" [3]\n"), num(), F.lit(" | made up 77123\n## limit\n999 | no such page"))
     return gen.core_suggestions(_alone(_responses(spark, sf_dir, line)), _alone(_pages(spark, sf_dir)), KINDS).select(
@@ -176,7 +181,12 @@ def topic_order(spark, sf_dir):
     return gen.topic_order(gen.knowledge_graph(responses, chunks, KOREAN.knowledge_relations)[2])
 
 
-@query("m11_note_lines")
+@query("m11_note_lines", q.with_views(f"""
+    with d as (select deck_id || '#' || page as deck_id, page, {q.strip(HEAD_SQL)} as h,
+        len(list_filter(regexp_extract_all({q.squeeze('text')}, '[0-9][0-9.]*'), lambda r: contains(r, '48151623'))) > 0 as backed from chunks)
+    select deck_id, 0 as pos, page, 'explain' as kind, false as said_known, '' as new_numbers from d where h <> ''
+    union all select deck_id, 1, null, case when backed then 'explain' else 'fact' end, false, case when backed then '' else '48151623' end from d
+    union all select deck_id, 2, page, 'explain', true, '' from d""", "chunks"))
 def note_lines(spark, sf_dir):
     pages = _alone(_pages(spark, sf_dir))
     line = F.concat(num(), F.lit(" | explain | "), head(), F.lit("\n0 | odd | has 48151623 inside\n"), num(), F.lit(" | known | \"said before\"\nbroken line"))
