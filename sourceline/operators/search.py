@@ -23,7 +23,7 @@ SCORE_DIGITS = 9
 # -------------------------------------------------------------------------------------
 
 QUERY_BLOCK = 512           # query vectors per block of a dense search
-DOC_TILE, QUERY_TILE = 1_024, 16_384    # vectors per tile of a dense search
+DOC_TILE, QUERY_TILE = 16_384, 16_384   # vectors per tile of a dense search
 ID_BUCKET = 1 << 16         # places per bucket when documents are counted in id order
 
 
