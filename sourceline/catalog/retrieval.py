@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_tokens
@@ -10,9 +12,10 @@ from ..operators import index as ix
 from ..operators import knowledge as kb
 from ..operators import search as se
 from ..plans.ranking import first_per_group, top_n
+from ..session import work_dir
 from ..sources import tables as t
 from . import sql as q
-from .registry import query
+from .registry import ORACLES, query
 
 
 def _queries_as_vectors(spark, sf_dir):
@@ -50,6 +53,14 @@ def bm25_top5(spark, sf_dir):
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("r2_bm25_from_index", ORACLES["r2_bm25_search"])
+def bm25_from_index(spark, sf_dir):
+    path = f"{work_dir(spark).rstrip('/')}/bm25-index-{uuid.uuid4().hex}"
+    ix.write_index(ix.build_index(t.documents(spark, sf_dir)), path)
+    hits = se.bm25_search(ix.read_index(spark, path), t.questions(spark, sf_dir), 5)
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
 DECK_BM25 = f"""
     p as (select deck_id, id, dl, term, count(*) as tf from (select deck_id, id, len(tk) as dl, unnest(tk) as term
           from (select deck_id, id, {q.tokens('text')} as tk from docs)) group by all),

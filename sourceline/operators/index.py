@@ -3,6 +3,9 @@
 Documents are placed by id once; everything after that (term counts per document, score
 sums per document and query) keys on the document id first, so it needs no further shuffle
 of postings. Only tiny tables travel: term statistics and the best hits per query.
+
+At rest an index is two tables: postings in folders by bucket of the term, and the statistics of every
+term. A search reads the folders of its terms and counts nothing.
 """
 
 from __future__ import annotations
@@ -16,6 +19,11 @@ from pyspark.sql import functions as F
 from ..functions.text import content_words, lexical_tokens
 
 DOC = ""    # pseudo term: one posting per document, so corpus size comes out of the same pass
+BUCKETS = 64    # folders of postings at rest
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -24,19 +32,29 @@ class Index:
     postings: DataFrame
     scope: tuple[str, ...] = ()
     placed: bool = True      # postings are hash-partitioned by id
+    counted: DataFrame | None = None    # statistics kept with the postings, which then have a bucket
 
     def about(self, terms: DataFrame) -> "Index":
         """Only the postings of the given terms (and the document counters)."""
         keys = [*self.scope, "term"]
-        wanted = terms.select(*keys).distinct()
+        wanted = terms.select(*keys).where(F.col("term") != DOC).distinct()
+        if self.counted is not None:
+            kept = self.postings.join(wanted.withColumn("bucket", _bucket(F.col("term"))), [*keys, "bucket"], "left_semi")
+            sizes = self.counted.where(F.col("term") == DOC)
+            return Index(kept, self.scope, self.placed, self.counted.join(wanted, keys, "left_semi").unionByName(sizes))
         counters = self.postings.where(F.col("term") == DOC)
         kept = self.postings.where(F.col("term") != DOC).join(wanted, keys, "left_semi")
         return Index(kept.unionByName(counters), self.scope, self.placed)
 
+    def counts(self) -> DataFrame:
+        """``scope..., term, df, _len``, with the pseudo term."""
+        if self.counted is not None:
+            return self.counted
+        return self.postings.groupBy(*self.scope, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("_len"))
+
     def term_stats(self) -> DataFrame:
         """``scope..., term, df, idf``, without the pseudo term."""
-        grouped = self.postings.groupBy(*self.scope, "term").agg(F.count("*").alias("df"), F.sum("dl").alias("_len"))
-        return _with_idf(grouped, self.scope)
+        return _with_idf(self.counts(), self.scope)
 
 
 def _with_idf(grouped: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -61,12 +79,20 @@ def build_index(docs: DataFrame, ident: str = "id", text: str = "text", scope: S
 
 
 def write_index(index: Index, path: str) -> None:
-    """Postings at rest, clustered by term so that a scan for a few terms skips row groups."""
-    index.postings.sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    """Postings and term statistics at rest.
+
+    A bucket of terms is a folder, dealt by id to as many files as the shuffle has partitions for it, so
+    a term that most documents have never meets in one task. Rows are in order of their term.
+    """
+    spark = index.postings.sparkSession
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    placed = index.postings.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.hash("id"), F.lit(parts)))
+    placed.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    Index(spark.read.parquet(f"{path}/postings"), index.scope).counts().write.mode("overwrite").parquet(f"{path}/terms")
 
 
 def read_index(spark: SparkSession, path: str, scope: Sequence[str] = ()) -> Index:
-    return Index(spark.read.parquet(path), tuple(scope), placed=False)
+    return Index(spark.read.parquet(f"{path}/postings"), tuple(scope), False, spark.read.parquet(f"{path}/terms"))
 
 
 def index_summary(index: Index) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.logs import session_summary
@@ -29,9 +31,27 @@ def append_stream(rows: DataFrame, sink: str, checkpoint: str) -> None:
 
 
 def summarise_stream(rows: DataFrame, sink: str, checkpoint: str) -> None:
-    """Keep the session summary up to date: each batch replaces the table with the full result."""
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(sink)
-    drain(session_summary(rows).writeStream.outputMode("complete").foreachBatch(write), checkpoint)
+    """Keep the session summary up to date: a batch adds a version of the sessions it changed, no more.
+
+    :func:`read_summary` takes each session's last version. The rows of a version count once its mark
+    is written, which names the attempt, so a batch that broke off or runs again is never seen in part.
+    """
+    _publish(session_summary(rows.sparkSession.createDataFrame([], rows.schema)), sink, -1)
+    drain(session_summary(rows).writeStream.outputMode("update").foreachBatch(lambda batch, n: _publish(batch, sink, n)), checkpoint)
+
+
+def _publish(changed: DataFrame, sink: str, version: int) -> None:
+    attempt = f"a{uuid.uuid4().hex}"
+    changed.write.parquet(f"{sink}/rows/version={version}/attempt={attempt}")
+    changed.sparkSession.range(1).select(F.lit(attempt).alias("attempt")).write.mode("overwrite").parquet(f"{sink}/done/version={version}")
+
+
+def read_summary(spark: SparkSession, sink: str) -> DataFrame:
+    """The running summary: one row per session."""
+    rows, done = spark.read.parquet(f"{sink}/rows"), spark.read.parquet(f"{sink}/done")
+    values = [c for c in rows.columns if c not in ("session", "version", "attempt")]
+    return (rows.join(done, ["version", "attempt"]).groupBy("session")
+            .agg(F.max_by(F.struct(*values), "version").alias("last")).select("session", "last.*"))
 
 
 DRILLED = "qid long, depth int, n_missing int, ratio double, done boolean"

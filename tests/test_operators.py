@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceline.operators import graph as gr
+from sourceline.operators import index as ix
 from sourceline.operators import knowledge as kb
 from sourceline.operators import notes as nt
 from sourceline.operators import search as se
 from sourceline.plans import ranking as rk
+from sourceline.streaming import sinks
 
 
 def test_number_rows_equals_row_number(spark):
@@ -202,3 +204,48 @@ def test_passages_of_a_scope(spark):
     docs = spark.createDataFrame([("a", 1, "red fox"), ("b", 2, "red fox"), ("b", 3, "red")], "deck_id string, id long, text string")
     asked = spark.createDataFrame([("b", 7, "red fox"), ("c", 8, "red")], "deck_id string, qid long, question string")
     assert [(r.qid, r.id) for r in passage_search(docs, asked, 3, scope=["deck_id"]).orderBy("rank").collect()] == [(7, 2), (7, 3)]
+
+
+@pytest.mark.parametrize("scope", [[], ["deck_id"]])
+def test_index_at_rest_equals_the_one_just_built(spark, tmp_path, scope):
+    rnd = random.Random(5)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, i % 3, " ".join(["common", *rnd.choices(words, k=rnd.randrange(1, 30))])) for i in range(300)] + [(900, 0, ""), (901, 1, None)]
+    docs = spark.createDataFrame(rows, "id long, deck_id int, text string")
+    asked = spark.createDataFrame([(i, i % 4, " ".join(rnd.choices([*words, "common", "absent"], k=5))) for i in range(20)] + [(99, 0, "")],
+                                  "qid long, deck_id int, question string")
+    built, path = ix.build_index(docs, scope=scope), str(tmp_path / "index")
+    ix.write_index(built, path)
+    kept = ix.read_index(spark, path, scope)
+    hits = lambda index: sorted(tuple(r) for r in se.bm25_search(index, asked, 4).select("qid", "id", "rank", "score").collect())
+    assert hits(kept) == hits(built) and len(hits(kept)) > 40
+    terms = lambda index: sorted(tuple(r) for r in index.term_stats().select(*scope, "term", "df", F.round("idf", 9)).collect())
+    assert terms(kept) == terms(built)
+    summary = lambda index: sorted(tuple(r) for r in ix.index_summary(index).collect())
+    assert summary(kept) == summary(built)
+    # only folders of asked terms are read
+    plan = kept.about(se.query_terms(asked, scope)).postings._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_running_summary_adds_changed_sessions_and_hides_unfinished_versions(spark, tmp_path):
+    schema = "session string, at long, status string, latency_ms double"
+    log, sink, mark = (str(tmp_path / n) for n in ("log", "sink", "cp"))
+    first = [("a", 1, "ok", 10.0), ("a", 2, "ignored", None), ("b", 3, "no_evidence", None), (None, 4, "ok", 1.0), ("", 5, "ok", 1.0)]
+    run = lambda: sinks.summarise_stream(spark.readStream.schema(schema).parquet(log), sink, mark)
+    spark.createDataFrame([], schema).write.parquet(log)
+    run()
+    assert sinks.read_summary(spark, sink).count() == 0
+    spark.createDataFrame(first, schema).write.mode("append").parquet(log)
+    run()
+    whole = {r.session: tuple(r)[1:] for r in sinks.read_summary(spark, sink).collect()}
+    assert whole == {"a": (2, 1, 0, 1, 10.0, 2), "b": (1, 0, 1, 0, None, 3)}
+    spark.createDataFrame([("b", 9, "ok", 30.0)], schema).write.mode("append").parquet(log)
+    run()
+    rows = spark.read.parquet(f"{sink}/rows")
+    last = rows.agg(F.max("version")).first()[0]
+    assert [r.session for r in rows.where(F.col("version") == last).collect()] == ["b"]
+    # a version without a mark, as a lost driver leaves it
+    rows.where("session = 'a'").drop("version", "attempt").withColumn("total", F.lit(77).cast("long")).write.parquet(f"{sink}/rows/version={last + 1}/attempt=ax")
+    whole = {r.session: tuple(r)[1:] for r in sinks.read_summary(spark, sink).collect()}
+    assert whole == {"a": (2, 1, 0, 1, 10.0, 2), "b": (2, 1, 1, 0, 30.0, 9)}
