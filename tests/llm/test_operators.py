@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -307,12 +309,67 @@ def test_decontamination(odd, none, items):
     assert decontamination.contamination(odd, items.limit(0)).where("contaminated or n_hit > 0 or n_items > 0").count() == 0
 
 
+def plain_secrets(text):
+    """``start, kind, end`` of the three kinds, one loop over the text for each."""
+    value, found = set(string.ascii_letters + string.digits + "+/_.=-"), []
+
+    def stretch(at, letters):
+        return next((i for i in range(at, len(text)) if text[i] not in letters), len(text))
+
+    at = 0
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at:at + len(name)].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)) != name:
+                continue
+            i = at + len(name)
+            i += text[i:i + 1] in ("'", '"')
+            i = stretch(i, " ")
+            if text[i:i + 1] not in (":", "="):
+                continue
+            i = stretch(i + 1, " ")
+            i += text[i:i + 1] in ("'", '"')
+            if (last := stretch(i, value)) > i:
+                end, length = last, last - i
+                break
+        if end is None:
+            at += 1
+            continue
+        if length >= 8:
+            found.append((at, 0, end))
+        at = end
+    at = text.find("AKIA")
+    while at >= 0:
+        end = stretch(at + 4, string.ascii_uppercase + string.digits)
+        if end - at >= 16:
+            found.append((at, 1, end))
+        at = text.find("AKIA", end if end > at + 4 else at + 1)
+    at = 0
+    while at < len(text):
+        end = stretch(at, "0123456789abcdef")
+        if end - at >= 32:
+            found.append((at, 2, end))
+        at = max(end, at + 1)
+    return sorted(found)
+
+
+def test_base_spans_equal_plain_loops():
+    rng, pieces = random.Random(11), ["password", "PassWd", "secret", "token", "apikey", "API_KEY", "api_keyapi_key", '"', "'", " ", "  ", ":", "=", "\t", "\n", "AKIA", "AKIAAKIA",
+                                      "ABCDEFGHIJKL0123", "abcdefgh", "a1b2c3", "deadbeef" * 4, "0" * 31, "É", "\u017f", "\u212a", "x", "."]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        assert sorted(secret_scan.base_spans(text)) == plain_secrets(text), repr(text)
+        found += len(plain_secrets(text))
+    assert found > 2_000
+
+
 def test_secrets(odd, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = secret_scan.secret_counts(odd, path).collect()
     coder, expected = secret_scan.encoding(path), []
     for i, text, _, _ in ROWS:
-        base = sorted(secret_scan.base_spans(text or ""))
+        base = plain_secrets(text or "")
         kinds = [k for _, k, _ in base]
         expected.append((i, kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(secret_scan.listed(base).encode()).hexdigest(), secret_scan.listed(secret_scan.spans(text or "", coder))))
     assert key(map(tuple, got)) == key(expected) and sum(e[1] for e in expected) > 0
