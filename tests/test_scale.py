@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import math
+import random
 
 from sourceline.operators import evidence as ev
+from sourceline.operators import index as ix
+from sourceline.operators import search as se
 
 
 def test_words_of_texts_are_not_broadcast(spark, capsys):
@@ -15,3 +18,29 @@ def test_words_of_texts_are_not_broadcast(spark, capsys):
     matched.explain()
     assert "BroadcastHashJoin" not in capsys.readouterr().out
     assert {(r["id"], r["score"], r["n"]) for r in matched.collect()} == {("a", 1.0, 1), ("b", 0.7, 1)}
+
+
+def _plain_bm25(docs, asked, k):
+    words = {i: text.split() for i, text in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    score = lambda q, d: sum(math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean))
+                             for w in q.split() for n in [sum(w in x for x in words.values())] if w in d)
+    for qid, q in asked:
+        scored = sorted((-round(score(q, d), 9), i) for i, d in words.items() if set(q.split()) & set(d))
+        yield from ((qid, i, rank, -s) for rank, (s, i) in enumerate(scored[:k], 1))
+
+
+def test_lexical_search_makes_no_rows_of_pairs(spark, capsys):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") * 3 for _ in range(n))
+    docs, asked = [(i, text(rnd.randint(1, 12))) for i in range(60)], [(q, text(3)) for q in range(20)]
+    docs += [(100 + i, docs[i][1]) for i in range(10)]
+    index = ix.build_index(spark.createDataFrame(docs, "id long, text string"))
+    queries = spark.createDataFrame(asked, "qid long, question string")
+    want = sorted(_plain_bm25(docs, asked, 4))
+    for options in ({}, {"posting_rows": 40, "asked_rows": 15}):
+        hits = se.bm25_search(index, queries, 4, **options)
+        assert sorted((r["qid"], r["id"], r["rank"], round(r["score"], 6)) for r in hits.collect()) == [(*w[:3], round(w[3], 6)) for w in want]
+    hits.explain()
+    plan = capsys.readouterr().out
+    assert "keys=[id" not in plan.split("CoGroup")[0] and "CoGroup" in plan
