@@ -7,9 +7,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sourceline.operators import evidence as ev
 from sourceline.operators import index as ix
+from sourceline.operators import notes as nt
 from sourceline.operators import search as se
 
 
@@ -69,3 +72,28 @@ def test_dense_search_sorts_only_the_best(monkeypatch):
         mine = got[got["qid"] == q]
         assert list(mine["id"]) == [i for _, i in want] and np.allclose(mine["score"], [-s for s, _ in want])
     assert all(len(s) == 1 for s in sizes)
+
+
+def test_similar_sets_meet_whole_and_by_slices(spark, capsys):
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = sorted({"".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(60)})
+    grams = {t: {t[i:i + 2] for i in range(len(t) - 1)} for t in texts}
+    rows = [(d, "".join(sorted(grams[t])), (t,)) for d in "xy" for t in texts[ord(d) % 2::1 + (d == "y")]]
+    sets = lambda name: spark.createDataFrame(rows, f"deck_id string, grams string, {name} struct<t:string>")
+    want = {(d, a, b) for d, _, (a,) in rows for e, _, (b,) in rows
+            if d == e and a < b and len(grams[a] & grams[b]) / min(len(grams[a]), len(grams[b])) >= 0.6}
+    for held in (7, 4096):
+        found = nt.similar_sets(sets("l"), sets("r"), F.col("l.t") < F.col("r.t"), held=held)
+        got = [(r["deck_id"], r["l"]["t"], r["r"]["t"]) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+    notes = spark.createDataFrame([("x", str(i), t, i) for i, t in enumerate(texts)], "deck_id string, id string, text string, ord long")
+    nt.first_similar(notes, notes).explain()
+    assert "explode(grams" not in capsys.readouterr().out
+
+
+def test_forest_of_links_connects_what_links_connect():
+    pairs = [(i, j) for i in range(12) for j in range(i + 1, 12) if i % 3 == j % 3]
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    kept = [(r["a"], r["b"]) for out in nt._forest(iter([batch.slice(0, 5), batch.slice(5)])) for r in out.to_pylist()]
+    assert len(kept) == 9 and set(kept) <= set(pairs) and all(any(n in x for x in kept) for n in range(12))
