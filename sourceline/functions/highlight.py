@@ -36,10 +36,11 @@ def occurrences(text: Column, word: Column) -> Column:
 
 
 def numbers_with_units(text: Column) -> Column:
-    found = F.transform(find_all(text, NUMBER_WITH_UNIT), F.length)
-    spans = _from_pieces(F.split(text, NUMBER_WITH_UNIT, -1), found)
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(F.rtrim(
-        F.substring(text, s["start"] + 1, s["end"] - s["start"])))).cast("int").alias("end")))
+    def spans(found: Column) -> Column:
+        return F.zip_with(_from_pieces(F.split(text, NUMBER_WITH_UNIT, -1), F.transform(found, F.length)), found, lambda s, n: F.struct(
+            s["start"].alias("start"), (s["start"] + F.length(F.rtrim(n))).cast("int").alias("end")))
+
+    return let(find_all(text, NUMBER_WITH_UNIT), spans)
 
 
 def _without_overlaps(spans: Column) -> Column:
@@ -54,10 +55,27 @@ def word_and_number_spans(text: Column, words: Column) -> Column:
     """Words that start at a word boundary, painted to the end of the written word, and numbers
     with their units; of overlapping spans the first stays."""
     def of_word(word: Column) -> Column:
-        at_start = F.filter(occurrences(text, word), lambda s: (s["start"] == 0) | ~F.substring(
-            text, s["start"], F.lit(1)).rlike(WORD_CHAR))
-        return F.transform(at_start, lambda s: F.struct(s["start"].alias("start"), (s["end"] + F.length(F.regexp_extract(
-            F.substring(text, s["end"] + 1, F.length(text)), f"^({WORD_CHAR}*)", 1))).cast("int").alias("end")))
+        """Judged by the stretches between the occurrences, so the text is read once however many there are."""
+        head = lambda t: F.length(F.regexp_extract(t, f"^({WORD_CHAR}*)", 1))
+        begins, ends = head(word), F.substring(word, -1, 1).rlike(WORD_CHAR)
+
+        def step(acc: Column, row: Column) -> Column:
+            # characters of the written word behind an occurrence may go on through the next ones
+            on = F.when((row["own"] == F.length(row["after"])) & acc["next"].isNotNull(), begins + F.when(
+                begins == F.length(word), acc["next"]).otherwise(0)).otherwise(0)
+            first = F.when(row["before"] != "", ~F.substring(row["before"], -1, 1).rlike(WORD_CHAR)).otherwise((row["start"] == 0) | ~ends)
+            return let(row["own"] + on, lambda run: F.struct(run.alias("next"), F.when(first, F.concat(
+                F.array(F.struct(row["start"].alias("start"), (row["end"] + run).cast("int").alias("end"))), acc["out"])).otherwise(acc["out"]).alias("out")))
+
+        def spans(pieces: Column) -> Column:
+            found = _from_pieces(pieces, F.transform(F.slice(pieces, 2, 1_000_000_000), lambda _: F.length(word)))
+            rows = F.transform(found, lambda s, i: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after"),
+                head(F.get(pieces, i + 1)).alias("own")))
+            start = F.struct(F.lit(None).cast("int").alias("next"), F.array().cast(SPANS).alias("out"))
+            return F.aggregate(F.reverse(rows), start, step)["out"]
+
+        return let(F.split(text, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1), spans)
 
     long_words = F.filter(words, lambda w: F.length(w) >= 2)
     return let(F.concat(F.flatten(F.transform(long_words, of_word)), numbers_with_units(text)), _without_overlaps)

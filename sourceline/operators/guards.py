@@ -129,6 +129,7 @@ def grounded_share(sentence: Column, source: Column) -> Column:
 
 def highlight_words(keys: Column, text: Column, detail: Column) -> Column:
     """At most three distinct key phrases that stand literally in the text, no bare numbers."""
-    good = F.filter(keys, lambda k: (F.length(k) >= 2) & ~k.rlike(NUMBER_AND_UNIT)
-                    & (F.contains(text, k) | F.contains(detail, k)))
-    return F.slice(F.array_distinct(good), 1, HIGHLIGHT_MAX)
+    good = lambda k: (F.length(k) >= 2) & ~k.rlike(NUMBER_AND_UNIT) & (F.contains(text, k) | F.contains(detail, k))
+    # the text is searched until three are found, not for every word
+    return F.aggregate(F.array_distinct(keys), F.array().cast("array<string>"), lambda acc, k: F.when(
+        (F.size(acc) < HIGHLIGHT_MAX) & good(k), F.concat(acc, F.array(k))).otherwise(acc))

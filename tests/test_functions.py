@@ -126,6 +126,17 @@ def test_highlight_spans(spark):
     assert [(s["start"], s["end"]) for s in row["l"]] == [(1, 3), (4, 6)]
 
 
+def test_highlight_spans_read_the_text_once(spark):
+    """A written word may run on through further occurrences; no span looks into the text again by its place."""
+    texts = {"abab ab-ab xab": ["ab"], "xa-a-a a-a": ["a-a"], "ababx abab": ["ab", "abab"], "-- --- a--": ["--"], "12% of 3 ab3": ["ab"], "": ["ab"]}
+    df = spark.createDataFrame([(t, w) for t, w in texts.items()], "t string, w array<string>")
+    spans = hl.word_and_number_spans(F.col("t"), F.col("w"))
+    got = {r["t"]: [(s["start"], s["end"]) for s in r["s"]] for r in df.select("t", spans.alias("s")).collect()}
+    assert got == {"abab ab-ab xab": [(0, 4), (5, 7), (8, 10)], "xa-a-a a-a": [(7, 10)], "ababx abab": [(0, 5), (6, 10)],
+                   "-- --- a--": [(0, 2), (3, 5)], "12% of 3 ab3": [(0, 3), (7, 8), (9, 12)], "": []}
+    assert "substring(t," not in str(spans)
+
+
 def test_section_chunks(spark):
     text = "# 제목\n소개 줄\n## 하나\n- 가\n- 나\n## 둘"
     got = one(spark, text, kb.section_pieces)
