@@ -49,14 +49,21 @@ def _without(text: Column, names: Column) -> Column:
         piece.rlike(f"^{NAME_WITH_DIGIT}$") & names.contains(_name_key(piece)), F.lit(" ")).otherwise(piece)), "")
 
 
+def known_source(source: Column, question: Column) -> Column:
+    """``struct<tight, names>``: what :func:`supported_by` looks into."""
+    return F.struct(squeeze(source).alias("tight"), _known_names(source, question).alias("names"))
+
+
+def supported_by(text: Column, known: Column) -> Column:
+    return F.when(text.rlike("[0-9]"), F.forall(numbers(_without(text, known["names"])), _in_source(known["tight"]))).otherwise(True)
+
+
 def all_supported_by_name(texts: Column, source: Column, question: Column) -> Column:
     """For each of ``texts`` whether its numbers are supported; source and question are prepared once.
 
     Digits inside a known name pass. A question vouches for names only, never for bare numbers.
     """
-    given = F.struct(squeeze(source).alias("tight"), _known_names(source, question).alias("names"))
-    return let(given, lambda known: F.transform(texts, lambda text: F.when(
-        text.rlike("[0-9]"), F.forall(numbers(_without(text, known["names"])), _in_source(known["tight"]))).otherwise(True)))
+    return let(known_source(source, question), lambda known: F.transform(texts, lambda text: supported_by(text, known)))
 
 
 def numbers_supported_by_name(text: Column, source: Column, question: Column) -> Column:

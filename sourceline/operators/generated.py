@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import NUMBER, all_supported_by_name, new_numbers, numbers_supported, numbers_supported_by_name
+from ..functions.numbers import (NUMBER, all_supported_by_name, known_source, new_numbers, numbers_supported,
+                                 numbers_supported_by_name, supported_by)
 from ..functions.profiles import LATIN, Profile
-from ..functions.text import (bigrams, drop_page_refs, find_all, first_readable_line, let, name_page_zero, strip)
+from ..functions.text import (BLANK, bigrams, drop_page_refs, find_all, first_readable_line, let, name_page_zero, strip)
 from ..plans.ranking import first_per_group, number_ordered, number_rows, top_n
 from .guards import HIGHLIGHT_MAX, NUMBER_AND_UNIT
 
@@ -365,7 +366,6 @@ def flow_steps(answers: DataFrame, profile: Profile = LATIN) -> DataFrame:
     """
     slides, question = F.col("slides"), F.col("question")
     all_text = F.array_join(F.transform(slides, lambda s: s["text"]), "\n")
-    fine = lambda text, source: numbers_supported_by_name(text, source, question)
     step_type = ("struct<text:string,detail:string,slide:int,keys:array<string>,link:string,why:string>")
     start = F.struct(
         F.array().cast(f"array<{step_type}>").alias("steps"), F.lit("").alias("guide"), F.lit("").alias("status"))
@@ -377,48 +377,51 @@ def flow_steps(answers: DataFrame, profile: Profile = LATIN) -> DataFrame:
     def field(parts: Column, i: int) -> Column:
         return F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
 
-    def slide_text(number: Column) -> Column:
-        return F.get(F.filter(slides, lambda s: s["slide"] == number), F.lit(0))["text"]
+    def slide_of(given: Column, number: Column) -> Column:
+        return F.get(F.filter(given, lambda s: s["slide"] == number), F.lit(0))
 
     def closest(text: Column) -> Column:
         return let(bigrams(text), lambda mine: F.aggregate(
-            F.transform(slides, lambda s: F.struct(F.size(F.array_intersect(mine, bigrams(s["text"]))).alias("n"), s["slide"].alias("slide"))),
+            # a pair is one of the slide's if it stands in its text without blanks
+            F.transform(slides, lambda s: let(F.regexp_replace(s["text"], f"{BLANK}+", ""), lambda tight: F.struct(F.when(
+                tight.isNotNull(), F.size(F.filter(mine, lambda pair: F.contains(tight, pair)))).alias("n"), s["slide"].alias("slide")))),
             F.struct(F.lit(-1).alias("n"), F.lit(None).cast("int").alias("slide")),
             lambda acc, s: F.when(s["n"] > acc["n"], s).otherwise(acc))["slide"])
 
-    def take(acc: Column, line: Column) -> Column:
+    def take(acc: Column, line: Column, whole: Column, given: Column) -> Column:
         number = F.regexp_extract(line, FLOW_LINE, 1).cast("int")
         parts = _fields(F.regexp_extract(line, FLOW_LINE, 2))
 
         def build(p: Column) -> Column:
-            text = strip(F.regexp_replace(field(p, 0), r"^(?:슬라이드|<?TAB?>?|\||\s)+", ""))
-            given = slide_text(number)
-            movable = (F.size(slides) > 0) & fine(F.concat_ws(" ", text, field(p, 1)), all_text)
-            slide = F.when(given.isNotNull(), number).when(movable, closest(F.concat(text, field(p, 1))))
+            return let(strip(F.regexp_replace(field(p, 0), r"^(?:슬라이드|<?TAB?>?|\||\s)+", "")), lambda text: placed(p, text))
+
+        def placed(p: Column, text: Column) -> Column:
+            movable = (F.size(slides) > 0) & supported_by(F.concat_ws(" ", text, field(p, 1)), whole)
+            slide = F.when(slide_of(given, number)["text"].isNotNull(), number).when(movable, closest(F.concat(text, field(p, 1))))
 
             def finish(page: Column) -> Column:
-                own = slide_text(page)
-                detail = F.when((field(p, 1) == "-") | ~fine(drop_page_refs(field(p, 1)), own), "").otherwise(
+                own = slide_of(given, page)
+                detail = F.when((field(p, 1) == "-") | ~supported_by(drop_page_refs(field(p, 1)), own), "").otherwise(
                     F.substring(name_page_zero(field(p, 1)), 1, DETAIL_CHARS))
                 title = F.substring(text, 1, FLOW_TEXT)
                 keys = F.filter(F.transform(F.split(field(p, 2), "[,/、]"), lambda k: F.regexp_replace(strip(k), r"""^["']+|["']+$""", "")),
                                 lambda k: (F.length(k) >= 2) & ~k.rlike(NUMBER_AND_UNIT) & (F.contains(title, k) | F.contains(detail, k)))
                 place = F.size(acc["steps"])
                 link = F.when(field(p, 3).isin(*profile.links), field(p, 3)).otherwise(F.coalesce(F.get(defaults, place), F.lit("")))
-                why = F.when((field(p, 4) == "-") | ~fine(drop_page_refs(field(p, 4)), all_text), "").otherwise(
+                why = F.when((field(p, 4) == "-") | ~supported_by(drop_page_refs(field(p, 4)), whole), "").otherwise(
                     F.substring(field(p, 4), 1, WHY_CHARS))
                 added = F.concat(acc["steps"], F.array(F.struct(
                     title.alias("text"), detail.alias("detail"), page.alias("slide"),
                     F.slice(F.array_distinct(keys), 1, HIGHLIGHT_MAX).alias("keys"), link.alias("link"), why.alias("why")).cast(step_type)))
                 skip = page.isNull() | ~_has_words(text)
-                return (F.when(skip, acc).when(~fine(text, own), _state(acc, status="blocked"))
+                return (F.when(skip, acc).when(~supported_by(text, own), _state(acc, status="blocked"))
                         .when(place < FLOW_STEPS, _state(acc, steps=added)).otherwise(acc))
 
             return let(slide, finish)
 
         guide_line = r"^\W*(?:가이드|guide)\s*[|:]\s*(.+)$"
         guide = F.regexp_replace(strip(F.regexp_extract(line, guide_line, 1)), r"""^["']+|["']+$""", "")
-        good_guide = fine(drop_page_refs(guide), all_text)
+        good_guide = supported_by(drop_page_refs(guide), whole)
         none = (F.regexp_replace(line, r"""^["' .]+|["' .]+$""", "") == profile.none_word) & (F.size(acc["steps"]) == 0)
         return (F.when(acc["status"] != "", acc).when(none, _state(acc, status="no_answer"))
                 .when(line.rlike(guide_line), F.when(good_guide, _state(acc, guide=F.substring(name_page_zero(guide), 1, GUIDE_CHARS))).otherwise(acc))
@@ -428,7 +431,11 @@ def flow_steps(answers: DataFrame, profile: Profile = LATIN) -> DataFrame:
         value = lambda name: F.lit(changed[name]) if isinstance(changed.get(name), str) else changed.get(name, acc[name])
         return F.struct(value("steps").alias("steps"), value("guide").alias("guide"), value("status").alias("status"))
 
-    folded = F.aggregate(flow_lines(F.col("response")), start, take)
+    # what numbers are looked up in is made ready once, not for every line
+    ready = F.transform(slides, lambda s: F.struct(s["slide"].alias("slide"), s["text"].alias("text"), *[
+        known_source(s["text"], question)[c].alias(c) for c in ("tight", "names")]))
+    folded = let(known_source(all_text, question), lambda whole: let(ready, lambda given: F.aggregate(
+        flow_lines(F.col("response")), start, lambda acc, line: take(acc, line, whole, given))))
     last = lambda steps: F.transform(steps, lambda s, i: F.when(i == F.size(steps) - 1, s.withField("link", F.lit("")).withField(
         "why", F.lit(""))).otherwise(s))
     return (answers.withColumn("_flow", folded).withColumn("steps", let(F.col("_flow.steps"), last))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sourceline.operators import evidence as ev
+from sourceline.operators import generated as gen
 from sourceline.operators import index as ix
 from sourceline.operators import notes as nt
 from sourceline.operators import search as se
@@ -97,3 +98,14 @@ def test_forest_of_links_connects_what_links_connect():
     batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
     kept = [(r["a"], r["b"]) for out in nt._forest(iter([batch.slice(0, 5), batch.slice(5)])) for r in out.to_pylist()]
     assert len(kept) == 9 and set(kept) <= set(pairs) and all(any(n in x for x in kept) for n in range(12))
+
+
+def test_flow_makes_its_sources_ready_once(spark):
+    slides = [(1, "steam engine ran 1,200 km"), (2, "boat of iron"), (3, None)]
+    lines = "1 | engine of 1200 | went 9999 km | steam | so | x\n7 | iron boat | - | - | so | -\n2 | boat 4711 | - | - | so | -"
+    df = spark.createDataFrame([("q", "fact", slides, lines)], "question string, qtype string, slides array<struct<slide:int,text:string>>, response string")
+    flow = gen.flow_steps(df)
+    row = flow.first()
+    assert [(s["text"], s["slide"]) for s in row["steps"]] == [("engine of 1200", 1), ("iron boat", 2)] and row["status"] == "blocked"
+    plan = flow._jdf.queryExecution().analyzed().toString()
+    assert "array_intersect" not in plan and plan.count("concat(regexp_replace(lower(") <= 3
