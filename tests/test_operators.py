@@ -45,6 +45,35 @@ def test_degree_cap_equals_sequential_rule(spark):
     assert sorted(r["ord"] for r in got) == want
 
 
+def test_degree_cap_reads_only_what_is_open(spark, monkeypatch):
+    """A chain of waiting edges beside many edges that the first round settles; odd rows are defined."""
+    written = {}
+
+    def counted(df, name):
+        out = stored(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    from sourceline.plans.materialize import stored
+    monkeypatch.setattr(gr, "stored", counted)
+    rnd = random.Random(5)
+    rows = [(10_000 + i, 50_000 + i, i) for i in range(1_000)]
+    rows += [(a, b, 5_000 + i) for i in range(300) for a, b in [rnd.sample(range(30), 2)]]
+    count, want = {}, []
+    for a, b, o in rows:
+        if count.get(a, 0) < 4 and count.get(b, 0) < 8:
+            count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+            want.append(o)
+    got = gr.cap_degrees(spark.createDataFrame(rows, "src int, dst int, ord int"))
+    assert sorted(r["ord"] for r in got.collect()) == want
+    assert len(written["capped-edges"]) > 2
+    assert written["capped-edges"][0] == len(rows) and sum(written["capped-edges"][1:] + written["capped-open"]) < 1_000
+    assert max(written["capped-ends"]) <= 8 * 30
+    odd = [(1, 100 + i, i) for i in range(5)] + [(1, 200, None), (None, 300, 0), (2, None, 0)]
+    kept = gr.cap_degrees(spark.createDataFrame(odd, "src int, dst int, ord int")).collect()
+    assert sorted((r["dst"] for r in kept)) == [100, 101, 102, 200]
+
+
 def _similar(a, b):
     x, y = ({s.replace(" ", "")[i:i + 2] for i in range(len(s.replace(" ", "")) - 1)} for s in (a, b))
     return len(x & y) / min(len(x), len(y)) if x and y else 0.0
