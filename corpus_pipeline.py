@@ -20,7 +20,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of every component of near copies: five words, Jaccard 0.8."""
+    """The document with the smallest doc_id of every component of near copies: five words, Jaccard 0.8.
+
+    Fingerprints linked by SimHash tries are checked first; the links that they miss are found after them.
+    """
     prepare(spark)
     return near_copies.one_of_each(docs)
 
@@ -42,7 +45,7 @@ def sharded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return sharding.sharded_documents(docs)
 
 
-STAGES = [("quality_trees", good_documents), ("near_copies", distinct_documents), ("winnowing", clean_documents),
+STAGES = [("quality_trees", good_documents), ("simhash_trie", distinct_documents), ("winnowing", clean_documents),
           ("mix_to_weights", mixed_documents), ("shard_bytes", sharded_documents)]
 
 #: The classifier is beyond SQL; tests hold the pipeline against a plain version.

@@ -2,9 +2,10 @@
 
 Equal sets stand for one from the start. ``BANDS`` keys, each of ``ROWS`` MinHash values, say which sets can
 have a copy at all: a pair right at ``LEAST`` shares a key with probability 1 - (1 - 0.8 ** 5) ** 24 = 0.99993,
-more similar pairs with more. Links are counted exactly on stored sets of shingle hashes.
+more similar pairs with more. Links, those of fingerprints too, are counted exactly on stored sets of shingle hashes.
 
-First each set is compared with a leader of each of its keys, in ``LEADERS`` rounds, which unites dense
+First the tries of :mod:`.simhash` link the fingerprints of the texts, and linked sets that are similar are united. Then
+each set is compared with a leader of each of its keys, in ``LEADERS`` rounds, which unites dense
 groups at one comparison a set. Sets that still share a key with a set of another component then meet in an exact prefix-filter
 join, which needs no all-pairs step: a set's shingles are ordered by the number of open sets that have them, rarest first, and
 two sets are a candidate only if a shingle lies so early in both that enough of either is left for a
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from ..plans.components import connected_components
 from ..plans.materialize import stored
 from .common import KEY, keyed
+from .simhash import fingerprint, trie_join
 
 SHINGLE, SEED = 5, 42
 #: The least similarity as a fraction: 4 / 5.
@@ -66,15 +68,18 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """``KEY, node, bands``: ``node`` is a digest of the set of shingles."""
+    """``KEY, node, fp, bands``: ``node`` is a digest of the set of shingles, ``fp`` the SimHash of the text as a signed long."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingles(t) for t in texts]
             nodes = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), nodes, pa.array(map(band_keys, sets), pa.list_(pa.int64()))], [*KEY, "node", "bands"])
+            fps = np.array([fingerprint((t or b"").lower().split()) for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), nodes, pa.array(fps.view(np.int64)), pa.array(map(band_keys, sets), pa.list_(pa.int64()))],
+                                             [*KEY, "node", "fp", "bands"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*KEY).schema)
-    return docs.select(*KEY, "text").mapInArrow(run, f"{kinds}, node string, bands array<long>")
+    return docs.select(*KEY, "text").mapInArrow(run, f"{kinds}, node string, fp long, bands array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -104,6 +109,16 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((PART + WHOLE) * F.size(F.array_intersect("ha", "hb")) >= PART * (F.col("na") + F.col("nb"))).select("ca", "cb").distinct()
 
 
+def _near_fingerprints(sketches: DataFrame) -> DataFrame:
+    """``a, b, ca, cb``: every set with the head of its fingerprint, the smallest set that has it, and the heads of
+    fingerprints that the tries link."""
+    heads = stored(sketches.groupBy("fp").agg(F.min("node").alias("head")), "copies-fingerprints")
+    own = sketches.select("fp", "node").distinct().join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    first, second = (heads.select(F.col("fp").alias(f), F.col("head").alias(s)) for f, s in (("x", "a"), ("y", "b")))
+    linked = trie_join(heads.select("fp")).toDF("x", "y").join(first, "x").join(second, "y").select("a", "b")
+    return own.unionByName(linked).where("a <> b").distinct().select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+
+
 def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     """``key, node, n, component`` of sets under keys that several components share."""
     placed = members.join(parts, "node")
@@ -154,16 +169,19 @@ def firsts(rows: DataFrame) -> DataFrame:
     buckets = groups.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = stored(buckets.join(shared, "key"), "copies-members")
-    wanted = groups.join(members.select("node").distinct(), "node").select("node", "first.*")
+    near = stored(_near_fingerprints(sketches), "copies-fingerprint-pairs")
+    known = members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = groups.join(known, "node").select("node", "first.*")
     sets = stored(_sets(rows.join(wanted, KEY).select("node", "text").dropDuplicates(["node"])), "copies-hashes")
     parts = sets.select("node", "n", F.col("node").alias("component"))
-    for turn in range(LEADERS + 1):
-        placed = _open(members, parts)
-        if turn < LEADERS:
-            pairs = _with_leaders(placed, turn)
+    for turn in range(-1, LEADERS + 1):
+        if turn < 0:
+            pairs = near
+        elif turn < LEADERS:
+            pairs = stored(_with_leaders(_open(members, parts), turn), "copies-pairs")
         else:
-            pairs = prefix_pairs(placed.select("node", "component").distinct().join(sets, "node"))
-        links = stored(_links(stored(pairs, "copies-pairs"), sets), "copies-links")
+            pairs = stored(prefix_pairs(_open(members, parts).select("node", "component").distinct().join(sets, "node")), "copies-pairs")
+        links = stored(_links(pairs, sets), "copies-links")
         if not links.isEmpty():
             joined = connected_components(links, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
             parts = stored(parts.join(joined, "component", "left").select("node", "n", F.coalesce("to", "component").alias("component")), "copies-parts")

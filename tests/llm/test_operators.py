@@ -480,6 +480,26 @@ def test_near_copies_equal_brute_force(spark):
     assert got == plain_copies(list(enumerate(texts))) and 20 < len(got) < 100
 
 
+def test_tries_of_fingerprints_link_before_leaders(spark, monkeypatch):
+    """Without leaders and prefixes the stage still unites what the tries of SimHash link, and only what is similar."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = rng.choice(vocabulary, 800).tolist()
+    near = [*base[:400], "other", *base[401:]]
+    often = rng.choice(vocabulary, 21).tolist() * 60  # its repeats fill the fingerprint, its few shingles not the set
+    tails = [" ".join([*often, *rng.choice(vocabulary, 40).tolist()]) for _ in range(2)]
+    texts = [" ".join(base), " ".join(near), *tails, " ".join(rng.choice(vocabulary, 300))]
+    prints = [simhash.fingerprint(t.encode().split()) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 and (prints[2] ^ prints[3]).bit_count() <= 3
+    assert len(plain_copies(list(enumerate(texts)))) == 4
+    no_pairs = lambda *_: spark.createDataFrame([], "a string, b string, ca string, cb string")
+    monkeypatch.setattr(near_copies, "_with_leaders", no_pairs)
+    monkeypatch.setattr(near_copies, "prefix_pairs", no_pairs)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [dict(corpus_pipeline.STAGES)["simhash_trie"]] == [corpus_pipeline.distinct_documents]
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == [0, 2, 3, 4]
+
+
 def test_prefix_pairs_hold_every_link(spark):
     """Candidates of the join against all pairs, with hot shingles, many sizes and split slices; no leaders help."""
     rng = np.random.default_rng(5)
