@@ -60,7 +60,7 @@ def degree_cap_by_graph(spark, sf_dir):
     edges = t.table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("deck_id"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_orderkey") % 60 + 1_000_000_000).alias("dst"),
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ord"))
-    return gr.cap_degrees(edges, key=["deck_id"]).select("deck_id", "ord")
+    return gr.cap_degrees(edges, key=["deck_id"]).select("deck_id", "ord").where("ord is not null")
 
 
 @query("x5_graph_coverage", q.with_views("""select deck_id, round(avg(case when doc_id % 4 <> 0 then 1.0 else 0 end), 6) as coverage,

@@ -78,17 +78,17 @@ def cap_degrees(edges: DataFrame, max_links: int = MAX_LINKS, key: Sequence[str]
     decides at once which open edges are dropped.
 
     Defined cases: an edge without a source, target or key is left out; edges of equal ``ord`` are settled
-    together; a null ``ord`` comes first.
+    together; a null ``ord`` comes last.
     """
     deep, keys = 2 * max_links, list(key)
-    at = F.struct("ord")        # nulls have their place in the order of structs
+    at = F.struct(F.col("ord").isNull().alias("none"), "ord")     # a null has its place in the order of structs
 
     def ends(rows: DataFrame) -> DataFrame:
         return rows.select(*keys, F.explode(F.array("src", "dst")).alias("node"), "ord")
 
     def cut_points(rows: DataFrame) -> DataFrame:
         """``keys..., node, fourth, eighth``: places of those ends in ``rows`` (null: fewer) of nodes with four or more."""
-        first = top_n(rows, [*keys, "node"], ["ord"], deep, "_n")
+        first = top_n(rows, [*keys, "node"], [F.col("ord").asc_nulls_last()], deep, "_n")
         nth = lambda n: F.max(F.when(F.col("_n") == n, at))
         return first.groupBy(*keys, "node").agg(nth(max_links).alias("fourth"), nth(deep).alias("eighth")).where("fourth is not null")
 
