@@ -101,7 +101,8 @@ def gold_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Documents that contain a whole question: ``qid, id``.
 
     The inner words of a question stand whole in any such document, so the longest of them
-    is an equi-join key and only matching pairs are compared. Needs three words.
+    is an equi-join key and only matching pairs are compared. A question of fewer than three words
+    has no inner word, as its words may be parts of longer ones: it meets every document.
     """
     needle = F.col("question")
     found = F.regexp_extract_all(needle, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -109,8 +110,10 @@ def gold_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:
     by_length = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     keyed = queries.where(F.size(found) >= 3).select(
         "qid", needle.alias("needle"), F.get(by_length, F.lit(0))["w"].alias("word"))
-    words = docs.select("id", F.explode_outer(F.array_distinct(
+    words = docs.select(F.col("id").alias("_id"), F.explode_outer(F.array_distinct(
         F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    candidates = words.join(keyed, "word").select("id", "qid", "needle")
-    return (docs.select("id", "text").join(candidates, "id")
-            .where(F.contains("text", "needle")).select("qid", "id"))
+    candidates = words.join(keyed, "word").select("_id", "qid", "needle")
+    holds = F.contains("text", "needle")
+    long = docs.select("id", "text").join(candidates, F.col("id").eqNullSafe(F.col("_id"))).where(holds)
+    short = queries.where(F.size(found) < 3).select("qid", needle.alias("needle"))
+    return long.select("qid", "id").unionByName(docs.select("id", "text").join(short, holds).select("qid", "id"))

@@ -13,6 +13,7 @@ from sourceline.operators import knowledge as kb
 from sourceline.operators import notes as nt
 from sourceline.operators import search as se
 from sourceline.plans import ranking as rk
+from sourceline.sources import tables as t
 from sourceline.streaming import sinks
 
 
@@ -278,3 +279,11 @@ def test_running_summary_adds_changed_sessions_and_hides_unfinished_versions(spa
     rows.where("session = 'a'").drop("version", "attempt").withColumn("total", F.lit(77).cast("long")).write.parquet(f"{sink}/rows/version={last + 1}/attempt=ax")
     whole = {r.session: tuple(r)[1:] for r in sinks.read_summary(spark, sink).collect()}
     assert whole == {"a": (2, 1, 0, 1, 10.0, 2), "b": (2, 1, 1, 0, 30.0, 9)}
+
+
+def test_gold_holds_questions_of_any_length(spark):
+    docs = [(1, "old steam engines rust in the yard"), (2, "steamy"), (3, ""), (None, "the steam engines rust"), (5, None)]
+    asked = [(1, "steam engines rust"), (2, "steam"), (3, "team eng"), (4, ""), (5, "..."), (6, None), (7, "engines rust in the")]
+    found = t.gold_pairs(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "qid long, question string"))
+    want = [(q, i) for q, needle in asked for i, text in docs if needle is not None and text is not None and needle in text]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
