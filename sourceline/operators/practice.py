@@ -38,10 +38,10 @@ def with_facts(questions: DataFrame, chunks: DataFrame, vocab: DataFrame, profil
     pages = page_context(chunks, vocab, only=gold, words=words).drop("page")
     asked = question_context(questions.select("qid", "deck_id", "question"), vocab, profile, words).withColumn(
         "qtype", F.lit(qtype or profile.qtype_default))
-    texts = gold.select("qid", F.col("text").alias("page_text"))
-    pairs = question_pages(gold.select("qid", "id", F.lit(1).alias("rank")), asked, pages).join(texts, "qid")
-    best = best_lines(pairs, profile)
-    line = F.coalesce(F.col("best.line"), F.substring("page_text", 1, SNIPPET))
+    texts = gold.select("qid", F.substring("text", 1, SNIPPET).alias("_head"), F.col("text").alias("page_text"))
+    pairs = question_pages(gold.select("qid", "id"), asked, pages.drop("deck_id"))
+    best = best_lines(pairs, profile).join(texts, "qid")
+    line = F.coalesce(F.col("best.line"), "_head")
     line_words = F.coalesce(F.col("best.words"), words(line))
     found = best.select("qid", "page_text", line.alias("snippet"),
                         key_facts(line, line_words, F.coalesce("best.keys", F.array().cast(WORD_WEIGHTS)), profile).alias("facts"))

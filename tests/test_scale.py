@@ -168,3 +168,39 @@ def test_flow_makes_its_sources_ready_once(spark):
     assert [(s["text"], s["slide"]) for s in row["steps"]] == [("engine of 1200", 1), ("iron boat", 2)] and row["status"] == "blocked"
     plan = flow._jdf.queryExecution().analyzed().toString()
     assert "array_intersect" not in plan and plan.count("concat(regexp_replace(lower(") <= 3
+
+
+def test_a_page_meets_its_questions_at_once(spark):
+    rnd = random.Random(9)
+    word = lambda: rnd.choice(["steam", "team", "engine", "engines", "gin", "oil", "oils", "1890", "189", "x", "rust", "rusty"])
+    text = lambda n: " ".join(word() for _ in range(n))
+    chunks = [("d", p, p, "\n".join(text(rnd.randint(3, 9)) for _ in range(p))) for p in range(5)]
+    asked = [(q, "d", text(rnd.randint(1, 5))) for q in range(600)]
+    vocab = spark.createDataFrame([("d", w, 1.0 + i / 7) for i, w in enumerate(("steam", "team", "engine", "engines", "gin", "oils", "1890", "x", "rust"))], "deck_id string, word string, idf double")
+    idf = {r["word"]: r["idf"] for r in vocab.collect()}
+    pages = ev.page_context(spark.createDataFrame(chunks, "deck_id string, id int, page int, text string"), vocab).drop("deck_id")
+    context = ev.question_context(spark.createDataFrame(asked, "qid int, deck_id string, question string"), vocab)
+    hits = spark.createDataFrame([(q, q % 2 * 4 if q < 590 else q % 5, 1) for q, *_ in asked], "qid int, id int, rank int")
+    rows = ev.question_pages(hits, context, pages)
+    assert rows.count() < 20
+    lines = {r["id"]: [(x["line"], set(x["keys"])) for x in r["lines"]] for r in pages.collect()}
+    want = {}
+    for r in hits.join(context, "qid").collect():
+        for i, (_, keys) in enumerate(lines[r["id"]]):
+            gains = []
+            for w, x in ((a["word"], a["idf"]) for a in r["asked"]):
+                near = [idf[k] for k in keys & set(idf) if len(k) > 1 and not k[0].isdigit() and (k in w or w in k)]
+                if w in keys and w in idf:
+                    gains.append(x or 0.0)
+                elif len(w) > 1 and near:
+                    gains.append(0.7 * max(near))
+            if gains:
+                want[r["qid"], r["id"], i] = (round(sum(gains), 9), len(gains))
+    got = {(r["qid"], r["id"], o["idx"]): (round(o["score"], 9), o["n"]) for r in ev.line_overlaps(rows).collect() for o in r["overlaps"]}
+    assert len(want) > 500 and got == want
+    scored = {(r["qid"], r["id"]): r["scored"] for r in ev.score_lines(rows).collect()}
+    best = {(r["qid"], r["id"]): r["best"] for r in ev.best_lines(rows).collect()}
+    assert len(best) == 600
+    for at, one in best.items():
+        first = max(scored[at], key=lambda s: (s["score"], -s["idx"]), default=None)
+        assert (one is None and not lines[at[1]]) or (one["score"], one["n"], one["idx"], one["line"]) == (first["score"], first["n"], first["idx"], lines[at[1]][one["idx"]][0])
