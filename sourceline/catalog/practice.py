@@ -129,6 +129,6 @@ def boosted_keywords(spark, sf_dir):
     from .evidence import _path
     chunks, vocab = decks.pages(spark, sf_dir), decks.vocabulary(spark, sf_dir)
     judged = pr.judge(pr.with_facts(t.spoken_answers(spark, sf_dir), chunks, vocab, LATIN))
-    hits, asked, pages = _path(spark, sf_dir)
+    hits, asked, pages = _path(spark, sf_dir, chunks, vocab)
     found = ev.evidence(hits, asked, pages, pr.miss_rates(pr.weak_facts(judged)), LATIN)
     return found.select("qid", "place", F.array_join("keywords", " ").alias("keywords"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.profiles import LATIN, Profile
 from ..functions.text import content_words, fold, is_number, let, useful_number
+from ..plans.materialize import stored as written
 from ..plans.ranking import top_n
 from .evidence import SNIPPET, WORD_WEIGHTS, Words, best_lines, key_facts, page_context, question_context, question_pages
 
@@ -33,9 +34,11 @@ def with_facts(questions: DataFrame, chunks: DataFrame, vocab: DataFrame, profil
 
     The line is chosen as for a question of the default type, or of ``qtype``.
     """
-    target = chunks.select("deck_id", "page", "id", "text")
+    # the pages that questions name are written once
+    target = written(chunks.select("deck_id", "page", "id", "text").join(
+        questions.select("deck_id", "page").distinct(), ["deck_id", "page"], "left_semi"), "named-pages")
     gold = questions.select("qid", "deck_id", "page").join(target, ["deck_id", "page"])
-    pages = page_context(chunks, vocab, only=gold, words=words).drop("page")
+    pages = page_context(target, vocab, words=words).drop("page")
     asked = question_context(questions.select("qid", "deck_id", "question"), vocab, profile, words).withColumn(
         "qtype", F.lit(qtype or profile.qtype_default))
     texts = gold.select("qid", F.substring("text", 1, SNIPPET).alias("_head"), F.col("text").alias("page_text"))
