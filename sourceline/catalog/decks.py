@@ -20,5 +20,4 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> ix.Index:
-    postings = stored(ix.build_index(t.documents(spark, sf_dir), scope=["deck_id"]).postings, "postings")
-    return ix.Index(postings, ("deck_id",), placed=False)
+    return ix.build_index(t.documents(spark, sf_dir), scope=["deck_id"])

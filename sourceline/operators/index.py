@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_words, lexical_tokens
+from ..plans.materialize import stored
 
 DOC = ""    # pseudo term: one posting per document, so corpus size comes out of the same pass
 BUCKETS = 64    # folders of postings at rest
+FEW_TERMS = 1 << 20     # terms that are sent to where texts are counted
 TASK_CHARS = 8 << 20    # characters of text that one task cuts into terms and counts
 
 
@@ -33,13 +35,14 @@ class Index:
     postings: DataFrame
     scope: tuple[str, ...] = ()
     placed: bool = True      # postings are hash-partitioned by id
-    counted: DataFrame | None = None    # statistics kept with the postings, which then have a bucket
+    counted: DataFrame | None = None    # statistics kept with the index; postings at rest then have a bucket
+    texts: DataFrame | None = None      # scope..., id, tokens: what the postings are counted from
 
     def about(self, terms: DataFrame) -> "Index":
         """Only the postings of the given terms (and the document counters)."""
         keys = [*self.scope, "term"]
         wanted = terms.select(*keys).where(F.col("term") != DOC).distinct()
-        if self.counted is not None:
+        if "bucket" in self.postings.columns:
             kept = self.postings.join(wanted.withColumn("bucket", _bucket(F.col("term"))), [*keys, "bucket"], "left_semi")
             sizes = self.counted.where(F.col("term") == DOC)
             return Index(kept, self.scope, self.placed, self.counted.join(wanted, keys, "left_semi").unionByName(sizes))
@@ -83,7 +86,8 @@ def build_index(docs: DataFrame, ident: str = "id", text: str = "text", scope: S
     exploded = (placed.withColumn("_tok", tokens(F.coalesce(F.col("_text"), F.lit(""))))
                 .select(*scope, "id", F.size("_tok").alias("dl"),
                         F.explode(F.concat("_tok", F.array(F.lit(DOC)))).alias("term")))
-    return Index(exploded.groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf")), tuple(scope))
+    texts = docs.select(*scope, F.col(ident).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    return Index(exploded.groupBy(*scope, "id", "dl", "term").agg(F.count("*").alias("tf")), tuple(scope), texts=texts)
 
 
 def write_index(index: Index, path: str) -> None:
@@ -103,6 +107,34 @@ def read_index(spark: SparkSession, path: str, scope: Sequence[str] = ()) -> Ind
     return Index(spark.read.parquet(f"{path}/postings"), tuple(scope), False, spark.read.parquet(f"{path}/terms"))
 
 
+def counts_of_terms(index: Index, terms: DataFrame, few: int = FEW_TERMS) -> DataFrame:
+    """``scope..., term, df, _len`` as :meth:`Index.counts`, of the given ``terms(scope..., term)`` and the pseudo term.
+
+    Texts are counted where they are read. Equal ids of one length are one document, so the rows of the few ids that
+    come again meet first; if many do, postings are counted.
+    """
+    scope, texts = list(index.scope), index.texts
+    keys = [*scope, "term"]
+    terms = stored(terms.select(*keys).distinct(), "wanted-terms")
+    again = stored(texts.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")), "repeated-ids")
+    repeated = again.count()
+    if repeated > few:
+        counts = index.counts()
+    else:
+        found = lambda df: df.select(*scope, "id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(DOC)))).alias("term"))
+        rows, same = found(texts), F.col("id").eqNullSafe(F.col("_id"))
+        if repeated:
+            rows = found(texts.join(F.broadcast(again), same, "left_anti")).unionByName(
+                found(texts.join(F.broadcast(again), same, "left_semi")).distinct())
+        if terms.count() <= few:
+            # the pseudo term belongs to every scope, so it is kept by its name
+            rows = rows.join(F.broadcast(terms.withColumn("_asked", F.lit(True))), keys, "left").where(
+                F.col("_asked") | (F.col("term") == DOC))
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("df"), F.sum("dl").alias("_len"))
+    wanted = terms.withColumn("_wanted", F.lit(True))
+    return counts.join(wanted, keys, "left").where(F.col("_wanted") | (F.col("term") == DOC)).drop("_wanted")
+
+
 def index_summary(index: Index) -> DataFrame:
     """``scope..., n_docs, avgdl, n_terms, n_postings``."""
     counters = index.postings.where(F.col("term") == DOC).groupBy(*index.scope).agg(

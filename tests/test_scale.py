@@ -53,6 +53,29 @@ def test_lexical_search_makes_no_rows_of_pairs(spark, capsys):
     assert "keys=[id" not in plan.split("CoGroup")[0] and "CoGroup" in plan
 
 
+def test_a_text_is_one_row_of_a_tile(spark, capsys):
+    rnd = random.Random(7)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") * 3 for _ in range(n))
+    docs = [(i % 3, i // 3, text(rnd.randint(0, 12))) for i in range(90)]
+    docs += docs[:9] + [(0, 1, text(20)), (1, None, text(5)), (1, None, text(5)), (None, 7, "aaa"), (2, 800, None)]
+    docs = spark.createDataFrame(docs, "deck_id int, id long, text string")
+    asked = [(q % 4, q, text(3)) for q in range(20)] + [(1, 1, text(2)), (2, None, "aaa bbb"), (None, 90, "aaa"), (0, 91, "")]
+    asked = spark.createDataFrame(asked, "deck_id int, qid long, question string")
+    for scope in ([], ["deck_id"]):
+        index = ix.build_index(docs, scope=scope)
+        rows = lambda hits: sorted(tuple(map(str, r)) for r in hits.select("qid", "id", "rank", F.round("score", 6)).collect())
+        want = rows(se.bm25_search(ix.Index(index.postings, index.scope), asked, 4))
+        for options in ({}, {"posting_rows": 60, "asked_rows": 15}):
+            assert rows(hits := se.bm25_search(index, asked, 4, **options)) == want and len(want) > 40
+        hits.explain()
+        assert "tf#" not in capsys.readouterr().out
+        terms = se.query_terms(asked, scope)
+        for few in (0, 9, 1000):
+            counted = ix.counts_of_terms(index, terms, few).where(F.col("term") != ix.DOC).orderBy(*scope, "term")
+            assert counted.select(*scope, "term", "df").collect() == index.counts().join(
+                terms.select(*scope, "term").distinct(), [*scope, "term"], "left_semi").orderBy(*scope, "term").select(*scope, "term", "df").collect()
+
+
 def _fusion_tables(spark):
     rnd = random.Random(6)
     text = lambda n: " ".join(rnd.choice("abcdefghij") * 3 for _ in range(n))
